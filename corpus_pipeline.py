@@ -18,7 +18,7 @@ from gleanery.llm.language_id import fit_languages, predict_languages
 from gleanery.llm.mixing import mix_sources
 from gleanery.llm.queries import SHARDS, VNODES, WEIGHTS
 from gleanery.llm.sharding import ring_shards
-from gleanery.llm.simhash import simhash_groups
+from gleanery.llm.simhash import fingerprint_rows, simhash_groups
 
 
 def _kept(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,11 +32,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows with that id, one."""
-    groups = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    # Rows that share an id are told apart by the rest; the wide rows meet only the kept ids.
-    kept = docs.join(groups, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document with the smallest id of each group; of rows with that id, one. Of a group without any id, one row of each fingerprint."""
+    groups = simhash_groups(docs)
+    # The wide rows meet only the kept ids.
+    kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = fingerprint_rows(docs.where("doc_id is null"), keep=docs.columns)
+    nameless = nameless.join(groups.where("component_id is null").select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
+    return kept.select(*docs.columns).union(_kept(nameless, docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
