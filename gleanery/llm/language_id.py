@@ -90,7 +90,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = labelled.where("lang is not null and text is not null").where(fold_of(F.col("doc_id"), folds) != held_fold)
     keys = labelled.select("doc_id", "lang", F.xxhash64(F.lit("language"), "doc_id").alias("key")).where("doc_id is not null").distinct()
     # Two rounds, so that a language with most rows isn't ranked in one task.
-    split = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("key", F.lit(256))).orderBy("key", "doc_id"))).where(F.col("rank") <= per_language)
+    split = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("key", F.lit(16))).orderBy("key", "doc_id"))).where(F.col("rank") <= per_language)
     ranked = split.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "key", "doc_id"))).where(F.col("rank") <= per_language)
     chosen = F.broadcast(ranked.orderBy("rank", "lang").limit(rows).select("doc_id", "rank"))  # at most ``rows`` ids
 
