@@ -105,7 +105,7 @@ def _sweep(keys: pa.Table, rules: pa.Table) -> pa.Table:
             stack.pop()
         best = None
         for level in stack:
-            if found := _longest_prefix(level["paths"], path):
+            if (found := _longest_prefix(level["paths"], path)) is not None:
                 rank = (len(level["host"]) + len(found), len(level["host"]))
                 if best is None or rank > best[0]:
                     best = (rank, level["host"] + found, level["verdicts"][found])
