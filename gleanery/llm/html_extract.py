@@ -242,7 +242,6 @@ def render(node: Node, depth: int = 0) -> str:
                 before = out.prefix
                 if name in ("ul", "ol", "menu", "dir"):
                     lists.append([name, int(item.attrs["start"]) if item.attrs.get("start", "").lstrip("-").isdigit() else 1])
-                    out.prefix += "  " if len(lists) > 1 else ""
                 elif name == "li":
                     if lists and lists[-1][0] == "ol":
                         out.mark, lists[-1][1] = f"{lists[-1][1]}. ", lists[-1][1] + 1
