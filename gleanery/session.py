@@ -33,3 +33,11 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, f"gleanery/{path.relative_to(root)}")
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+def durable(df):
+    """Cuts the lineage of a loop's state in the folder named by spark.checkpoint.dir, or a local one where none is named."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery-checkpoints-"))
+    return df.checkpoint()
