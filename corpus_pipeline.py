@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import ensure_checkpoint_dir
@@ -48,9 +48,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the one at a source's cut counts whole."""
-    taken = mix_sources(docs, WEIGHTS).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return docs.join(taken, "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """Each document as often as the mix takes it; the one at a source's cut counts whole. Documents without words go: the mix takes nothing of them.
+
+    Counts come back to the wide rows by a hash of id, source and text; rows alike in these share their count evenly.
+    """
+    keys = [F.xxhash64(F.lit(i), "doc_id", "source", "text").alias(f"_k{i}") for i in (0, 1)]
+    taken = mix_sources(docs.select("doc_id", "source", "text", *keys), WEIGHTS, keep=["_k0", "_k1"]).where("taken > 0")
+    times = taken.groupBy("kept__k0", "kept__k1").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_times"), F.count("*").alias("_alike"))
+    joined = docs.select("*", *keys).join(times.withColumnsRenamed({"kept__k0": "_k0", "kept__k1": "_k1"}), ["_k0", "_k1"])
+    place = F.row_number().over(Window.partitionBy("_k0", "_k1").orderBy("_k0"))
+    each = F.floor(F.col("_times") / F.col("_alike")) + (place <= F.pmod("_times", F.col("_alike"))).cast("int")
+    copies = joined.withColumn("_n", each.cast("int")).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return copies.select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
