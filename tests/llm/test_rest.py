@@ -247,6 +247,20 @@ def test_pipeline_stages_on_odd_documents(spark):
     assert left.columns == docs.columns and sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 2, 5]
 
 
+def test_mix_stage_keeps_rows_without_ids_and_repeats(spark):
+    rows = [(None, "a b c", "s"), (1, "d e", "s"), (1, "d e", "s"), (2, "f", None), (3, None, "s")] + [(i, "w " * 9, "t") for i in range(4, 12)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, size string")
+    taken = mix_sources(docs, queries.WEIGHTS).collect()
+    want = {}
+    for r in taken:
+        if r["taken"]:
+            want[r["doc_id"]] = want.get(r["doc_id"], 0) + -(-r["taken"] // r["size"])
+    got = {}
+    for r in corpus_pipeline.mix(spark, docs, SMALL).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == want and None in got
+
+
 def test_items_digest_of_nothing(spark):
     got = spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ",").cast("binary"), 256)).first()[0]
     assert got == hashlib.sha256(b"").hexdigest()
