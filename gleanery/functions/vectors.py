@@ -24,9 +24,14 @@ def unit_vector(a: Column) -> Column:
     return F.when((n > 0) & (n < float("inf")) & ~F.isnan(n), F.transform(a, lambda x: x.cast("double") / n))
 
 
+def bin_edges(bins: int = 20) -> list[float]:
+    """The inner edges of equal bins of [-1, 1], as decimals."""
+    return [round(-1 + 2 * i / bins, 10) for i in range(1, bins)]
+
+
 def score_bin(score: Column, bins: int = 20) -> Column:
-    """Bin of [-1, 1], closed below; 1 and above fall in the last. Edges are the decimals -1 + i * 2 / bins."""
-    edges = F.array(*[F.lit(round(-1 + 2 * i / bins, 10)) for i in range(1, bins)])
+    """Bin of [-1, 1], closed below; 1 and above fall in the last."""
+    edges = F.array(*[F.lit(e) for e in bin_edges(bins)])
     return F.aggregate(edges, F.lit(0), lambda n, e: n + (score >= e).cast("int"))
 
 

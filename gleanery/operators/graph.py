@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.hashing import seeded_priority
-from gleanery.functions.vectors import plane_signature, unit_vector
+from gleanery.functions.vectors import bin_edges, plane_signature, unit_vector
 from gleanery.session import durable
 
 TILE_ROWS = 4096
@@ -42,50 +42,107 @@ def _tiles(rows: DataFrame, count: int, right_side: bool | None) -> DataFrame:
     return rows.select(F.col(ti).alias("ti"), F.col(tj).alias("tj"), F.lit(right_side).alias("right"), "id", "unit", "p", "z")
 
 
-def theta_pairs(left: DataFrame, tau: float, right: DataFrame | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(lid, lunit, lp, rid, runit, rp, score) with score > tau, strictly. Without ``right``: each unordered pair once, the row of higher priority (smaller p, then id) on the right."""
-    tiles = lambda df: max(1, -(-df.count() // tile_rows))
+def _dealt(left: DataFrame, right: DataFrame | None, tile_rows: int) -> DataFrame:
+    """Rows with tiles of at most about ``tile_rows`` rows a side, and some tiles for every core once there are a thousand rows."""
+
+    def buckets(df: DataFrame) -> int:
+        n = df.count()
+        return max(1, -(-n // tile_rows), min(4, n // 256))
+
     if right is None:
-        dealt, own = _tiles(left, tiles(left), None), True
-    else:
-        count = max(tiles(left), tiles(right))
-        dealt, own = _tiles(left, count, False).unionByName(_tiles(right, count, True)), False
-    types = dict(left.dtypes)
-    schema = f"lid {types['id']}, lunit {types['unit']}, lp string, rid {types['id']}, runit {types['unit']}, rp string, score double"
+        return _tiles(left, buckets(left), None)
+    count = max(buckets(left), buckets(right))
+    return _tiles(left, count, False).unionByName(_tiles(right, count, True))
 
-    def join(table: pa.Table) -> pa.Table:
+
+class _Tile:
+    """Both sides of a tile, and the scores between chunks of the left and all of the right."""
+
+    def __init__(self, table: pa.Table, own: bool):
         side = np.asarray(table["right"].combine_chunks().cast(pa.int8())).astype(bool)
         z = table["z"].combine_chunks()
-        x = np.asarray(z.flatten()).reshape(len(z), -1)
-        a, b = np.flatnonzero(~side), np.flatnonzero(side)
-        found_a, found_b, scores = [], [], []
-        for i in range(0, len(a), 1024):
-            part = a[i : i + 1024]
-            u, v = np.nonzero(x[part] @ x[b].T > tau - 1e-9)
-            u, v = part[u], b[v]
-            score = np.zeros(len(u))
-            for k in range(x.shape[1]):  # in coordinate order
-                score += x[u, k] * x[v, k]
+        self.x = np.asarray(z.flatten()).reshape(len(z), -1)
+        self.ids = np.asarray(table["id"].combine_chunks())
+        self.left, self.right = np.flatnonzero(~side), np.flatnonzero(side)
+        #: Both sides of a diagonal tile of a self join hold the same rows; a pair counts where the left id is smaller.
+        self.twice = own and table["ti"][0] == table["tj"][0]
+
+    def chunks(self):
+        far = self.x[self.right].T
+        for i in range(0, len(self.left), 512):
+            part = self.left[i : i + 512]
+            near = self.x[part] @ far
+            if self.twice:
+                near[self.ids[part][:, None] >= self.ids[self.right][None, :]] = -np.inf
+            yield part, near
+
+    def exact(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Dot products in coordinate order."""
+        score = np.zeros(len(u))
+        for k in range(self.x.shape[1]):
+            score += self.x[u, k] * self.x[v, k]
+        return score
+
+
+def theta_pairs(left: DataFrame, tau: float, right: DataFrame | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(lid, lunit, rid, runit, score) with score > tau, strictly. Without ``right``: each unordered pair once, the row of higher priority (smaller p, then id) on the right."""
+    own = right is None
+    types = dict(left.dtypes)
+    schema = f"lid {types['id']}, lunit {types['unit']}, rid {types['id']}, runit {types['unit']}, score double"
+
+    def join(table: pa.Table) -> pa.Table:
+        tile = _Tile(table, own)
+        none = tile.left[:0]
+        found = [(none, none, np.zeros(0))]
+        for part, near in tile.chunks():
+            u, v = np.nonzero(near > tau - 1e-9)
+            u, v = part[u], tile.right[v]
+            score = tile.exact(u, v)
             keep = score > tau
-            found_a.append(u[keep])
-            found_b.append(v[keep])
-            scores.append(score[keep])
-        u, v = np.concatenate(found_a or [a[:0]]), np.concatenate(found_b or [b[:0]])
-        score = np.concatenate(scores or [np.zeros(0)])
+            found.append((u[keep], v[keep], score[keep]))
+        u, v, score = (np.concatenate(x) for x in zip(*found, strict=True))
         if own:
-            p, ids = np.array(table["p"].to_pylist(), object), np.asarray(table["id"].combine_chunks())
+            p = np.array(table["p"].to_pylist(), str)
             rank = np.empty(len(p), np.int64)
-            rank[np.lexsort((ids, p.astype(str)))] = np.arange(len(p))
-            same_tile = table["ti"][0] == table["tj"][0]
-            if same_tile:  # both sides hold the same rows
-                keep = ids[u] < ids[v]
-                u, v, score = u[keep], v[keep], score[keep]
+            rank[np.lexsort((tile.ids, p))] = np.arange(len(p))
+            # Copies of a row on both sides rank next to each other, so the order of different rows is right.
             later = rank[u] > rank[v]
             u, v = np.where(later, u, v), np.where(later, v, u)
         take = lambda name, at: table[name].combine_chunks().take(pa.array(at))
-        return pa.table({"lid": take("id", u), "lunit": take("unit", u), "lp": take("p", u), "rid": take("id", v), "runit": take("unit", v), "rp": take("p", v), "score": pa.array(score)})
+        return pa.table({"lid": take("id", u), "lunit": take("unit", u), "rid": take("id", v), "runit": take("unit", v), "score": pa.array(score)})
+
+    return _dealt(left, right, tile_rows).groupBy("ti", "tj").applyInArrow(join, schema)
+
+
+def pair_counts(rows: DataFrame, cuts: list[float], strict: bool = True, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row with n0, n1, …: unordered pairs with a score over (or, not strict, at least) each cut. Tiles send counts, never pairs."""
+
+    def count(table: pa.Table) -> pa.Table:
+        tile = _Tile(table, True)
+        total = np.zeros(len(cuts), np.int64)
+        for part, near in tile.chunks():
+            for i, cut in enumerate(cuts):
+                total[i] += np.count_nonzero(near > cut + 1e-9)
+                u, v = np.nonzero(np.abs(near - cut) <= 1e-9)
+                score = tile.exact(part[u], tile.right[v])
+                total[i] += np.count_nonzero(score > cut if strict else score >= cut)
+        return pa.table({"i": pa.array(np.arange(len(cuts), dtype=np.int32)), "n": pa.array(total)})
+
+    counts = _dealt(rows, None, tile_rows).groupBy("ti", "tj").applyInArrow(count, "i int, n long")
+    return counts.agg(*[F.coalesce(F.sum(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(len(cuts))])
+
+
+def tail_census(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    """(cut, n_pairs): pairs over each cut, in one pass."""
+    counts = pair_counts(rows, cuts)
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(f"n{i}").alias("n_pairs")) for i, c in enumerate(cuts)])).alias("x")).select("x.*")
+
 
-    return dealt.groupBy("ti", "tj").applyInArrow(join, schema)
+def score_histogram(rows: DataFrame, bins: int = 20) -> DataFrame:
+    """(bin, n_pairs) of the bins of [-1, 1] that aren't empty."""
+    counts = pair_counts(rows, [-2.0, *bin_edges(bins)], strict=False)
+    each = [F.struct(F.lit(i).alias("bin"), (F.col(f"n{i}") - (F.col(f"n{i + 1}") if i + 1 < bins else F.lit(0))).alias("n_pairs")) for i in range(bins)]
+    return counts.select(F.explode(F.array(*each)).alias("x")).select("x.*").where("n_pairs > 0")
 
 
 def blocker_edges(rows: DataFrame, tau: float, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -101,11 +158,29 @@ def signature_candidates(rows: DataFrame, tables: list[list[list[int]]]) -> Data
     return signed.select(F.col("id").alias("a"), "tab", "sig").join(other, ["tab", "sig"]).where("a < b").select("a", "b").distinct()
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, tau: float = -2.0) -> DataFrame:
-    """(lid, rid, score) of the candidate with the largest score, the smaller id on ties."""
-    pairs = theta_pairs(queries, tau, candidates)
-    best = pairs.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rid").alias("rid"))).alias("m"))
-    return best.select("lid", F.col("m.rid").alias("rid"), (-F.col("m.s")).alias("score"))
+def nearest(queries: DataFrame, candidates: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(lid, rid, score) of the candidate with the largest score, the smaller id on ties. A tile sends one row for each of its queries."""
+    kind = dict(queries.dtypes)["id"]
+
+    def best(table: pa.Table) -> pa.Table:
+        tile = _Tile(table, False)
+        lid, rid, top = [], [], []
+        for part, near in tile.chunks():
+            if near.shape[1]:
+                u, v = np.nonzero(near >= near.max(axis=1, keepdims=True) - 1e-9)
+                score = tile.exact(part[u], tile.right[v])
+                order = np.lexsort((tile.ids[tile.right[v]], -score, u))
+                first = order[np.unique(u[order], return_index=True)[1]]
+                lid.append(part[u[first]])
+                rid.append(tile.right[v[first]])
+                top.append(score[first])
+        at = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+        ids = table["id"].combine_chunks()
+        return pa.table({"lid": ids.take(at(lid)), "rid": ids.take(at(rid)), "score": pa.array(np.concatenate(top) if top else np.zeros(0))})
+
+    found = _dealt(queries, candidates, tile_rows).groupBy("ti", "tj").applyInArrow(best, f"lid {kind}, rid {kind}, score double")
+    top = found.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rid").alias("rid"))).alias("m"))
+    return top.select("lid", F.col("m.rid").alias("rid"), (-F.col("m.s")).alias("score"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -116,9 +116,3 @@ def source_singletons(found: DataFrame) -> DataFrame:
 
 def distinct_owners(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rid").agg(F.countDistinct("bown").alias("n_owners"), F.count("*").alias("n_blockers"))
-
-
-def tail_census(pairs: DataFrame, cuts: list[float]) -> DataFrame:
-    """(cut, n_pairs): pairs over each cut, in one pass."""
-    sums = pairs.agg(*[F.sum((F.col("score") > c).cast("long")).alias(f"c{i}") for i, c in enumerate(cuts)])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("n_pairs")) for i, c in enumerate(cuts)])).alias("x")).select("x.*")

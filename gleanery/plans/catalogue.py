@@ -338,13 +338,12 @@ def selection_difference(spark, sf_dir):
 
 @query(f"WITH {_U}, p AS (SELECT list_dot_product(l.z, r.z) AS score FROM u l JOIN u r ON l.id < r.id) SELECT least(19, greatest(0, CAST(floor(round((score + 1) * 10, 9)) AS INTEGER))) AS bin, count(*) AS n_pairs FROM p GROUP BY 1")
 def score_bins(spark, sf_dir):
-    pairs = graph.theta_pairs(vector_rows(spark, sf_dir), -2.0)
-    return pairs.groupBy(vectors.score_bin(F.col("score")).alias("bin")).agg(F.count("*").alias("n_pairs"))
+    return graph.score_histogram(vector_rows(spark, sf_dir))
 
 
 @query(f"WITH {_U}, p AS (SELECT list_dot_product(l.z, r.z) AS score FROM u l JOIN u r ON l.id < r.id) SELECT cut, (SELECT count(*) FROM p WHERE score > cut) AS n_pairs FROM (SELECT CAST(unnest({CUTS}) AS DOUBLE) AS cut)")
 def tail_census(spark, sf_dir):
-    return structure.tail_census(graph.theta_pairs(vector_rows(spark, sf_dir), -2.0), CUTS)
+    return graph.tail_census(vector_rows(spark, sf_dir), CUTS)
 
 
 @query(f"WITH {_E} SELECT CASE WHEN (score - {TAU}) / (1 - {TAU}) < 0.25 THEN 0 WHEN (score - {TAU}) / (1 - {TAU}) < 0.5 THEN 1 WHEN (score - {TAU}) / (1 - {TAU}) < 0.75 THEN 2 ELSE 3 END AS band, CASE WHEN rown = bown THEN 'equal' ELSE 'unequal' END AS relation, count(*) AS n FROM edges GROUP BY 1, 2")

@@ -123,7 +123,12 @@ def test_grid_meets_every_pair_once(spark, tile):
     rows = graph.nodes(df, "i", "u", "v")
     got = graph.theta_pairs(rows, -2.0, tile_rows=tile).collect()
     assert len(got) == 37 * 36 // 2 == len({frozenset((r["lid"], r["rid"])) for r in got})
-    assert all((r["rp"], r["rid"]) < (r["lp"], r["lid"]) for r in got)
+    p = {r["id"]: (r["p"], r["id"]) for r in rows.collect()}
+    assert all(p[r["rid"]] < p[r["lid"]] for r in got)
+    assert graph.pair_counts(rows, [-2.0, 0.1], tile_rows=tile).first() == (666, sum(r["score"] > 0.1 for r in got))
+    close = {r["lid"]: (r["rid"], r["score"]) for r in graph.nearest(rows.where("id < 20"), rows.where("id >= 20"), tile_rows=tile).collect()}
+    every = {(r["lid"], r["rid"]): r["score"] for r in graph.theta_pairs(rows.where("id < 20"), -2.0, rows.where("id >= 20"), tile_rows=tile).collect()}
+    assert all(close[i] == (max(range(20, 37), key=lambda j: every[i, j]), max(every[i, j] for j in range(20, 37))) for i in range(20))
     two = graph.theta_pairs(rows.where("id < 20"), -2.0, rows.where("id >= 20"), tile_rows=tile)
     assert two.count() == 20 * 17 and two.where("lid >= 20 or rid < 20").count() == 0
 
