@@ -69,3 +69,16 @@ def table_digest(df: DataFrame) -> DataFrame:
     """Order-insensitive state digest: rows, and the exclusive or and sum of row hashes."""
     h = F.xxhash64(*sorted(df.columns))
     return df.agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("hash_xor"), F.sum(F.shiftright(h, 32)).alias("hash_sum"))
+
+
+# The Poisson distribution with mean 1 at 0 to 6.
+POISSON_STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
+def resample_weight(salt: str, replicate: Column, unit: Column) -> Column:
+    """How often a unit is in a replicate: Poisson with mean 1, read off a hash."""
+    u = hash_number(salt, F.concat_ws("|", replicate.cast("string"), unit.cast("string"))) / F.lit(float(2**32))
+    out = F.lit(0)
+    for step in POISSON_STEPS:
+        out = out + (u >= step).cast("int")
+    return out

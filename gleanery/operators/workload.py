@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.hashing import hash_number, salted_hash
+from gleanery.functions.hashing import hash_number, resample_weight, salted_hash
 
 
 def stratified_sample(frame: DataFrame, strata: list[str], key: Column, n: int, salt: str) -> DataFrame:
@@ -141,12 +141,7 @@ def bootstrap(values: DataFrame, unit: str, value: str, replicates: int, salt: s
     """
     means = values.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     grid = means.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = hash_number(salt, F.concat_ws("|", F.col("rep").cast("string"), F.col(unit).cast("string"))) / F.lit(float(2**32))
-    # The Poisson distribution with mean 1 at 0 to 6.
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + (u >= s).cast("int")
+    weight = resample_weight(salt, F.col("rep"), F.col(unit))
     by = grid.withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
     centre = values.agg(F.avg(value).alias("mean"))
     return by.agg(F.percentile("m", levels[0]).alias("low"), F.percentile("m", levels[1]).alias("high")).join(centre)

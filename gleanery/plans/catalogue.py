@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import exact, hashing, text, vectors
-from gleanery.operators import evaluation, graph, guards, moments, selection, structure, windows, workload
+from gleanery.operators import evaluation, graph, guards, inference, moments, selection, structure, windows, workload
 from gleanery.sources.readers import explode_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -826,3 +826,43 @@ def repeated_deletes(spark, sf_dir):
 
 
 ORACLE_SQL["repeated_deletes"] = f"WITH {_E} SELECT id, true AS in_steps, true AS at_once FROM u WHERE unit NOT IN (3, 1, 7) AND id NOT IN (SELECT rid FROM edges WHERE bown NOT IN (3, 1, 7))"
+
+
+@query(f"WITH {_E.replace(str(TAU) + ')', '0.28)')} SELECT id, id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT}) AS certain FROM u WHERE unit <> {UNIT} AND id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT} AND score > 0.32)")
+def selection_envelope(spark, sf_dir):
+    return inference.envelope(vector_rows(spark, sf_dir), TAU, 0.02, units(spark, UNIT))
+
+
+@query(f"""WITH {_T}, {_PATHS}, d AS (SELECT trajectory_id, k, list(unit) AS gone FROM at_k WHERE k = 4 GROUP BY 1, 2), x AS (SELECT trajectory_id, count(*) FILTER (len(tail) > 0 AND NOT list_contains(gone, own) AND list_has_all(gone, tail)) AS admitted, count(*) FILTER (list_contains(gone, own)) AS del FROM d, terms GROUP BY 1)
+SELECT CAST(trajectory_id AS INTEGER) AS trajectory_id, admitted, admitted > 0 AS any_admitted, round(admitted / nullif(del, 0), 9) AS per_deleted FROM x""")
+def admission_metrics(spark, sf_dir):
+    rows, edges = edge_rows(spark, sf_dir)
+    obs = workload.observations(_paths(spark, sf_dir, rows), rows, edges, [4])
+    return obs.select("trajectory_id", "admitted", (F.col("admitted") > 0).alias("any_admitted"), F.round(F.col("admitted") / F.nullif("deleted_records", F.lit(0)), 9).alias("per_deleted"))
+
+
+@query("WITH t AS (SELECT source, CAST(quality AS DOUBLE) AS q, CAST(toxic AS DOUBLE) AS t FROM labels JOIN documents USING (doc_id)) SELECT round(sum(q) / sum(1), 9) AS ratio FROM t")
+def crossed_bootstrap(spark, sf_dir):
+    t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id").select("source", "lang", F.col("quality").cast("double").alias("q"), F.lit(1.0).alias("one"))
+    return inference.crossed_bootstrap(t, "lang", "source", "q", "one", 200, "crossed").select(F.round("ratio", 9).alias("ratio"))
+
+
+@query("WITH t AS (SELECT lang, avg(CAST(quality AS DOUBLE)) AS m FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT round(avg(m), 9) AS mean FROM t")
+def equal_arm_mean(spark, sf_dir):
+    t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id").withColumn("q", F.col("quality").cast("double"))
+    return inference.equal_arm_bootstrap(t, "lang", "source", "q", 200, "arms").select(F.round("mean", 9).alias("mean"))
+
+
+@query()
+def logistic_thresholds(spark, sf_dir):
+    rows = vector_rows(spark, sf_dir).select("z", F.col("unit").alias("fold"), (F.col("unit") % 2).alias("y")).withColumn("fold", F.col("fold") % 3)
+    return inference.logistic_thresholds(rows, "z", "y", "fold", 64, 1e-2)
+
+
+@query()
+def stratified_bounds(spark, sf_dir):
+    """Bounds on toxic documents by quality stratum, from a hash sample of the labels."""
+    rows = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
+    drawn = workload.stratified_sample(rows, ["quality"], F.col("doc_id"), 20, "strata").groupBy("quality").agg(F.first("stratum_rows").alias("n"), F.count("*").alias("k"), F.sum("toxic").alias("x"))
+    found = [(r["n"], r["k"], r["x"], 0) for r in drawn.collect()]
+    return spark.createDataFrame([inference.stratified_interval(found)], "lower long, upper long")

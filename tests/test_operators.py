@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import exact, hashing, text, vectors
-from gleanery.operators import evaluation, graph, guards, moments, selection, structure, windows, workload
+from gleanery.operators import evaluation, graph, guards, inference, moments, selection, structure, windows, workload
 from gleanery.streaming.deletes import DeletionState, stream_requests
 
 
@@ -328,3 +328,60 @@ def test_logistic_regression_is_stationary(regression):
     changed = -(x[:20].T @ (1 / (1 + np.exp(-(x[:20] @ w))) - c[:20]))
     direct = x[keep].T @ (1 / (1 + np.exp(-(x[keep] @ w))) - c[keep]) / 100 + 0.1 * w
     assert np.allclose(moments.warm_gradient(gradient, 120, changed, 100, 0.1, w), direct)
+
+
+# Inference ----------------------------------------------------------------------------------------------------------
+
+
+def test_intervals_hold_the_estimate(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(f"p{i % 8}", f"s{i % 5}", "RS"[i % 2], rng.random(), 1.0, 0.5) for i in range(80)], "path string, source string, arm string, a double, b double, c double")
+    for got, centre in [
+        (inference.crossed_bootstrap(df, "path", "source", "a", "b", 200, "x"), "ratio"), (inference.paired_ratio_bootstrap(df, "path", "a", "c", 200, "x"), "ratio"),
+        (inference.equal_arm_bootstrap(df, "arm", "path", "a", 200, "x"), "mean"), (workload.bootstrap(df, "path", "a", 200, "x"), "mean"),
+    ]:
+        r = got.first()
+        assert r["low"] < r[centre] < r["high"]
+
+
+def test_envelope_holds_every_threshold(spark):
+    rng = np.random.default_rng(1)
+    rows = graph.nodes(spark.createDataFrame([(i, i % 4, rng.standard_normal(5).tolist()) for i in range(40)], "i long, u long, v array<double>"), "i", "u", "v").cache()
+    gone = units(spark, [2])
+    got = inference.envelope(rows, 0.6, 0.1, gone)
+    for tau in (0.51, 0.6, 0.69):
+        now = selection.selection_after(rows, graph.blocker_edges(rows, tau), gone)
+        assert inference.contained(got.where("certain"), now) and inference.contained(now, got)
+    rows.unpersist()
+
+
+def test_panel_and_strata(spark):
+    label = lambda rows: spark.createDataFrame(rows, "pair_id long, label long")
+    first, again = label([(i, 1) for i in range(10)]), label([(i, int(i != 3)) for i in range(20)])
+    assert inference.validate_panel(first, again, 20) == {"lower": 19, "passes": True, "overlap": 10, "changed": 1}
+    low, high = inference.stratified_interval([(10, 10, 4, 0), (30, 0, 0, 0)])
+    assert (low, high) == (4, 34)
+
+
+def test_certificates_charts_and_words():
+    rows = [([Fraction(1), Fraction(i, 3)], Fraction(i % 2)) for i in range(6)]
+    w = np.zeros(2)
+    x, y = np.array([[float(a) for a in r] for r, _ in rows]), np.array([float(t) for _, t in rows])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / 6 + 0.1 * np.eye(2), x.T @ (p - y) / 6 + 0.1 * w)
+    assert inference.logistic_certificate(rows, [Fraction(float(v)) for v in w], Fraction(1, 10)) < Fraction(1, 10**8)
+    assert inference.logistic_certificate(rows, [Fraction(0), Fraction(0)], Fraction(1, 10)) > Fraction(1, 100)
+    assert inference.canonical_chart([[1, 2, 3], [2, 4, 7]]) == inference.canonical_chart([[0, 0, 5], [3, 6, 0]]) == ([0, 2], [[1, 2, 0], [0, 0, 1]])
+    state = (9, [0, 4, 8], [1, 0, 1])
+    assert inference.decode_words(inference.encode_words(*state)) == state
+    for bad in (inference.encode_words(*state)[:-1] + b"\xff", inference.encode_words(*state)[:-1], b"W1"):
+        with pytest.raises(ValueError):
+            inference.decode_words(bad)
+    one = [[Fraction(1)]]
+    with pytest.raises(ArithmeticError):
+        inference.strict_release(one, one, Fraction(1), [[Fraction(9)]], Fraction(1, 10))
+    assert inference.strict_release(one, one, Fraction(1), [[Fraction(1, 2)]], Fraction(0)) == [[Fraction(1, 2)]]
+    assert inference.envelope_radius(Fraction(1), Fraction(2), Fraction(3), Fraction(1, 2)) == 10
+    plan = dict(inference.precision_plan([0.1, -0.2, 0.3, 0.0, 0.2], [5, 200], 0.1))
+    assert plan[200] > plan[5]
