@@ -59,13 +59,21 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
         each = np.array(counts, np.int64)
         full = np.flatnonzero(each)
         if len(full):
-            bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, np.cumsum(each[full]) - each[full], axis=0, dtype=np.int32)
+            ones = _bit_counts(np.array(hashes, np.uint64), each[full])
             over = (2 * ones > each[full][:, None]).astype(np.uint8)
             out[np.arange(i, j)[full]] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
+def _bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of each document's hashes have each bit; the hashes of a long document are taken in slices."""
+    unpack = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    if len(sizes) == 1:
+        step = 1 << 16
+        return sum(unpack(hashes[i : i + step]).sum(axis=0, dtype=np.int64) for i in range(0, len(hashes), step))[None, :]
+    return np.add.reduceat(unpack(hashes), np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+
+
 # Anchors ----------------------------------------------------------------------------------------------------------
 
 _TABLES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -142,11 +150,12 @@ def near_links(fps: DataFrame, bits: int = 4) -> DataFrame:
                 if len(names):
                     at = np.minimum(np.searchsorted(names, key), len(names) - 1)
                     n = np.where(names[at] == key, salts[at], 1)
-                    salt[role == 1] = (mix(fp[role == 1]) % n[role == 1].astype(np.uint64)).astype(np.int64)
-                    more = np.flatnonzero((role == 0) & (n > 1))
-                    for i in more.tolist():  # replicas meet every share of a hot anchor's homes
-                        key, fp = np.concatenate((key, np.full(n[i] - 1, key[i]))), np.concatenate((fp, np.full(n[i] - 1, fp[i])))
-                        role, salt = np.concatenate((role, np.zeros(n[i] - 1, np.uint8))), np.concatenate((salt, np.arange(1, n[i])))
+                    times = np.where(role == 0, n, 1)  # replicas meet every share of a hot anchor's homes
+                    row = np.repeat(np.arange(len(key)), times)
+                    share = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                    own = (mix(fp) % n.astype(np.uint64)).astype(np.int64)
+                    key, fp, role = key[row], fp[row], role[row]
+                    salt = np.where(role == 1, own[row], share)
                 group = (mix(key.astype(np.uint64) ^ (salt.astype(np.uint64) << np.uint64(40))) >> np.uint64(32)).astype(np.int64) & (groups - 1)
                 order = np.argsort(group, kind="stable")
                 cuts = np.searchsorted(group[order], np.arange(groups + 1))
