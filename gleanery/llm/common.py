@@ -34,11 +34,6 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).first()["n"] or 0
 
 
-def columns_or_null(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; whatever else the table carries is pruned at the scan."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 # Word buffers -----------------------------------------------------------------------------------------------------
 
 

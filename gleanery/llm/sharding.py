@@ -64,30 +64,30 @@ def ring_shards(rows: DataFrame, key: Column, ties: list[str], shards: int, vnod
     ``key`` names a row on the ring, a null key is the empty name; rows with one key are ordered by ``ties``, and rows alike in
     both are interchangeable. An empty table gives no rows. Rows hold at most ``load_factor`` times the mean (1: counts at most one apart).
     """
-    if shards < 1 or vnodes < 1:
-        raise ValueError("shards and vnodes must be positive")
+    if shards < 1 or vnodes < 1 or shards * vnodes >= 1 << 16:
+        raise ValueError("shards and vnodes must be positive, and the ring under 65536 virtual nodes")
     spark = rows.sparkSession
     ring = F.broadcast(virtual_nodes(spark, shards, vnodes))  # shards * vnodes rows, whatever the data
     rows = rows.withColumn("_point", ring_point(F.coalesce(key.cast("string"), F.lit(""))))
     rows = rows.withColumn("_slice", F.shiftright("_point", RING_BITS - 12).cast("int"))
-    arcs = F.array_sort(F.collect_list("point"))
-    # Loads by arc: partial counts by (slice, arc); arcs are found in the sorted array of the ring's points.
-    points = F.broadcast(virtual_nodes(spark, shards, vnodes).agg(arcs.alias("_arcs")))
     slices = rows.select("_slice").groupBy("_slice").agg(F.count("*").alias("_n"))  # SLICES rows at most
     slices = slices.withColumn("_before", F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).drop("_n")
-    edges = rows.select("_point").join(points).select(_clockwise(F.col("_point"), F.col("_arcs")).alias("point"))
+    # Loads by virtual node, found by bisection in the sorted points of the ring: one array, as a scalar subquery.
+    arcs = virtual_nodes(spark, shards, vnodes).agg(F.array_sort(F.collect_list("point")).alias("_arcs")).scalar()
+    edges = rows.select("_point").withColumn("_arcs", arcs).select(_clockwise(F.col("_point"), F.col("_arcs")).alias("point"))
     plan = ring_plan(ring, edges.groupBy("point").agg(F.count("*").alias("load")), shards, vnodes, load_factor)
-    runs = plan.where("served > 0").agg(F.array_sort(F.collect_list(F.struct("first", "shard", "slot_first"))).alias("_runs"), F.max("start").alias("_start"), F.max("total").alias("_total"))
+    runs = F.struct(F.array_sort(F.collect_list(F.struct("first", "shard", "slot_first"))).alias("runs"), F.max("start").alias("start"), F.max("total").alias("total"))
+    runs = plan.where("served > 0").agg(runs.alias("_served")).scalar()
     within = Window.partitionBy("_slice").orderBy("_point", *ties)
-    ranked = rows.withColumn("_in", F.row_number().over(within) - 1).join(F.broadcast(slices), "_slice")
-    ranked = ranked.join(F.broadcast(runs)).withColumn("_rank", F.pmod(F.col("_before") + F.col("_in") - F.col("_start"), F.col("_total")))
-    ranked = ranked.withColumn("_run", _run_of(F.col("_rank"), F.col("_runs")))
+    ranked = rows.withColumn("_in", F.row_number().over(within) - 1).join(F.broadcast(slices), "_slice").withColumn("_served", runs)
+    ranked = ranked.withColumn("_rank", F.pmod(F.col("_before") + F.col("_in") - F.col("_served.start"), F.col("_served.total")))
+    ranked = ranked.withColumn("_run", _run_of(F.col("_rank"), F.col("_served.runs")))
     ranked = ranked.withColumn("shard", F.col("_run.shard").cast("int")).withColumn("slot", (F.col("_rank") - F.col("_run.first") + F.col("_run.slot_first")).cast("long"))
-    return ranked.drop("_point", "_slice", "_in", "_before", "_runs", "_start", "_total", "_rank", "_run")
+    return ranked.drop("_point", "_slice", "_in", "_before", "_served", "_rank", "_run")
 
 
 def _search(arr: Column, below) -> Column:
-    """Number of leading elements for which ``below`` holds, by bisection in the sorted array: 24 halvings hold any ring."""
+    """Number of leading elements for which ``below`` holds, by bisection in the sorted array; 16 halvings hold any ring."""
     start = F.struct(F.lit(0).alias("lo"), F.size(arr).alias("hi"))
 
     def step(acc: Column, _: Column) -> Column:
