@@ -45,7 +45,16 @@ def features(texts: list[str]) -> np.ndarray:
     x = np.zeros((len(texts), SLOTS), np.float32)
     for i, text in enumerate(texts):
         presence(text, x[i])
-    return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    return _unit(x)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    return x
+
+
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    return _unit(np.unpackbits(packed, axis=1).astype(np.float32))
 
 
 @dataclass
@@ -59,26 +68,28 @@ class Model:
         return (features(texts) @ self.landmarks) @ self.weights + self.bias
 
 
-def fit(rows: np.ndarray, labels: list[str], ridge: float = RIDGE, landmarks: int = LANDMARKS) -> Model:
-    """Kernel ridge regression on the Nyström features of unit presence rows; landmarks take the languages in turn."""
+def fit(packed: np.ndarray, labels: list[str], ridge: float = RIDGE, landmarks: int = LANDMARKS) -> Model:
+    """Kernel ridge regression on the Nyström features of packed presence rows; landmarks take the languages in turn. Few rows are unpacked at a time."""
     languages = sorted(set(labels))
     names = np.array([languages.index(x) for x in labels])
     turn = np.zeros(len(names), np.int64)
     for c in range(len(languages)):
         turn[names == c] = np.arange((names == c).sum())
     chosen = np.lexsort((names, turn))[:landmarks]
-    marks = rows[chosen].astype(np.float64)
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-8 * values.max()
+    marks = _unpacked(packed[chosen])
+    kernel = np.concatenate([_unpacked(packed[i : i + BATCH_ROWS]) @ marks.T for i in range(0, len(packed), BATCH_ROWS)]).astype(np.float64)
+    square = kernel[chosen]
+    values, vectors = np.linalg.eigh((square + square.T) / 2)
+    good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (rows.astype(np.float64) @ marks.T) @ root
+    phi = kernel @ root
     target = np.where(names[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = 1.0 / np.bincount(names, minlength=len(languages))[names]
     weight = (weight / weight.mean())[:, None]
     middle, offset = (phi * weight).mean(axis=0), (target * weight).mean(axis=0)
     x = phi - middle
     beta = np.linalg.solve(x.T @ (x * weight) + ridge * len(x) * np.eye(x.shape[1]), x.T @ ((target - offset) * weight))
-    return Model(languages, np.ascontiguousarray(marks.T, np.float32), (root @ beta).astype(np.float32), (offset - middle @ beta).astype(np.float32))
+    return Model(languages, np.ascontiguousarray(marks.T), (root @ beta).astype(np.float32), (offset - middle @ beta).astype(np.float32))
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> Model | None:
@@ -110,9 +121,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = sorted((r["rank"], r["lang"], bytes(r["bits"])) for r in packed.limit(2 * rows).collect())
     if not found:
         return None
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, _, b in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
-    return fit(x, [lang for _, lang, _ in found])
+    return fit(np.frombuffer(b"".join(b for _, _, b in found), np.uint8).reshape(len(found), -1), [lang for _, lang, _ in found])
 
 
 def fold_of(id_, folds: int):
