@@ -61,13 +61,25 @@ def weighted_agreement(ratings: DataFrame, unit: str, label: str, raters: int =
     return out.select("units", "agreement", F.when(F.col("chance") < 1 - 1e-12, (F.col("agreement") - F.col("chance")) / (1 - F.col("chance"))).alias("kappa"))
 
 
-def tie_curve(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """(score, tp, fp, positives, negatives) cumulated over distinct scores from the top; the window sees one row per score."""
+def tie_curve(scored: DataFrame, group: list[str] | None = None, slices: int = 64) -> DataFrame:
+    """(score, tp, fp, positives, negatives) cumulated over distinct scores from the top.
+
+    Scores are cut at approximate quantiles into ``slices`` ranges; sums run inside a range, and the sums of the ranges
+    above, one row for each, are added. So no task orders all scores. Null scores come last and NaN first.
+    """
     group = group or []
     ties = scored.groupBy(*group, "score").agg(F.sum("target").alias("p"), F.sum(1 - F.col("target")).alias("n"))
-    down = Window.partitionBy(*group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = sorted(set(ties.select(F.col("score").cast("double").alias("score")).approxQuantile("score", [i / slices for i in range(1, slices)], 0.002))) if slices > 1 else []
+    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("score"))) if cuts else F.lit(0)
+    ties = ties.withColumn("slice", F.when(F.col("score").isNull(), len(cuts) + 1).otherwise(above))
+    before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*group)
-    return ties.select(*group, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("positives"), F.sum("n").over(every).alias("negatives"))
+    totals = ties.groupBy(*group, "slice").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    totals = totals.select(*group, "slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("sp", "sn")], F.sum("sp").over(every).alias("positives"), F.sum("sn").over(every).alias("negatives"))
+    down = Window.partitionBy(*group, "slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = ties.select(*group, "slice", "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp")).alias("i")
+    met = inner.join(totals.alias("t"), reduce(lambda a, b: a & b, [F.col(f"i.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*group, "slice"]]))
+    return met.select(*[F.col(f"i.{c}") for c in [*group, "score", "p", "n"]], (F.col("tp") + F.col("sp_before")).alias("tp"), (F.col("fp") + F.col("sn_before")).alias("fp"), "positives", "negatives")
 
 
 def ranking_metrics(scored: DataFrame) -> DataFrame:

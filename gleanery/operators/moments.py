@@ -183,3 +183,15 @@ def spherical_kmeans(df: DataFrame, vector: str, k: int, seed: int = 1):
     rows = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
     model = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="_features", predictionCol="cluster").fit(rows)
     return model, model.transform(rows).drop("_features")
+
+
+def utility_panel(chosen: DataFrame, test: DataFrame, vector: str, target: str, method: str, dims: int, ridge: float) -> DataFrame:
+    """(method, n_test, mse, mae): a ridge model for each method's selection, all scored on the same test rows in one pass.
+
+    Methods are few; the driver holds d numbers for each. A method without rows has the zero model.
+    """
+    fits = {name: solve_gated(gram, cross, n, ridge) for name, (gram, cross, n) in unpack(packed_moments(chosen, vector, target, group=method), dims).items()}
+    models = F.array(*[F.struct(F.lit(name).alias("method"), F.lit([float(x) for x in w]).alias("w")) for name, w in sorted(fits.items())])
+    scored = test.select(F.col(vector).alias("x"), F.col(target).cast("double").alias("y"), F.explode(models).alias("m"))
+    error = F.aggregate(F.zip_with("x", "m.w", lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a) - F.col("y")
+    return scored.groupBy("m.method").agg(F.count("*").alias("n_test"), F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"))

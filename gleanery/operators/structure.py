@@ -66,16 +66,21 @@ def key_text(key: Column) -> Column:
     return F.array_join(F.transform(key, lambda x: x.cast("string")), ",")
 
 
-def incidence_census(found: DataFrame, horizon: int) -> DataFrame:
-    """One row: eligible, interior, boundary and own-blocked records, keys, ungrounded components, rank.
+def component_labels(found: DataFrame, horizon: int) -> DataFrame:
+    """(node, label): keys as "k:" and their text, and "ground", with the smallest node of their component; a component with ground has the label "ground".
 
     A record within the horizon links its blocker key to the key with its own unit, or to ground where that is over the
-    horizon; the rank is the number of keys less the components without ground.
+    horizon.
     """
     usable = found.where(~F.array_contains("tail", F.col("own")) & (F.size("tail") <= horizon))
     head = F.when(F.size("tail") < horizon, key_text(F.array_sort(F.array_append("tail", F.col("own"))))).otherwise("ground")
     links = usable.select(F.concat(F.lit("k:"), key_text(F.col("tail"))).alias("a"), F.when(head == "ground", head).otherwise(F.concat(F.lit("k:"), head)).alias("b"))
-    labels = components(links)
+    return components(links)
+
+
+def incidence_census(found: DataFrame, horizon: int) -> DataFrame:
+    """One row: eligible, interior, boundary and own-blocked records, keys, ungrounded components, and the rank: keys less those components."""
+    labels = component_labels(found, horizon)
     grounded = labels.where("node = 'ground'").select("label")
     loose = labels.join(grounded, "label", "left_anti").agg(F.countDistinct("label").alias("ungrounded_components"))
     keys = labels.where("node <> 'ground'").agg(F.count("*").alias("n_keys"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import exact, hashing, text, vectors
-from gleanery.operators import evaluation, graph, guards, inference, moments, selection, structure, windows, workload
+from gleanery.operators import evaluation, graph, guards, inference, moments, selection, states, structure, windows, workload
 from gleanery.sources.readers import explode_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -866,3 +866,57 @@ def stratified_bounds(spark, sf_dir):
     drawn = workload.stratified_sample(rows, ["quality"], F.col("doc_id"), 20, "strata").groupBy("quality").agg(F.first("stratum_rows").alias("n"), F.count("*").alias("k"), F.sum("toxic").alias("x"))
     found = [(r["n"], r["k"], r["x"], 0) for r in drawn.collect()]
     return spark.createDataFrame([inference.stratified_interval(found)], "lower long, upper long")
+
+
+# Compressed states and utility --------------------------------------------------------------------------------------
+
+
+def _factors(spark, sf_dir):
+    rows, edges = edge_rows(spark, sf_dir)
+    stats = rows.select("id", F.array_append("z", F.col("unit").cast("double")).alias("w"))
+    return states.factor_polynomial(structure.terms(rows, edges), stats, 65)
+
+
+@query(f"WITH {_E}, s AS (SELECT z FROM u WHERE unit <> {UNIT} AND id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT})) " + _MOM.format(s="", r="s"))
+def factored_moments_after_delete(spark, sf_dir):
+    gone = states.evaluate_factors(_factors(spark, sf_dir), [UNIT], 65)
+    return states.dense_rows(gone, 65).where("j < 65").select("i", "j", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query()
+def joint_span_ranks(spark, sf_dir):
+    spans = states.joint_spans(states.substitute_factors(_factors(spark, sf_dir), [UNIT], 65), 65, 64)
+    return spans.groupBy("rank").agg(F.count("*").alias("n_keys"))
+
+
+_SHORT = _CENSUS + f""", ends AS (SELECT tail AS key, 1 AS s FROM usable UNION ALL SELECT list_sort(list_append(tail, own)), -1 FROM usable WHERE len(tail) < {HORIZON}),
+poly AS (SELECT array_to_string(key, ',') AS key, CAST(sum(s) AS BIGINT) AS coefficient FROM ends GROUP BY key HAVING sum(s) <> 0)"""
+
+
+@query(f"WITH RECURSIVE {_SHORT} SELECT key, coefficient FROM poly WHERE 'k:' || key NOT IN (SELECT label FROM lab WHERE label <> 'ground')")
+def rank_coordinates(spark, sf_dir):
+    found = _terms(spark, sf_dir)
+    return _named(states.rank_coordinates(structure.count_polynomial(found, HORIZON), found, HORIZON)[0])
+
+
+@query(f"WITH RECURSIVE {_SHORT} SELECT key AS name, coefficient FROM poly")
+def restored_polynomial(spark, sf_dir):
+    found = _terms(spark, sf_dir)
+    return states.restore_keys(*states.rank_coordinates(structure.count_polynomial(found, HORIZON), found, HORIZON))
+
+
+@query(f"SELECT doc_id, quality, toxic FROM (SELECT *, row_number() OVER (PARTITION BY quality, toxic ORDER BY {h('illustrative', 'doc_id')}) AS k FROM labels) WHERE k <= 3")
+def illustrative_picks(spark, sf_dir):
+    picked = workload.stratified_sample(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality", "toxic"], F.col("doc_id"), 3, "illustrative")
+    return picked.select("doc_id", "quality", "toxic")
+
+
+@query()
+def utility_panel(spark, sf_dir):
+    """Ridge models of the curated, a hash subset of the same size and all rows of four folds, scored on the fifth."""
+    rows, edges = edge_rows(spark, sf_dir)
+    train, test = rows.where("unit % 5 <> 0"), rows.where("unit % 5 = 0")
+    curated = selection.initial_selection(train, edges).select("id", "unit", "z")
+    same = workload.simple_sample(train.select("id", "unit", "z"), F.col("id"), curated.count(), "utility")
+    every = [found.select("z", "unit", F.lit(name).alias("method")) for name, found in (("curated", curated), ("hash", same), ("uncurated", train))]
+    return moments.utility_panel(every[0].union(every[1]).union(every[2]), test, "z", "unit", "method", 64, 1e-2)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import exact, hashing, text, vectors
-from gleanery.operators import evaluation, graph, guards, inference, moments, selection, structure, windows, workload
+from gleanery.operators import evaluation, graph, guards, inference, moments, selection, states, structure, windows, workload
 from gleanery.streaming.deletes import DeletionState, stream_requests
 
 
@@ -385,3 +385,55 @@ def test_certificates_charts_and_words():
     assert inference.envelope_radius(Fraction(1), Fraction(2), Fraction(3), Fraction(1, 2)) == 10
     plan = dict(inference.precision_plan([0.1, -0.2, 0.3, 0.0, 0.2], [5, 200], 0.1))
     assert plan[200] > plan[5]
+
+
+@pytest.mark.parametrize("owners,blockers", [CHAIN, STAR, CLIQUE, OWN])
+def test_factored_states_equal_refits(spark, owners, blockers):
+    rows, edges = graph_of(spark, owners, blockers)
+    rng = np.random.default_rng(len(owners))
+    w = rng.standard_normal((len(owners), 3))
+    stats = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "id long, w array<double>")
+    found = structure.terms(rows, edges)
+    state = states.factor_polynomial(found, stats, 3).cache()
+    for deleted in [[], [0], [0, 1]]:
+        chosen = sorted(plain_selection(owners, blockers, set(deleted)))
+        want = w[chosen].T @ w[chosen]
+        for got in (states.evaluate_factors(state, deleted, 3), states.evaluate_factors(states.substitute_factors(state, deleted, 3), [], 3)):
+            row = got.collect()
+            assert np.allclose(states.dense(row[0]["weights"], row[0]["factors"], 3) if row else 0, want)
+    spans = {tuple(r["key"]): r for r in states.joint_spans(state, 3, 2).collect()}
+    for r in state.collect():
+        m, s = states.dense(r["weights"], r["factors"], 3), spans[tuple(r["key"])]
+        basis = np.array(s["basis"]).reshape(2, s["rank"])
+        assert np.allclose(basis @ np.array(s["core"]).reshape(s["rank"], s["rank"]) @ basis.T, m[:2, :2])
+        assert np.allclose(basis @ np.array(s["cross"]).reshape(s["rank"], 1), m[:2, 2:])
+
+
+def test_a_hot_key_merges_in_parts_and_an_empty_state_stays_empty(spark):
+    rows, edges = graph_of(spark, [0] * 300 + [1], [[] for _ in range(301)])
+    stats = rows.select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("w"))
+    found = structure.terms(rows, edges)
+    state = states.factor_polynomial(found.repartition(7), stats, 2)
+    assert {tuple(r["key"]): len(r["weights"]) for r in state.collect()} == {(): 2, (0,): 2, (1,): 1}
+    assert states.factor_polynomial(found.limit(0), stats, 2).count() == 0
+    assert states.evaluate_factors(state.limit(0), [0], 2).count() == 0
+
+
+def test_tie_curve_over_slices(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, float("nan"), *[k / 7 for k in range(40)]]), rng.randint(0, 1), rng.choice(["a", None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "score double, target long, g string")
+    for group in ([], ["g"]):
+        curve = lambda n: sorted(map(str, evaluation.tie_curve(df, group, n).collect()))  # noqa: E731,B023
+        assert curve(8) == curve(1) == curve(64)
+    assert evaluation.tie_curve(df.limit(0)).count() == 0
+
+
+def test_rank_coordinates_restore(spark):
+    rows, edges = graph_of(spark, *STAR)
+    found = structure.terms(rows, edges)
+    polynomial = structure.count_polynomial(found, 2)
+    short, members = states.rank_coordinates(polynomial, found, 2)
+    want = {(r["name"], r["coefficient"]) for r in polynomial.select(structure.key_text(F.col("key")).alias("name"), "coefficient").collect()}
+    assert short.count() < len(want)
+    assert {tuple(r) for r in states.restore_keys(short, members).collect()} == want
