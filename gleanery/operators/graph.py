@@ -198,12 +198,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after
 
 
-def cluster_suppression(rows: DataFrame, cluster: str, tau: float) -> DataFrame:
-    """(id, top): rows whose largest score with an earlier row of their cluster is over ``tau``. Order in a cluster: nearest its centroid first, then id."""
+def cluster_ranks(rows: DataFrame, cluster: str) -> DataFrame:
+    """(id, rank): the order in a cluster, nearest its centroid first, then id."""
     spread = rows.select("id", cluster, F.posexplode("z").alias("pos", "x"))
     centre = spread.groupBy(cluster, "pos").agg(F.avg("x").alias("m"))
     near = spread.join(centre, [cluster, "pos"]).groupBy("id", cluster).agg(F.round(F.sum(F.col("x") * F.col("m")), 9).alias("sim"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("sim"), "id")))
+    return near.select("id", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("sim"), "id")).alias("rank"))
+
+
+def cluster_suppression(rows: DataFrame, cluster: str, tau: float, ranked: DataFrame | None = None) -> DataFrame:
+    """(id, top): rows whose largest score with an earlier row of their cluster is over ``tau``, in the order of ``ranked`` or else of these rows."""
+    ranked = cluster_ranks(rows, cluster) if ranked is None else ranked
     pairs = theta_pairs(rows.select("id", F.col(cluster).alias("unit"), "p", "z"), tau).where("lunit = runit")
     side = lambda c: ranked.select(F.col("id").alias(c), F.col("rank").alias(f"{c}_rank"))
     placed = pairs.join(side("lid"), "lid").join(side("rid"), "rid")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.graph import cluster_ranks, cluster_suppression
+from gleanery.session import durable
+
 RESIDUAL_LIMIT = 1e-10
 
 
@@ -185,6 +189,31 @@ def spherical_kmeans(df: DataFrame, vector: str, k: int, seed: int = 1):
     return model, model.transform(rows).drop("_features")
 
 
+def refit_arms(rows: DataFrame, deleted: DataFrame, k: int, tau: float, seed: int = 1) -> DataFrame:
+    """(arm, id): what three ways select after units are deleted, by suppression inside clusters of (id, unit, p, z) rows.
+
+    ``frozen_selection`` keeps the survivors of the first selection; ``frozen_fit`` suppresses again among survivors with the
+    first clusters and order; ``full_refit`` fits clusters and order to the survivors. Fits are cut off, so the arms share them.
+    """
+
+    def fitted(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # No rows have no fit; fewer rows than k are a cluster each at most.
+        n = part.limit(k).count()
+        placed = durable(spherical_kmeans(part, "z", n, seed)[1] if n > 1 else part.withColumn("cluster", F.lit(0)))
+        return placed, durable(cluster_ranks(placed, "cluster"))
+
+    def chosen(placed: DataFrame, ranked: DataFrame) -> DataFrame:
+        return placed.join(cluster_suppression(placed, "cluster", tau, ranked), "id", "left_anti").select("id", "unit")
+
+    placed, ranked = fitted(rows)
+    survivors = placed.join(deleted, "unit", "left_anti")
+    arms = {
+        "frozen_selection": chosen(placed, ranked).join(deleted, "unit", "left_anti"), "frozen_fit": chosen(survivors, ranked),
+        "full_refit": chosen(*fitted(survivors.drop("cluster"))),
+    }
+    return reduce(DataFrame.union, [found.select(F.lit(arm).alias("arm"), "id") for arm, found in arms.items()])
+
+
 def utility_panel(chosen: DataFrame, test: DataFrame, vector: str, target: str, method: str, dims: int, ridge: float) -> DataFrame:
     """(method, n_test, mse, mae): a ridge model for each method's selection, all scored on the same test rows in one pass.
 

@@ -920,3 +920,8 @@ def utility_panel(spark, sf_dir):
     same = workload.simple_sample(train.select("id", "unit", "z"), F.col("id"), curated.count(), "utility")
     every = [found.select("z", "unit", F.lit(name).alias("method")) for name, found in (("curated", curated), ("hash", same), ("uncurated", train))]
     return moments.utility_panel(every[0].union(every[1]).union(every[2]), test, "z", "unit", "method", 64, 1e-2)
+
+
+@query()
+def refit_arms(spark, sf_dir):
+    return moments.refit_arms(vector_rows(spark, sf_dir), units(spark, UNIT), 8, 0.25).groupBy("arm").agg(F.count("*").alias("n"))

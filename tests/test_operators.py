@@ -437,3 +437,25 @@ def test_rank_coordinates_restore(spark):
     want = {(r["name"], r["coefficient"]) for r in polynomial.select(structure.key_text(F.col("key")).alias("name"), "coefficient").collect()}
     assert short.count() < len(want)
     assert {tuple(r) for r in states.restore_keys(short, members).collect()} == want
+
+
+def test_refit_arms(spark):
+    rng = np.random.default_rng(3)
+    angles = [*rng.uniform(0, 0.6, 12), *rng.uniform(1.6, 2.4, 12)]
+    z = {i: np.array([math.cos(a), math.sin(a)]) for i, a in enumerate(angles)}
+    rows = spark.createDataFrame([(i, i % 5, f"{i:064x}", v.tolist()) for i, v in z.items()], "id long, unit long, p string, z array<double>")
+    found = moments.refit_arms(rows, units(spark, [2]), 2, 0.99).collect()
+    arm = lambda name: {r["id"] for r in found if r["arm"] == name}
+    alive = [i for i in z if i % 5 != 2]
+
+    def plain(fit_on, among):
+        out = set()
+        for side in (range(12), range(12, 24)):
+            centre = np.mean([z[i] for i in fit_on if i in side], axis=0)
+            order = sorted((i for i in side if i in among), key=lambda i: (-round(float(z[i] @ centre), 9), i))
+            out |= {i for n, i in enumerate(order) if not any(z[i] @ z[j] > 0.99 for j in order[:n])}
+        return out
+
+    assert arm("frozen_selection") == plain(z, z) & set(alive) and arm("frozen_selection") <= arm("frozen_fit")
+    assert arm("frozen_fit") == plain(z, alive) and arm("full_refit") == plain(alive, alive)
+    assert moments.refit_arms(rows.limit(0), units(spark, [2]), 2, 0.99).count() == 0
