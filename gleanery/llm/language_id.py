@@ -21,6 +21,8 @@ SLOTS = 1 << 14
 GRAMS = (1, 2, 3)
 #: Labelled rows that the model is fitted on, at most, and those of one language.
 SAMPLE_ROWS, SAMPLE_PER_LANGUAGE = 4096, 400
+#: Rows of a language that are ranked for the sample, as a multiple of those it may give.
+MARGIN = 4
 LANDMARKS = 256
 RIDGE = 1e-4
 BATCH_ROWS = 256
@@ -95,14 +97,16 @@ def fit(packed: np.ndarray, labels: list[str], ridge: float = RIDGE, landmarks:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from at most ``rows`` labelled rows, ``per_language`` of each language, the first in the order of a hash of their id.
 
-    Only rows with a language and a letter, outside the held-out fold. None where there are none.
+    Of more than ``rows`` languages the most frequent count. Only rows with a language and a letter, outside the held-out fold. None where there are none.
     """
     labelled = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     labelled = labelled.where("lang is not null and text is not null").where(fold_of(F.col("doc_id"), folds) != held_fold)
-    keys = labelled.select("doc_id", "lang", F.xxhash64(F.lit("language"), "doc_id").alias("key")).where("doc_id is not null").distinct()
-    # Two rounds, so that a language with most rows isn't ranked in one task.
-    split = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod("key", F.lit(16))).orderBy("key", "doc_id"))).where(F.col("rank") <= per_language)
-    ranked = split.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "key", "doc_id"))).where(F.col("rank") <= per_language)
+    keys = labelled.where("doc_id is not null").select("doc_id", "lang", F.xxhash64(F.lit("language"), "doc_id").alias("key"))
+    # Only the low end of the hash range of a language is ranked: some MARGIN times what it may give, whatever its size.
+    share = keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(rows)  # a sample holds no more languages
+    share = share.select("lang", F.least(F.lit(1.0), F.lit(MARGIN * per_language) / F.col("n")).alias("share"))
+    low = keys.join(F.broadcast(share), "lang").where(F.col("key") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("doc_id", "lang", "key").distinct()
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("rank") <= per_language)
     chosen = F.broadcast(ranked.orderBy("rank", "lang").limit(rows).select("doc_id", "rank"))  # at most ``rows`` ids
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
