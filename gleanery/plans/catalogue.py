@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import exact, hashing, text, vectors
-from gleanery.operators import evaluation, graph, guards, inference, moments, selection, states, structure, windows, workload
+from gleanery.operators import evaluation, exact_states, graph, guards, inference, moments, selection, states, structure, windows, workload
 from gleanery.sources.readers import explode_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -889,6 +889,21 @@ def joint_span_ranks(spark, sf_dir):
     return spans.groupBy("rank").agg(F.count("*").alias("n_keys"))
 
 
+_GRID = 20
+
+
+@query(f"""WITH {_E}, g AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {2**_GRID} + 0.5) AS BIGINT)) AS w FROM embeddings),
+s AS (SELECT w FROM u JOIN g USING (id) WHERE unit <> {UNIT} AND id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT}))
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(sum(CAST(w[i] AS HUGEINT) * w[j]) AS VARCHAR) AS coefficient
+FROM s, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY i, j HAVING sum(CAST(w[i] AS HUGEINT) * w[j]) <> 0""")
+def exact_moments_after_delete(spark, sf_dir):
+    rows, edges = edge_rows(spark, sf_dir)
+    stats = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), exact_states.to_grid(F.col("embedding"), _GRID).alias("w"))
+    state = exact_states.exact_polynomial(structure.terms(rows, edges), stats, _GRID)
+    moved = exact_states.substitute_exact(state, [UNIT])
+    return exact_states.evaluate_exact(moved, []).select("i", "j", F.col("coefficient").cast("string").alias("coefficient"))
+
+
 _SHORT = _CENSUS + f""", ends AS (SELECT tail AS key, 1 AS s FROM usable UNION ALL SELECT list_sort(list_append(tail, own)), -1 FROM usable WHERE len(tail) < {HORIZON}),
 poly AS (SELECT array_to_string(key, ',') AS key, CAST(sum(s) AS BIGINT) AS coefficient FROM ends GROUP BY key HAVING sum(s) <> 0)"""
 

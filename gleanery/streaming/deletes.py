@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.operators.exact_states import evaluate_exact, exact_polynomial, substitute_exact
 from gleanery.operators.selection import eligible, initial_selection, validate_request
 
 
-class DeletionState:
-    """Blocked records within the horizon as (rid, rown, bown), and the selection as (id, unit)."""
+class VersionedState:
+    """Tables in a folder for each version; a version counts once its mark is written, after its tables."""
 
     def __init__(self, spark: SparkSession, path: str, horizon: int, mode: str = "idempotent"):
         self.spark, self.path, self.horizon, self.mode = spark, path, horizon, mode
@@ -34,6 +35,10 @@ class DeletionState:
             table.write.mode("overwrite").parquet(self._folder(version, name))
         self.spark.range(1).write.mode("overwrite").parquet(self._folder(version, "done"))
 
+
+class DeletionState(VersionedState):
+    """Blocked records within the horizon as (rid, rown, bown), and the selection as (id, unit)."""
+
     def create(self, rows: DataFrame, edges: DataFrame) -> None:
         """Version 0. Only records that the horizon can admit keep their blockers."""
         fit = eligible(rows, edges, self.horizon).select(F.col("id").alias("rid"))
@@ -64,6 +69,28 @@ class DeletionState:
         return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, at: self.apply(at, batch.select("unit"))).trigger(availableNow=True).start()
 
 
+class ExactState(VersionedState):
+    """An exact polynomial under batches of deletions. A batch is checked as a whole before any table of its version is written."""
+
+    def create(self, rows: DataFrame, found: DataFrame, stats: DataFrame, bits: int) -> None:
+        polynomial = exact_polynomial(found, stats, bits, self.horizon)
+        self._write(0, polynomial=polynomial, units=rows.select("unit").distinct(), deleted=rows.select("unit").limit(0))
+
+    def apply(self, version: int, request: DataFrame) -> None:
+        """Version + 1 from a request of units, of which the horizon bounds the number."""
+        if self._exists(version + 1):
+            return
+        polynomial, units, deleted = (self._read(version, n) for n in ("polynomial", "units", "deleted"))
+        fresh = validate_request(units, request, self.horizon, deleted, self.mode)
+        gone = [r["unit"] for r in fresh.collect()]
+        moved = substitute_exact(polynomial, gone, self.horizon - deleted.count())
+        self._write(version + 1, polynomial=moved, units=units, deleted=deleted.union(fresh))
+
+    def moments(self, version: int) -> DataFrame:
+        """(i, j, coefficient) of the records that the version selects."""
+        return evaluate_exact(self._read(version, "polynomial"), [])
+
+
 def stream_requests(spark: SparkSession, path: str, schema: str = "request_id long, unit long", files: int = 1) -> DataFrame:
     """Requests from a folder of JSON lines, so many files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)

@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import exact, hashing, text, vectors
-from gleanery.operators import evaluation, graph, guards, inference, moments, selection, states, structure, windows, workload
-from gleanery.streaming.deletes import DeletionState, stream_requests
+from gleanery.operators import evaluation, exact_states, graph, guards, inference, moments, selection, states, structure, windows, workload
+from gleanery.streaming.deletes import DeletionState, ExactState, stream_requests
 
 
 def graph_of(spark, owners, blockers):
@@ -409,6 +409,56 @@ def test_factored_states_equal_refits(spark, owners, blockers):
         assert np.allclose(basis @ np.array(s["cross"]).reshape(s["rank"], 1), m[:2, 2:])
 
 
+def plain_gram(w, chosen):
+    return [[sum((w[v][i] * w[v][j] for v in chosen), Fraction(0)) for j in range(len(w[0]))] for i in range(len(w[0]))]
+
+
+@pytest.mark.parametrize("owners,blockers", [CHAIN, STAR, CLIQUE, OWN])
+def test_exact_states_equal_refits(spark, owners, blockers):
+    rows, edges = graph_of(spark, owners, blockers)
+    rng = random.Random(len(owners))
+    w = [[Fraction(rng.randrange(-(2**40), 2**40), 2**20) for _ in range(3)] for _ in owners]
+    stats = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(w)], "id long, w array<double>")
+    found = structure.terms(rows, edges)
+    state = exact_states.exact_polynomial(found, stats, 20).cache()
+    for deleted in [[], [0], [0, 1]]:
+        want = plain_gram(w, sorted(plain_selection(owners, blockers, set(deleted))))
+        for got in (exact_states.evaluate_exact(state, deleted), exact_states.evaluate_exact(exact_states.substitute_exact(state, deleted), [])):
+            assert exact_states.exact_matrix(got, 3, 20) == want
+    assert exact_states.exact_polynomial(found.limit(0), stats, 20).count() == 0
+    for bad in ([0.1, 1.0, 1.0], [None, 1.0, 1.0], [math.nan, 1.0, 1.0], [math.inf, 1.0, 1.0], [2.0**60, 1.0, 1.0]):
+        with pytest.raises(Exception, match="grid"):
+            exact_states.exact_polynomial(found, spark.createDataFrame([(0, bad)], "id long, w array<double>"), 20).collect()
+
+
+def test_exact_state_commits_whole_batches(spark, tmp_path):
+    owners, blockers = STAR
+    rows, edges = graph_of(spark, owners, blockers)
+    w = [[Fraction(i + 1), Fraction(1, 2)] for i in range(4)]
+    stats = rows.select("id", F.array((F.col("id") + 1).cast("double"), F.lit(0.5)).alias("w"))
+    state = ExactState(spark, str(tmp_path / "exact"), 3, "strict")
+    state.create(rows, structure.terms(rows, edges), stats, 4)
+    with pytest.raises(ValueError):
+        state.apply(0, units(spark, [0, 77]))
+    for version, batch in enumerate([[0], [2, 1]]):
+        state.apply(version, units(spark, batch))
+    for version, gone in enumerate([set(), {0}, {0, 1, 2}]):
+        assert exact_states.exact_matrix(state.moments(version), 2, 4) == plain_gram(w, sorted(plain_selection(owners, blockers, gone)))
+    with pytest.raises(ValueError):
+        state.apply(2, units(spark, [3]))  # nothing of the horizon is left
+    assert not (tmp_path / "exact" / "v3").exists()
+
+
+def test_exact_chart_is_one_form_of_a_row_space():
+    m = [[Fraction(x) for x in r] for r in ([2, 4, 1], [4, 8, 2], [1, 2, 5])]
+    assert exact_states.exact_chart(m, 2) == ([0], [[1, 2]]) == exact_states.exact_chart([[3 * x for x in r] for r in m], 2)
+
+
+def test_numbers_go_to_the_nearest_multiple(spark):
+    got = spark.range(1).select(exact_states.to_grid(F.array(F.lit(0.3), F.lit(-0.3), F.lit(0.125), F.lit(-0.125)), 2)).first()[0]
+    assert got == [0.25, -0.25, 0.25, 0.0]
+
+
 def test_a_hot_key_merges_in_parts_and_an_empty_state_stays_empty(spark):
     rows, edges = graph_of(spark, [0] * 300 + [1], [[] for _ in range(301)])
     stats = rows.select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("w"))
