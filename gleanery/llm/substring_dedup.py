@@ -178,7 +178,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_
     size = text_bytes(rows)
     batches = max(8, -(-size // batch_bytes))
     # Some seven bytes a word at most, and about half of the words' hashes on the fullest level.
-    shift = 64 - max(6, int(np.ceil(np.log2(max(1, size / 12 / GROUP_HASHES)))))
+    shift = 64 - max(8, int(np.ceil(np.log2(max(1, size / 12 / GROUP_HASHES)))))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
     last = len(levels_of(window)) - 1
     id_type = dict(rows.dtypes)["doc_id"]
