@@ -146,6 +146,17 @@ def test_language_edges(spark):
     assert fit_languages(df.limit(0)) is None and {r["lang_pred"] for r in predict_languages(df, None).collect()} == {"und"}
 
 
+def test_language_sample_of_uneven_languages(spark):
+    words = {"en": "the cat and the dog went to a house", "de": "der Hund und die Katze gehen in das Haus", "fr": "le chat et le chien vont dans une maison"}
+    rows = [(i, words["en"] + f" {i}", "en") for i in range(4000)] + [(i, words["en"], "en") for i in range(3000)] + [(9000 + i, words["de"] + " x" * i, "de") for i in range(3)] + [(9100, words["fr"], "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = fit_languages(df, folds=10**6, per_language=10)
+    assert model.languages == ["de", "en", "fr"] and model.landmarks.shape[1] >= 3 + 10  # ids that repeat give all their rows
+    got = predict_languages(df, model).join(df.select("doc_id", "lang").distinct(), "doc_id")
+    assert got.where("lang <> lang_pred").count() == 0
+    assert fit_languages(df, folds=10**6, per_language=10, rows=2).languages == ["de", "en"]
+
+
 HTML = {
     "<p>a<p>b": "a\n\nb", "x<br>y": "x\ny", "<ul><li>a<li>b<ul><li>c</ul></ul>": "- a\n- b\n  - c", "<ol start=3><li>a</li><li>b</li></ol>": "3. a\n4. b", "<head><title>t</title></head><body>v<script>var t='</p>';</script><style>p{}</style>w": "vw",
     "<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>": "a    bb\nccc  d", "<div hidden>x</div><div style='display: none'>y</div>z": "z", "a &amp; b&nbsp;c  \n d": "a & b\u00a0c d", "<pre>a\n  b</pre>": "a\n  b", "1 < 2 <b>x": "1 < 2 x", "<!-- a -->b<!c>": "b", "": "",
