@@ -107,7 +107,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share = share.select("lang", F.least(F.lit(1.0), F.lit(MARGIN * per_language) / F.col("n")).alias("share"))
     low = keys.join(F.broadcast(share), "lang").where(F.col("key") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("doc_id", "lang", "key").distinct()
     ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("rank") <= per_language)
-    chosen = F.broadcast(ranked.orderBy("rank", "lang").limit(rows).select("doc_id", "rank"))  # at most ``rows`` ids
+    chosen = F.broadcast(ranked.orderBy("rank", "lang").limit(rows).select("doc_id", "lang", "rank"))  # at most ``rows`` ids
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +120,9 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 bits.append(np.packbits(mark).tobytes() if t is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("lang"), pa.array(bits, pa.binary())], names=["rank", "lang", "bits"])
 
-    # The driver gets 2 KB for each row of the sample.
-    packed = labelled.join(chosen, "doc_id").select("rank", "lang", "text").mapInArrow(pack, "rank int, lang string, bits binary").where("bits is not null")
-    found = sorted((r["rank"], r["lang"], bytes(r["bits"])) for r in packed.limit(2 * rows).collect())
+    # The driver gets 2 KB for each row of the sample; of rows with one id and language, one counts.
+    packed = labelled.join(chosen, ["doc_id", "lang"]).select("rank", "lang", "text").mapInArrow(pack, "rank int, lang string, bits binary").where("bits is not null")
+    found = sorted((r["rank"], r["lang"], bytes(r["bits"])) for r in packed.groupBy("rank", "lang").agg(F.min("bits").alias("bits")).collect())
     if not found:
         return None
     return fit(np.frombuffer(b"".join(b for _, _, b in found), np.uint8).reshape(len(found), -1), [lang for _, lang, _ in found])
