@@ -5,10 +5,16 @@ virtual node may hold its part of its shard's bound, and rows over that continue
 ring order. Served in ring order, each virtual node holds one run of consecutive ring ranks, so that the whole flow is a
 prefix sum over the few virtual nodes plus each row's rank on the ring. Ranks come in two levels (slices of the ring,
 then rows of a slice); no task holds a shard.
+
+With slack, or on request, the bound is the shard's and not its virtual nodes': rows leave the shard that they hash to only
+where that shard is full, so that few rows move when shards are added. These flows are made on the driver, from the
+loads of the virtual nodes.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +64,45 @@ def ring_plan(ring: DataFrame, loads: DataFrame, shards: int, vnodes: int, load_
     return nodes.withColumn("slot_first", F.sum("served").over(slots) - F.col("served")).select("shard", "first", "served", F.col("cut.arrived").alias("start"), "total", "slot_first")
 
 
-def ring_shards(rows: DataFrame, key: Column, ties: list[str], shards: int, vnodes: int = 64, load_factor: float = 1.0) -> DataFrame:
+def shard_runs(nodes: list[tuple[int, int]], shards: int, load_factor: float = 1.0) -> list[tuple[int, int, int]]:
+    """(first, shard, slot_first) of the runs of ring ranks that each shard serves, from (shard, load) of the virtual nodes in ring order.
+
+    Every shard first serves what hashes to it, in ring order, up to its bound; what is left goes clockwise to the next virtual
+    node of a shard with room, and so on. Each round with rows left fills a shard, so there are at most as many as shards.
+    """
+    total = sum(load for _, load in nodes)
+    room = [total // shards + (s < total % shards) if load_factor <= 1.0 else math.ceil(total * load_factor / shards) for s in range(shards)]
+    used = [0] * shards
+    runs, waiting, first = [], [], 0
+    for at, (_, load) in enumerate(nodes):
+        waiting.append((at, first, load))
+        first += load
+    while waiting:
+        left = []
+        for at, first, n in sorted(waiting):
+            shard = nodes[at][0]
+            fits = min(n, room[shard] - used[shard])
+            if fits:
+                runs.append((first, shard, used[shard]))
+                used[shard] += fits
+            if n > fits:
+                left.append((at, first + fits, n - fits))
+        following, after = {}, None
+        for at in [*range(len(nodes))[::-1]] * 2 if left else []:
+            following[at] = after
+            after = at if used[nodes[at][0]] < room[nodes[at][0]] else after
+        waiting = [(following[at], first, n) for at, first, n in left]
+    return sorted(runs)
+
+
+def ring_shards(rows: DataFrame, key: Column, ties: list[str], shards: int, vnodes: int = 64, load_factor: float = 1.0, per_shard: bool | None = None) -> DataFrame:
     """``rows`` with shard int and slot long (gapless from 0 in each shard).
 
     ``key`` names a row on the ring, a null key is the empty name; rows with one key are ordered by ``ties``, and rows alike in
     both are interchangeable. An empty table gives no rows. Rows hold at most ``load_factor`` times the mean (1: counts at most one apart).
+
+    ``per_shard`` bounds shards and not virtual nodes; by default with a load factor over 1. At 1 the default is that of SHARD_SQL,
+    equal cuts of the ring, which gives up limited movement. Bounds a shard take one job for the loads when this is called.
     """
     if shards < 1 or vnodes < 1 or shards * vnodes >= 1 << 16:
         raise ValueError("shards and vnodes must be positive, and the ring under 65536 virtual nodes")
@@ -74,12 +114,28 @@ def ring_shards(rows: DataFrame, key: Column, ties: list[str], shards: int, vnod
     slices = slices.withColumn("_before", F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).drop("_n")
     # Loads by virtual node, found by bisection in the sorted points of the ring: one array, as a scalar subquery.
     arcs = virtual_nodes(spark, shards, vnodes).agg(F.array_sort(F.collect_list("point")).alias("_arcs")).scalar()
-    edges = rows.select("_point").withColumn("_arcs", arcs).select(_clockwise(F.col("_point"), F.col("_arcs")).alias("point"))
+    edges = rows.select("_point").withColumn("_arcs", arcs).select("_point", _clockwise(F.col("_point"), F.col("_arcs")).alias("point"))
+    within = Window.partitionBy("_slice").orderBy("_point", *ties)
+    ranked = rows.withColumn("_in", F.row_number().over(within) - 1).join(F.broadcast(slices), "_slice")
+    if load_factor > 1.0 if per_shard is None else per_shard:
+        nodes = virtual_nodes(spark, shards, vnodes).orderBy("point", "shard", "vnode").collect()  # shards * vnodes rows
+        held = edges.groupBy("point", (F.col("_point") > nodes[-1]["point"]).alias("over")).count().collect()
+        loads, total = {}, sum(r["count"] for r in held)
+        for r in held:
+            loads[r["point"]] = loads.get(r["point"], 0) + r["count"]
+        found = shard_runs([(r["shard"], loads.pop(r["point"], 0)) for r in nodes], shards, load_factor)
+        # The rows after the last virtual node are the first one's; ranks start with them.
+        start = total - sum(r["count"] for r in held if r["over"])
+        served = spark.createDataFrame([(found, start, total)], "runs array<struct<first: long, shard: int, slot_first: long>>, start long, total long")
+        return _placed(ranked.withColumn("_served", served.select(F.struct("*")).scalar()))
     plan = ring_plan(ring, edges.groupBy("point").agg(F.count("*").alias("load")), shards, vnodes, load_factor)
     runs = F.struct(F.array_sort(F.collect_list(F.struct("first", "shard", "slot_first"))).alias("runs"), F.max("start").alias("start"), F.max("total").alias("total"))
     runs = plan.where("served > 0").agg(runs.alias("_served")).scalar()
-    within = Window.partitionBy("_slice").orderBy("_point", *ties)
-    ranked = rows.withColumn("_in", F.row_number().over(within) - 1).join(F.broadcast(slices), "_slice").withColumn("_served", runs)
+    return _placed(ranked.withColumn("_served", runs))
+
+
+def _placed(ranked: DataFrame) -> DataFrame:
+    """Rows with shard and slot, from their place on the ring and the runs of ranks."""
     ranked = ranked.withColumn("_rank", F.pmod(F.col("_before") + F.col("_in") - F.col("_served.start"), F.col("_served.total")))
     ranked = ranked.withColumn("_run", _run_of(F.col("_rank"), F.col("_served.runs")))
     ranked = ranked.withColumn("shard", F.col("_run.shard").cast("int")).withColumn("slot", (F.col("_rank") - F.col("_run.first") + F.col("_run.slot_first")).cast("long"))
@@ -87,7 +143,7 @@ def ring_shards(rows: DataFrame, key: Column, ties: list[str], shards: int, vnod
 
 
 def _search(arr: Column, below) -> Column:
-    """Number of leading elements for which ``below`` holds, by bisection in the sorted array; 16 halvings hold any ring."""
+    """Number of leading elements for which ``below`` holds, by bisection in the sorted array; 17 halvings hold any ring's runs."""
     start = F.struct(F.lit(0).alias("lo"), F.size(arr).alias("hi"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -96,7 +152,7 @@ def _search(arr: Column, below) -> Column:
         down = (acc["lo"] < acc["hi"]) & ~below(F.get(arr, mid))
         return F.struct(F.when(up, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(down, mid).otherwise(acc["hi"]).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, step, lambda acc: acc["lo"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(17)), start, step, lambda acc: acc["lo"])
 
 
 def _clockwise(point: Column, arcs: Column) -> Column:

@@ -77,6 +77,29 @@ def test_ring_moves_few_rows_with_slack(spark):
     assert sum(a[i] != b[i] for i in a) < 0.45 * len(a)
 
 
+@pytest.mark.parametrize("factor", [1.0, 1.25])
+def test_shard_bounds_keep_rows_at_home(spark, factor):
+    """Rows leave their own shard only where it is full, against a plain walk over the ring."""
+    point = lambda name: int(hashlib.md5(name.encode()).hexdigest()[:15], 16)
+    df, n = spark.range(3000).withColumnRenamed("id", "doc_id"), 3000
+    placed = {}
+    for shards in (8, 9):
+        ring = sorted((point(f"shard-{i // 64}/{i % 64}"), i // 64) for i in range(shards * 64))
+        home = {i: next((s for p, s in ring if p >= point(str(i))), ring[0][1]) for i in range(n)}
+        rows = ring_shards(df, F.col("doc_id"), ["doc_id"], shards, 64, factor, per_shard=True).collect()
+        placed[shards] = {r["doc_id"]: r["shard"] for r in rows}
+        loads = [list(home.values()).count(s) for s in range(shards)]
+        room = [n // shards + (s < n % shards) if factor == 1.0 else -(-n * factor // shards) for s in range(shards)]
+        away = sum(placed[shards][i] != home[i] for i in home)
+        assert away == sum(max(0, a - b) for a, b in zip(loads, room, strict=True))
+        for s in range(shards):
+            slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+            assert slots == list(range(len(slots))) and len(slots) <= room[s]
+        if factor > 1.0:  # the default with slack
+            assert placed[shards] == {r["doc_id"]: r["shard"] for r in ring_shards(df, F.col("doc_id"), ["doc_id"], shards, 64, factor).collect()}
+    assert sum(placed[8][i] != placed[9][i] for i in range(n)) < 0.2 * n
+
+
 def test_url_rules_as_in_brute_force(spark):
     rng = random.Random(2)
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.net", "/", "block"), ("a.net", "/e", "allow"), ("a.net", "/es/x", "block"), ("b.a.net", "", "allow"), ("a.net", "/", "allow")]
