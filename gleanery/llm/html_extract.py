@@ -35,6 +35,8 @@ IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("option", "optgroup"), ("select",)),
     "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)), "thead": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
 }
+#: Elements that an open head takes; any other, and text that isn't blank, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 #: End tags don't reach through these.
 SCOPE = frozenset("table td th caption html".split())
 
@@ -64,7 +66,10 @@ def build(html: str) -> Node:
         found = _TOKEN.search(html, at)
         text_end = found.start() if found else size
         if text_end > at:
-            stack[-1].children.append(unescape(html[at:text_end]))
+            text = unescape(html[at:text_end])
+            if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
+                stack.pop()
+            stack[-1].children.append(text)
         if not found:
             break
         at = max(found.end(), text_end + 1)
@@ -72,6 +77,8 @@ def build(html: str) -> Node:
         if name is None:
             continue
         name = name.lower()
+        if stack[-1].name == "head" and (name == "br" if found[1] else name not in IN_HEAD):
+            stack.pop()
         if found[1]:
             _end(stack, name)
             continue

@@ -192,6 +192,20 @@ def test_html_rendering(html):
     assert html_to_text(html) == HTML[html]
 
 
+#: Pages that leave out </head>, <body> or both.
+OPEN_HEAD = {
+    "<html><head><title>T</title><p>Hello<p>World": "Hello\n\nWorld", "<head><title>T</title>\n<meta charset=u><link rel=x>Hello <b>you</b>": "Hello you", "<head><title>T</title>Hello<body>World": "Hello\nWorld",
+    "<head><style>p{}</style><script>x</script><noscript>n</noscript><body><p>a": "a", "<head><template><p>t</p>u</template>&nbsp;x<div>v": "\u00a0x\nv", "<head> &#32; <title>T</title></br>a": "a", "<head><title>T</title></head>a": "a", "<head><title>T</title><table><tr><td>a<td>b</table>": "a  b",
+}
+
+
+@pytest.mark.parametrize("html", sorted(OPEN_HEAD))
+def test_html_ends_an_open_head(html):
+    assert html_to_text(html) == OPEN_HEAD[html]
+    record = warc.response_record(1, "http://a/", html, "2024-01-01T00:00:00Z")
+    assert [x["block"] for x in warc.derive(1, record) if x["record_type"] == "conversion"] == [OPEN_HEAD[html]]
+
+
 def test_html_survives_odd_pages(spark):
     deep = "<div>" * 20_000 + "x" + "<table><tr><td>" * 300 + "y"
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, deep, 0), (4, "<" * 1000, 0)], "page_id long, html string, text int")
