@@ -2,7 +2,8 @@
 
 A tree builder takes tags as a browser would (implied ends, void elements, unclosed elements, raw text elements), a
 visibility rule drops what is not shown, and a renderer writes the tree: inline text with collapsed white space, a blank
-line between paragraphs, a marker before list items, and table cells in aligned columns.
+line between paragraphs, a marker before list items, and table cells in aligned columns. Formulas give their symbols in
+order, drawings their text elements, selects the options that they show.
 """
 
 from __future__ import annotations
@@ -18,7 +19,16 @@ from pyspark.sql import functions as F
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object svg math audio video canvas select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas annotation annotation-xml mphantom".split())
+#: Elements of a drawing that draw nothing where they stand.
+NOT_DRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
+#: Start tags that end an open drawing or formula.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup "
+    "table tt u ul var".split()
+)
+#: Elements of drawings and formulas that hold HTML.
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre section summary table ul caption tr tbody thead tfoot td th".split()
@@ -47,10 +57,12 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("name", "children", "attrs")
+    """``foreign``: what it holds is read as part of a drawing or formula."""
+
+    __slots__ = ("name", "children", "attrs", "foreign")
 
-    def __init__(self, name: str, attrs: dict[str, str] | None = None):
-        self.name, self.children, self.attrs = name, [], attrs or {}
+    def __init__(self, name: str, attrs: dict[str, str] | None = None, foreign: bool = False):
+        self.name, self.children, self.attrs, self.foreign = name, [], attrs or {}, foreign
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -75,6 +87,10 @@ def build(html: str) -> Node:
         at = max(found.end(), text_end + 1)
         name = found[2]
         if name is None:
+            if stack[-1].foreign and html.startswith("<![CDATA[", text_end):
+                end = html.find("]]>", text_end)
+                stack[-1].children.append(html[text_end + 9 : end if end >= 0 else size])
+                at = end + 3 if end >= 0 else size
             continue
         name = name.lower()
         if stack[-1].name == "head" and (name == "br" if found[1] else name not in IN_HEAD):
@@ -82,6 +98,11 @@ def build(html: str) -> Node:
         if found[1]:
             _end(stack, name)
             continue
+        within = stack[-1].foreign
+        if within and name in BREAKS_OUT:
+            while stack[-1].foreign:
+                stack.pop()
+            within = False
         if name in ENDS_P:
             _close(stack, ("p",), SCOPE | {"button"})
         if name in IMPLIED:
@@ -90,6 +111,10 @@ def build(html: str) -> Node:
             _close(stack, ("head",), ())
         node = Node(name, attributes(found[3]))
         stack[-1].children.append(node)
+        if within or name in ("svg", "math"):
+            if found[3].endswith("/"):
+                continue
+            node.foreign = name not in HOLDS_HTML and not (name == "annotation-xml" and "html" in node.attrs.get("encoding", "").lower())
         if name in VOID:
             continue
         if name in RAW:
@@ -99,7 +124,7 @@ def build(html: str) -> Node:
             elif name == "title":
                 node.children.append(unescape(html[at : end[0]]))
             at = end[1]
-        elif not found[3].endswith("/") or name not in ("svg", "math", "path"):
+        else:
             stack.append(node)
     return root
 
@@ -146,6 +171,60 @@ def visible(node: Node) -> bool:
     return not a or not ("hidden" in a or a.get("type", "").lower() == "hidden" and node.name == "input" or a.get("aria-hidden") == "true" and node.name == "i" or "style" in a and _NOT_SHOWN.search(a["style"]))
 
 
+def svg_labels(svg: Node) -> list[Node | str]:
+    """The text elements of a drawing, parted by spaces, and the HTML that it holds."""
+    out: list[Node | str] = []
+    work: list = [(c, False) for c in reversed(svg.children)]
+    while work:
+        item, in_text = work.pop()
+        if isinstance(item, str):
+            if in_text:
+                out.append(item)
+        elif item.name in NOT_DRAWN or not visible(item) or item.attrs.get("display") == "none" or item.attrs.get("visibility") == "hidden":
+            continue
+        elif item.name == "foreignobject":
+            out += [" ", item, " "]
+        else:
+            if item.name == "text":
+                out.append(" ")
+                work.append((" ", True))
+            work.extend((c, in_text or item.name == "text") for c in reversed(item.children))
+    return out
+
+
+def shown_options(select: Node) -> list[str]:
+    """What a select shows: all options of a list box, else the last that is selected, or the first that isn't disabled."""
+    box = "multiple" in select.attrs or select.attrs.get("size", "").isdigit() and int(select.attrs["size"]) > 1
+    options: list[tuple[str, bool, bool]] = []
+    work: list = [(c, False) for c in reversed(select.children)]
+    while work:
+        item, off = work.pop()
+        if isinstance(item, str) or not visible(item):
+            continue
+        off = off or "disabled" in item.attrs
+        if item.name == "option":
+            options.append((item.attrs.get("label") or _SPACE.sub(" ", _plain(item)).strip(" "), "selected" in item.attrs, off))
+        else:
+            if item.name == "optgroup" and box and item.attrs.get("label"):
+                options.append((item.attrs["label"], False, True))
+            work.extend((c, off) for c in reversed(item.children))
+    if box:
+        return [x for x, _, _ in options if x]
+    shown = [x for x, selected, _ in options if selected][-1:] or [x for x, _, off in options if not off][:1]
+    return [x for x in shown if x]
+
+
+def _plain(node: Node) -> str:
+    out, work = [], [node]
+    while work:
+        item = work.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif item.name not in ("script", "style"):
+            work.extend(reversed(item.children))
+    return "".join(out)
+
+
 class Lines:
     """Text under way: closed lines, the open line, and the blank lines that are due before the next."""
 
@@ -235,6 +314,13 @@ def render(node: Node, depth: int = 0) -> str:
         elif name == "input":
             if item.attrs.get("value") and item.attrs.get("type", "text").lower() in ("submit", "button", "reset"):
                 out.text(item.attrs["value"])
+        elif name == "svg":
+            work.extend((c, pre) for c in reversed(svg_labels(item)))
+        elif name == "select":
+            for i, line in enumerate(shown_options(item)):
+                if i:
+                    out.line_break()
+                out.text(line)
         elif name == "table" and depth < TABLE_DEPTH:
             out.block(1)
             for line in table_lines(item, depth + 1):
@@ -257,6 +343,8 @@ def render(node: Node, depth: int = 0) -> str:
                 elif name in ("blockquote", "dd"):
                     out.prefix += "  "
                 work.append(_closer(out, before, blank, lists if name in ("ul", "ol", "menu", "dir") else None))
+            if name == "mtd":  # cells of a matrix stand apart
+                out.text(" ")
             inner = pre or name in ("pre", "textarea", "xmp")
             work.extend((c, inner) for c in reversed(item.children))
     return out.finish()

@@ -206,6 +206,21 @@ def test_html_ends_an_open_head(html):
     assert [x["block"] for x in warc.derive(1, record) if x["record_type"] == "conversion"] == [OPEN_HEAD[html]]
 
 
+#: Formulas, drawings and selects, and markup that ends them.
+FOREIGN = {
+    "a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></mrow><annotation encoding='t'>x=2</annotation><annotation-xml><apply><eq/><ci>q</ci></apply></annotation-xml></semantics></math> b": "a x=2 b",
+    "<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>": "1 2", "<math><mphantom><mi>h</mi></mphantom><mi>v</mi></math>": "v",
+    "<svg><title>t</title><defs><text>d</text></defs><g><rect/><text x=1>One<tspan> two</tspan></text><text>three<desc>n</desc></text></g><path d='M0'/></svg>after": "One two three after", "<svg>no<text display=none>h</text><text><![CDATA[a<b]]></text></svg>": "a<b",
+    "<svg><style/><defs/><text>a</text></svg>b": "a b", "<svg><foreignObject><p>a<p>b</foreignObject></svg>": "a\n\nb", "<svg><path d=M0><p>a": "a", "<math><mi>x<p>a": "x\n\na",
+    "<select><option>a<option selected>b  c<option>d</select>e": "b ce", "<select><option disabled>a<option label=L>b</select>": "L", "<select multiple><optgroup label=G><option>a<option hidden>h<option>b</select>": "G\na\nb", "<select></select>x": "x", "<table><tr><td><select><option>a</select><td><svg><text>b</text></svg></table>": "a  b",
+}
+
+
+@pytest.mark.parametrize("html", sorted(FOREIGN))
+def test_html_formulas_drawings_and_selects(html):
+    assert html_to_text(html) == FOREIGN[html]
+
+
 def test_html_survives_odd_pages(spark):
     deep = "<div>" * 20_000 + "x" + "<table><tr><td>" * 300 + "y"
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, deep, 0), (4, "<" * 1000, 0)], "page_id long, html string, text int")
