@@ -18,7 +18,7 @@ from gleanery.llm.language_id import fit_languages, predict_languages
 from gleanery.llm.mixing import mix_sources
 from gleanery.llm.queries import SHARDS, VNODES, WEIGHTS
 from gleanery.llm.sharding import ring_shards
-from gleanery.llm.simhash import fingerprint_rows, simhash_groups
+from gleanery.llm.simhash import simhash_groups
 
 
 def _kept(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,13 +32,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows with that id, one. Of a group without any id, one row of each fingerprint."""
-    groups = simhash_groups(docs)
-    # The wide rows meet only the kept ids.
-    kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = fingerprint_rows(docs.where("doc_id is null"), keep=docs.columns)
-    nameless = nameless.join(groups.where("component_id is null").select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
-    return kept.select(*docs.columns).union(_kept(nameless, docs.columns))
+    """One row of each group: of the smallest id, or without any id; of rows with that id, the one with the smallest fingerprint."""
+    keys = [F.xxhash64(F.lit(i), "doc_id", "text").alias(f"_k{i}") for i in (0, 1)]
+    groups = simhash_groups(docs.select("doc_id", "text", *keys), keep=["_k0", "_k1"])
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "kept__k0", "kept__k1")).alias("least")
+    kept = groups.groupBy("label").agg(least).select(F.col("least.kept__k0").alias("_k0"), F.col("least.kept__k1").alias("_k1"))
+    # The wide rows meet only the kept keys, which name an id and text; rows alike in both count once.
+    return docs.select("*", *keys).join(kept, ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

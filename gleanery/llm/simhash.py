@@ -207,11 +207,11 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int) -
 
 
 def simhash_groups(docs: DataFrame, bits: int = 4, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) and the columns in ``keep``, prefixed ``kept_``, a row for each row of docs.
+    """(doc_id, fp, label, fingerprint, component_id) and the columns in ``keep``, prefixed ``kept_``, a row for each row of docs.
 
     Texts without words have fingerprint zero, linked like any other. component_id is the smallest doc_id reachable over
-    links of at most ``bits`` differing bits; null ids don't count for it, and a group with null ids alone has null. Rows
-    with one fingerprint collapse before any comparison. An empty table gives no rows.
+    links of at most ``bits`` differing bits; null ids don't count for it, and a group with null ids alone has null. label
+    names the group whatever its ids: its smallest fingerprint. Rows with one fingerprint collapse before any comparison. An empty table gives no rows.
     """
     # Written, because three later steps use it; the texts are read once and don't travel.
     rows = checkpoint(fingerprint_rows(docs, keep, id_col, text_col))
@@ -219,5 +219,5 @@ def simhash_groups(docs: DataFrame, bits: int = 4, keep: list[str] | None = None
     labels = connected_components(near_links(checkpoint(classes.select("fp")), bits))
     classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     components = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    members = classes.select("fp", "label").join(components, "label").select("fp", "component_id")
+    members = classes.select("fp", "label").join(components, "label").select("fp", "label", "component_id")
     return rows.join(members, "fp").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))

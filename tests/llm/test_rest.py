@@ -310,6 +310,27 @@ def test_pipeline_stages_on_odd_documents(spark):
     assert left.columns == docs.columns and sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 2, 5]
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """One row of each group, whatever the ids: id 1 has three texts, and groups share it."""
+    from test_pairs import closure, plain_fingerprint
+
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(4)]
+    near = [b.rsplit(" ", 1)[0] + " other" for b in base]
+    rows = [(1, base[0]), (1, base[1]), (2, near[1]), (0, near[0]), (1, base[1]), (None, base[2]), (None, near[2]), (None, base[3]), (7, near[3]), (1, "short and alone")]
+    texts = sorted({t for _, t in rows})
+    prints = [plain_fingerprint(t) for t in texts]
+    top = closure(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 4])
+    group = {t: top[i] for i, t in enumerate(texts)}
+    assert group[base[2]] == group[near[2]] and len(set(group.values())) == 5
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string").repartition(3)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert left.columns == docs.columns
+    want = {g: min((i is None, i or 0) for i, t in rows if group[t] == g) for g in group.values()}
+    got = [(group[x["text"]], (x["doc_id"] is None, x["doc_id"] or 0)) for x in left.collect()]
+    assert len(got) == 5 and dict(got) == want
+
+
 def test_mix_stage_keeps_rows_without_ids_and_repeats(spark):
     rows = [(None, "a b c", "s"), (1, "d e", "s"), (1, "d e", "s"), (2, "f", None), (3, None, "s")] + [(i, "w " * 9, "t") for i in range(4, 12)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, size string")
