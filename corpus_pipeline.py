@@ -42,8 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates, with an id or without."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_contamination(docs, benchmark, keep=docs.columns)
+    found = find_contamination(docs, benchmark, keep=docs.columns, nameless=True)
     return _kept(found.where("not contaminated"), docs.columns)
 
 

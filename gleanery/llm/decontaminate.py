@@ -38,7 +38,7 @@ class ItemIndex:
             words = folded(text).split()
             n = min(window, len(words))
             for i in range(len(words) - n + 1 if n else 0):
-                spans.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).add(str(item))
+                spans.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).update(() if item is None else (str(item),))
         self.by_length: dict[int, tuple[np.ndarray, list[list[tuple[bytes, tuple[str, ...]]]]]] = {}
         prints = []
         for n, found in spans.items():
@@ -102,26 +102,26 @@ def hits_in(texts: list[str | None], index: ItemIndex) -> tuple[Words, np.ndarra
     return words, np.cumsum(change[:-1]) > 0, items
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, nameless: bool = False) -> tuple[DataFrame, int]:
     """Items with a block number, so that a block has about ``block_bytes`` of text at most, and the number of blocks."""
-    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").alias("text")).dropna().distinct()
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").alias("text")).dropna(subset=["text"] if nameless else None).distinct()
     total = items.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), blocks
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 6, share: int = 20, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 6, share: int = 20, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) and the columns in ``keep``, prefixed ``kept_``, a row for each row of docs.
 
     A word is hit inside any occurrence of an item window of ``window`` words, or of a whole shorter item. items: the
     items with an occurring window, sorted as strings. contaminated: n_hit > 0 and share * n_hit >= n_words. Null and blank texts have no
     words; null items, null item texts and items without words hit nothing; repeated items count once; an empty table of either
-    kind gives no rows or no hits. A benchmark of at most ``block_bytes`` of text is one broadcast index, and documents
+    kind gives no rows or no hits. With ``nameless``, null items with a text hit words too; items leaves them out. A benchmark of at most ``block_bytes`` of text is one broadcast index, and documents
     are scanned once without a shuffle. A larger one goes in blocks of that bound: a scan for each block finds the
     positions that it hits, and these, of hit documents alone, are joined to the documents by id and text hash.
     """
     spark = docs.sparkSession
-    items, blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    items, blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes, nameless)
     keep = keep or []
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep])
     flag = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))

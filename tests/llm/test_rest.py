@@ -153,6 +153,17 @@ def test_contamination_as_in_brute_force(spark, block_bytes):
     assert find_contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0 and find_contamination(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_items_without_ids_contaminate(spark, tmp_path, block_bytes):
+    lost, named = " ".join(f"n{i}" for i in range(20)), " ".join(f"m{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, lost), (None, "short"), (3, named), (None, None), (4, lost[:40] + " x")], "item_id long, text string")
+    df = spark.createDataFrame([(1, lost), (2, "a short one"), (3, named + " " + lost), (4, "clean"), (None, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in find_contamination(df, bench, block_bytes=block_bytes, nameless=True).collect()}
+    assert got == {1: (20, 0, [], True), 2: (1, 0, [], True), 3: (40, 1, ["3"], True), 4: (0, 0, [], False), None: (1, 0, [], True)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()] == [4]
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
