@@ -79,8 +79,27 @@ def split_head(data: bytes) -> tuple[bytes, bytes]:
     return (data[: found.start()], data[found.end() :]) if found else (data, b"")
 
 
+def named_values(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """Headers by name; the values of a repeated name are lines, since a value can't hold a line end."""
+    out: dict[str, str] = {}
+    for k, v in pairs:
+        out[k] = f"{out[k]}\n{v}" if k in out else v
+    return out
+
+
+def listed(headers: dict[str, str]) -> dict[str, str | list[str]]:
+    """Headers for a JSON record: a list of the values where a name repeats."""
+    return {k: v.split("\n") if "\n" in v else v for k, v in headers.items()}
+
+
+_RECORD = re.compile(rb"(?:^|(?<=[\r\n]))WARC/\d+\.\d+[ \t]*\r?\n")
+
+
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record; gzip members are unpacked. Ends at the first bytes that are no record."""
+    """(headers, block) of each record; gzip members are unpacked. Bytes that are no record are passed over, up to the next line that begins one.
+
+    Values of a repeated header are lines. A block without a valid length, or with one beyond the data, ends at the next such line or with the data.
+    """
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
@@ -88,14 +107,21 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while data[at : at + 1] in (b"\r", b"\n"):
             at += 1
         if data[at : at + 5] != b"WARC/":
-            return
+            following = _RECORD.search(data, at)
+            if not following:
+                return
+            at = following.start()
         found = re.compile(rb"\r?\n\r?\n").search(data, at)
         if not found:
             return
         _, pairs = parse_headers(data[at : found.start()])
-        headers = dict(pairs)
+        headers = named_values(pairs)
         low = {k.lower(): v for k, v in pairs}
-        size = int(low["content-length"]) if low.get("content-length", "").isdigit() else len(data) - found.end()
+        rest = len(data) - found.end()
+        size = int(low["content-length"]) if re.fullmatch("[0-9]{1,18}", low.get("content-length", "")) else rest + 1
+        if size > rest:
+            following = _RECORD.search(data, found.end())
+            size = following.start() - found.end() if following else rest
         yield headers, data[found.end() : found.end() + size]
         at = found.end() + size
 
@@ -143,7 +169,7 @@ def derive(page_id: int | None, record: bytes | None) -> list[dict]:
     if source is None:
         return []
     headers, block = source
-    low = {k.lower(): v for k, v in headers.items()}
+    low = {k.lower(): v.rsplit("\n", 1)[-1] for k, v in headers.items()}
     if low.get("warc-type", "").lower() != "response":
         return []
     head, body = split_head(block)
@@ -168,8 +194,8 @@ def derive(page_id: int | None, record: bytes | None) -> list[dict]:
     }
     about = {
         "Envelope": {
-            "WARC-Header-Metadata": headers, "Block-Digest": shared["source_block_digest"], "Actual-Content-Length": str(len(block)),
-            "Payload-Metadata": {"Actual-Content-Type": kind, "Payload-Digest": shared["source_payload_digest"], "HTTP-Response-Metadata": {"Response-Message": status_line, "Headers": dict(pairs), "Entity-Length": str(len(body)), "HTML-Metadata": {"Head": {"Title": title}, "Links": links}}},
+            "WARC-Header-Metadata": listed(headers), "Block-Digest": shared["source_block_digest"], "Actual-Content-Length": str(len(block)),
+            "Payload-Metadata": {"Actual-Content-Type": kind, "Payload-Digest": shared["source_payload_digest"], "HTTP-Response-Metadata": {"Response-Message": status_line, "Headers": listed(named_values(pairs)), "Entity-Length": str(len(body)), "HTML-Metadata": {"Head": {"Title": title}, "Links": links}}},
         }
     }
     out = [{"record_type": "metadata", "content_type": "application/json", "block": json.dumps(about, ensure_ascii=False, sort_keys=True), "concurrent_to": ids["conversion"] if text is not None else None}]
@@ -209,7 +235,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content").to_pylist():
-                made = [record_bytes([x for x in h.items() if x[0].lower() != "content-length"], b) for h, b in read_records(data)]
+                made = [record_bytes([(k, x) for k, v in h.items() if k.lower() != "content-length" for x in v.split("\n")], b) for h, b in read_records(data)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(made), pa.int64()), pa.array(made, pa.binary())], names=["page_id", "record"])
 
     return files.mapInArrow(run, "page_id long, record binary")

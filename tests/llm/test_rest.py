@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import duckdb
@@ -281,6 +282,21 @@ def test_warc_files(spark, tmp_path):
     assert sorted(r["block"] for r in got) == ["0", "0", "1", "1", "2", "2"]
 
 
+def test_warc_repeated_headers_and_damage(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Type: text/plain\r\n\r\nWARC/ is no record"
+    first = warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:1>"), ("WARC-Concurrent-To", "<urn:x>"), ("WARC-Concurrent-To", "<urn:y>")], block)
+    other = [warc.response_record(i, f"http://h/{i}", f"<p>{i}</p>", "2024-01-01T00:00:00Z") for i in range(4)]
+    endless = re.sub(rb"(?m)^(Content-Length: )(?=\d+\r\n\r\nHTTP)", rb"\g<1>99999", other[2])
+    (tmp_path / "a.warc").write_bytes(b"\x00junk\r\n" + first + b"lost bytes WARC/1.1 here\r\n" + other[0] + other[1][40:] + endless + other[3])
+    rows = [r.asDict() for r in warc.build_derivatives(warc.read_responses(spark, str(tmp_path))).collect()]
+    texts = [r["block"] for r in rows if r["record_type"] == "conversion"]
+    assert texts[:2] == ["WARC/ is no record", "0"] and "3" in texts
+    assert rows[0]["source_headers"]["WARC-Concurrent-To"] == "<urn:x>\n<urn:y>"
+    about = json.loads(rows[0]["block"])["Envelope"]
+    assert about["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:x>", "<urn:y>"]
+    assert about["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"] == {"Set-Cookie": ["a=1", "b=2"], "Content-Type": "text/plain"}
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     """Language ID by its own query; the rest in plain Python and SQL."""
     out = corpus_pipeline.run(spark, SMALL).collect()
