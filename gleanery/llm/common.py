@@ -10,7 +10,6 @@ import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,11 +28,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanery-checkpoints-"))
 
 
-def text_bytes(df: DataFrame, text: str = "text") -> int:
-    """UTF-8 bytes of a text column, summed on the executors."""
-    return df.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).first()["n"] or 0
-
-
 # Word buffers -----------------------------------------------------------------------------------------------------
 
 

@@ -3,26 +3,31 @@
 Windows repeated at one length alone are extended to about twice that length, up to the window asked for. On the
 shortest level only content-chosen runs are looked at: of the runs within each window, the one with the smallest hash,
 so that equal windows choose equal runs; a window whose run is repeated nowhere is out. Each later level looks at the
-first and the last run of its length in every window that is left.
+first and the last run of its length in every window that is left. Rolling hashes tell runs apart up to there, where a
+collision only leaves more windows to look at; whole windows are told apart by a cryptographic digest of their bytes.
 
 Documents are dealt into bounded batches once. On each level a batch sends each of its distinct hashes once, sorted, with
 a mark where it holds it twice; groups of the hash range answer with one bit for each; the batch then goes on with what
-is repeated. So a passage in a third of all documents is one hash a batch, no group grows with it, and no positions travel.
+is repeated. So a passage that most documents hold is one hash a batch, no group grows with it, and no positions travel.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import TOP, Grams, Words, sliding, text_bytes
+from gleanery.llm.common import TOP, Grams, Words, sliding
 
 #: UTF-8 bytes of text in a batch, about.
 BATCH_BYTES = 2 << 20
 #: Hashes in one group of the hash range, about.
 GROUP_HASHES = 1 << 18
+#: Rows alike in id and text that may go to batches one by one; where some row has more copies, copies are counted first.
+COPIES = 64
 
 ANSWER = "batch long, level int, part long, bits binary"
 
@@ -47,11 +52,11 @@ class Batch:
         self.left = np.flatnonzero(self.fits)
 
     def keys(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys of a level (hash, and for the last level a second hash), whether this batch holds each twice."""
+        """Sorted distinct keys of a level (a hash, on the last level both halves of a digest), whether this batch holds each twice."""
         n = self.lengths[level]
         if level == len(self.lengths) - 1:
             self.at = self.left
-            first, second = self.grams.at(self.at, n), Grams(self.words, 1).at(self.at, n)
+            first, second = self.digests(self.at, n)
             order = np.lexsort((second, first))
             a, b = first[order], second[order]
             new = np.ones(len(a), bool)
@@ -79,6 +84,13 @@ class Batch:
         keys, self.slot, count = np.unique(hashes, return_inverse=True, return_counts=True)
         return keys, np.zeros(len(keys), np.uint64), count > 1
 
+    def digests(self, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the 128-bit digests of the n words from each position on."""
+        data = self.words.buf.tobytes()
+        spans = zip(self.words.start[first].tolist(), self.words.end[first + n - 1].tolist(), strict=True)
+        halves = np.frombuffer(b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in spans]), np.uint64).reshape(-1, 2)
+        return halves[:, 0], halves[:, 1]
+
     def narrow(self, level: int, repeated: np.ndarray) -> None:
         """Keeps the windows that a level's answer leaves."""
         hit = np.zeros(len(self.words.start), bool)
@@ -105,6 +117,13 @@ class Batch:
         return self.words.count.tolist(), removed, texts
 
 
+def _texts(table: pa.Table) -> tuple[list[str | None], list[int]]:
+    """The texts of a batch, twice where a row stands for copies, and the place of each row's own."""
+    times = np.minimum(np.asarray(table["times"].combine_chunks()), 2)
+    texts = [t for t, n in zip(table["text"].to_pylist(), times.tolist(), strict=True) for _ in range(n)]
+    return texts, (np.cumsum(times) - times).tolist()
+
+
 def _narrowed(texts: list[str | None], answers: pa.Table, window: int, level: int, shift: int) -> Batch:
     """A batch after the answers to all levels before ``level``."""
     batch = Batch(texts, window)
@@ -169,13 +188,17 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_
     Words are runs of other characters than ASCII white space, unchanged. Every word that lies in a window of ``window`` words
     which also starts anywhere else, in the same document too, is removed, all judged on the input; of a window that
     occurs n times, all n go. kept_text joins the words left by one space. Null texts have no words; texts shorter
-    than a window lose nothing; rows with one id and text are two documents, copies of each other. Runs on the last
-    level are compared by two independent 64-bit hashes.
+    than a window lose nothing; rows with one id and text are two documents, copies of each other, null ids included. A text
+    is worked on whole, in one batch, however long. Other columns of docs are left out, whatever their names; an empty table
+    gives no rows. Whole windows are compared by 128 bits of BLAKE2b.
     """
     if window < 1:
         raise ValueError("window must be positive")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    size = text_bytes(rows)
+    alike = rows.groupBy(F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+    most, size = alike.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # Copies that would fill a batch are counted before they travel; two of them stand for all.
+    rows = rows.groupBy("doc_id", "text").agg(F.count("*").alias("times")) if most > COPIES else rows.withColumn("times", F.lit(1).cast("long"))
     batches = max(8, -(-size // batch_bytes))
     # Some seven bytes a word at most, and about half of the words' hashes on the fullest level.
     shift = 64 - max(8, int(np.ceil(np.log2(max(1, size / 12 / GROUP_HASHES)))))
@@ -185,21 +208,26 @@ def drop_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_
 
     def ask(level: int):
         def first(key: tuple, table: pa.Table) -> pa.Table:
-            return _asked(key[0].as_py(), Batch(table["text"].to_pylist(), window), 0, shift)
+            return _asked(key[0].as_py(), Batch(_texts(table)[0], window), 0, shift)
 
         def later(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-            return _asked(key[0].as_py(), _narrowed(table["text"].to_pylist(), answers, window, level, shift), level, shift)
+            return _asked(key[0].as_py(), _narrowed(_texts(table)[0], answers, window, level, shift), level, shift)
 
         if level == 0:
             return dealt.groupBy("batch").applyInArrow(first, ASKED)
         return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(later, ASKED)
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        count, removed, texts = _narrowed(table["text"].to_pylist(), answers, window, last + 1, shift).kept()
-        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(count, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string())})
+        texts, own = _texts(table)
+        count, removed, kept = _narrowed(texts, answers, window, last + 1, shift).kept()
+        count, removed, kept = ([x[i] for i in own] for x in (count, removed, kept))
+        return pa.table({"doc_id": table["doc_id"], "times": table["times"], "n_words": pa.array(count, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
     answers = None
     for level in range(last + 1):
         answer = ask(level).groupBy("level", "part").applyInArrow(_answer, ANSWER)
         answers = answer if answers is None else answers.union(answer)
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
+    out = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {id_type}, times long, n_words long, n_removed long, kept_text string")
+    if most > COPIES:
+        out = out.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+    return out.drop("times")

@@ -147,6 +147,34 @@ def test_repeated_windows_as_in_brute_force(spark, window, size):
     assert drop_repeated_windows(df.limit(0), window).count() == 0
 
 
+def test_crafted_words_are_no_copies(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the base."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    words = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*words[:17], x, *words[17:]]) for x in (morse, morse.translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_removed"] for r in drop_repeated_windows(df, 35).collect()] == [0, 0]
+    assert sorted(r["n_removed"] for r in drop_repeated_windows(df.union(df.limit(1)), 35).collect()) == [0, 35, 35]
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_rows_that_repeat_very_often(spark, times):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (80, 50, 34, 60)]
+    rows = [(0, texts[0]), (None, texts[1]), (2, texts[2]), (3, None)] * times + [(4, texts[3]), (5, "x " * 20 + texts[0]), (6, texts[3] + " " + texts[1])]
+    df = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, times int, batch string")
+    want = sorted((str(i), *x) for (i, _), x in zip(rows, plain_windows([t for _, t in rows], 35), strict=True))
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"].encode()) for r in drop_repeated_windows(df, 35).collect()) == want
+
+
+def test_windows_of_a_very_long_text(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "w1 " * 3 + long[:400])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in drop_repeated_windows(df, 35).collect()}
+    assert got[1] == (300_000, 300_000) and got[2][1] > 60
+
+
 def test_levels_double():
     assert levels_of(35) == [9, 18, 35] and levels_of(9) == [9] and levels_of(1) == [1]
     assert all(2 * a >= b for n in range(1, 200) for a, b in zip(levels_of(n)[:-1], levels_of(n)[1:], strict=True))
