@@ -4,13 +4,18 @@ A tree builder takes tags as a browser would (implied ends, void elements, unclo
 visibility rule drops what is not shown, and a renderer writes the tree: inline text with collapsed white space, a blank
 line between paragraphs, a marker before list items, and table cells in aligned columns. Formulas give their symbols in
 order, drawings their text elements, selects the options that they show.
+
+Open elements are found by name, tags are scanned without going back, and tables are laid out from the innermost out, so the
+work grows with the page's length whatever its markup, and no depth of nesting has rules of its own.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
+from string import ascii_letters
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,86 +52,196 @@ IMPLIED = {
 }
 #: Elements that an open head takes; any other, and text that isn't blank, ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
-#: End tags don't reach through these.
+#: End tags don't reach through these, but for those of REACHES.
 SCOPE = frozenset("table td th caption html".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+REACHES = frozenset("table tr td th tbody thead tfoot caption html body".split())
+#: An end tag of these leaves the blocks open that began in the element.
+FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+BOUNDS_P = SCOPE | {"button"}
+
+#: Where markup begins: any other "<" is text.
+_MARKUP = re.compile(r"<(?=[a-zA-Z!?/])")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+# A name, and a value in quotes or bare; quotes that stay open take all the rest, as in a browser.
+_NAMED = r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|(?=>)))?+"""
+_ATTR = re.compile(_NAMED)
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]*+{re.sub(r'(?<!\\)\((?!\?)', '(?:', _NAMED)})*+)([ \t\n\r\f/]*+)>")
+_INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: Spaces before a line, characters that a column is padded to, and characters of a row up to which cells are aligned.
+INDENT, COLUMN, ALIGNED = 80, 80, 400
+#: The most columns and rows that a cell may span, as in the HTML standard.
+COLSPAN, ROWSPAN = 1000, 65534
+LINKS = {"a": ("href",), "area": ("href",), "link": ("href",), "img": ("src",), "script": ("src",), "iframe": ("src",)}
+LETTERS = frozenset(ascii_letters)
+_NO_ATTRS: dict[str, str] = {}
+
+
 class Node:
-    """``foreign``: what it holds is read as part of a drawing or formula."""
+    """``foreign``: what it holds is read as part of a drawing or formula. ``lines``: a table's, once it is laid out."""
+
+    __slots__ = ("name", "children", "attrs", "foreign", "lines")
+
+    def __init__(self, name: str, attrs: dict[str, str] = _NO_ATTRS):
+        self.name, self.children, self.attrs, self.foreign, self.lines = name, [], attrs, False, ()
+
+
+class Page:
+    """The tree of a page, and its tables, its links and its title in document order."""
+
+    def __init__(self, html: str):
+        self.root, self.tables, self.linked, self.named = Node("#root"), [], [], None
+        build(html, self)
+
+    def text(self) -> str:
+        for table in reversed(self.tables):  # tables in cells come after the table around them
+            table.lines = table_lines(table)
+        return render([self.root])
+
+    def title(self) -> str | None:
+        return None if self.named is None else _SPACE.sub(" ", "".join(x for x in self.named.children if isinstance(x, str))).strip()
 
-    __slots__ = ("name", "children", "attrs", "foreign")
+    def links(self) -> list[tuple[str, str, str]]:
+        """(element, attribute, url) of each link."""
+        return [(n.name, a, n.attrs[a].strip()) for n in self.linked for a in LINKS[n.name] if a in n.attrs]
 
-    def __init__(self, name: str, attrs: dict[str, str] | None = None, foreign: bool = False):
-        self.name, self.children, self.attrs, self.foreign = name, [], attrs or {}, foreign
+
+class Open:
+    """The open elements, and the depths at which those of a name stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes the elements from a depth on."""
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().name].pop()
+
+    def innermost(self, names) -> int:
+        """The depth of the innermost open element of these names, 0 for none."""
+        return max([at[-1] for n in names if (at := self.depths.get(n))], default=0)
+
+    def close(self, names: tuple[str, ...], bounds) -> None:
+        """Closes the outermost of ``names`` above the innermost bound, and all in it; of paragraphs the innermost."""
+        held = [at for n in names if (at := self.depths.get(n))]
+        if not held:
+            return
+        floor = self.innermost(bounds)
+        first = [at[-1] if names == ("p",) else at[k] for at in held if (k := bisect_right(at, floor)) < len(at)]
+        if first:
+            self.cut(min(first))
+
+    def end(self, name: str) -> None:
+        """An end tag."""
+        depth = self.innermost((name,))
+        if not depth:
+            if name in ("br", "p"):  # an end tag alone makes an empty element
+                self.nodes[-1].children.append(Node(name))
+        elif depth == len(self.nodes) - 1 or name in REACHES or self.innermost(BLOCK if name in FORMATS else SCOPE) <= depth:
+            self.cut(depth)
 
 
 def attributes(source: str) -> dict[str, str]:
-    return {k.lower(): unescape(v[1:-1] if v[:1] in "\"'" and v else v) for k, v in _ATTR.findall(source)} if source and not source.isspace() else {}
+    """The first value of each name."""
+    out: dict[str, str] = {}
+    for name, double, single, bare in _ATTR.findall(source):
+        out.setdefault(name.lower(), unescape(double or single or bare))
+    return out
+
+
+def integer(source: str, default: int, least: int, most: int) -> int:
+    """The ASCII digits that a value begins with, between two bounds; ``default`` without any."""
+    found = _INTEGER.match(source)
+    if not found:
+        return default
+    digits = found[1]
+    value = int(digits) if len(digits) < 12 else most + 1 if digits[0] != "-" else least - 1
+    return max(least, min(most, value))
 
 
-def build(html: str) -> Node:
-    """The tree of a page; any text has one."""
-    root = Node("#root")
-    stack = [root]
+def build(html: str, page: Page) -> None:
+    """Fills the tree of a page; any text has one."""
+    stack = Open(page.root)
+    nodes = stack.nodes
     at, size = 0, len(html)
     while at < size:
-        found = _TOKEN.search(html, at)
-        text_end = found.start() if found else size
-        if text_end > at:
-            text = unescape(html[at:text_end])
-            if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
-                stack.pop()
-            stack[-1].children.append(text)
+        found = _MARKUP.search(html, at)
+        start = found.start() if found else size
+        if start > at:
+            text = unescape(html[at:start])
+            if nodes[-1].name == "head" and text.strip(" \t\n\r\f"):
+                stack.cut(len(nodes) - 1)
+            nodes[-1].children.append(text)
         if not found:
             break
-        at = max(found.end(), text_end + 1)
-        name = found[2]
-        if name is None:
-            if stack[-1].foreign and html.startswith("<![CDATA[", text_end):
-                end = html.find("]]>", text_end)
-                stack[-1].children.append(html[text_end + 9 : end if end >= 0 else size])
-                at = end + 3 if end >= 0 else size
+        if html[start + 1] not in LETTERS and not (html[start + 1] == "/" and html[start + 2 : start + 3] in LETTERS):
+            at = _passed_over(html, start, nodes[-1])
             continue
-        name = name.lower()
-        if stack[-1].name == "head" and (name == "br" if found[1] else name not in IN_HEAD):
-            stack.pop()
-        if found[1]:
-            _end(stack, name)
+        tag = _TAG.match(html, start)
+        if not tag:  # a tag that stays open: a browser drops all the rest
+            break
+        at = tag.end()
+        name = tag[2].lower()
+        if nodes[-1].name == "head" and (name == "br" if tag[1] else name not in IN_HEAD):
+            stack.cut(len(nodes) - 1)
+        if tag[1]:
+            stack.end(name)
             continue
-        within = stack[-1].foreign
+        within = nodes[-1].foreign
         if within and name in BREAKS_OUT:
-            while stack[-1].foreign:
-                stack.pop()
+            while nodes[-1].foreign:
+                stack.cut(len(nodes) - 1)
             within = False
         if name in ENDS_P:
-            _close(stack, ("p",), SCOPE | {"button"})
+            stack.close(("p",), BOUNDS_P)
         if name in IMPLIED:
-            _close(stack, *IMPLIED[name])
+            stack.close(*IMPLIED[name])
         if name in ("body", "frameset"):
-            _close(stack, ("head",), ())
-        node = Node(name, attributes(found[3]))
-        stack[-1].children.append(node)
+            stack.close(("head",), ())
+        node = Node(name, attributes(tag[3]) if tag[3] else _NO_ATTRS)
+        nodes[-1].children.append(node)
+        if name == "table":
+            page.tables.append(node)
+        elif name in LINKS:
+            page.linked.append(node)
         if within or name in ("svg", "math"):
-            if found[3].endswith("/"):
+            if tag[4].endswith("/"):
                 continue
             node.foreign = name not in HOLDS_HTML and not (name == "annotation-xml" and "html" in node.attrs.get("encoding", "").lower())
+        elif name == "title" and page.named is None:
+            page.named = node
         if name in VOID:
             continue
         if name in RAW:
             end = _raw_end(html, name, at)
-            if name in ("textarea", "xmp"):
-                node.children.append(unescape(html[at : end[0]]) if name == "textarea" else html[at : end[0]])
-            elif name == "title":
+            if name in ("textarea", "title"):
                 node.children.append(unescape(html[at : end[0]]))
+            elif name == "xmp":
+                node.children.append(html[at : end[0]])
             at = end[1]
         else:
-            stack.append(node)
-    return root
+            stack.push(node)
+
+
+def _passed_over(html: str, start: int, node: Node) -> int:
+    """The end of a comment, declaration or instruction; a character section in a drawing or formula is text."""
+    if html.startswith("<!--", start):
+        return _COMMENT.match(html, start).end()
+    if node.foreign and html.startswith("<![CDATA[", start):
+        end = html.find("]]>", start)
+        node.children.append(html[start + 9 : end if end >= 0 else len(html)])
+        return end + 3 if end >= 0 else len(html)
+    if html[start + 1 :] == "/":
+        node.children.append("</")
+    end = html.find(">", start)
+    return end + 1 if end >= 0 else len(html)
 
 
 _RAW_ENDS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in RAW}
@@ -137,33 +252,6 @@ def _raw_end(html: str, name: str, at: int) -> tuple[int, int]:
     return (found.start(), found.end()) if found else (len(html), len(html))
 
 
-def _close(stack: list[Node], names: tuple[str, ...], bounds) -> None:
-    """Closes the outermost of the open ``names`` above the nearest bound, and all in it."""
-    cut = None
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name in bounds:
-            break
-        if stack[i].name in names:
-            cut = i
-            if names == ("p",):
-                break
-    if cut:
-        del stack[cut:]
-
-
-def _end(stack: list[Node], name: str) -> None:
-    if name in ("br", "p"):  # an end tag alone makes an empty element
-        if not any(n.name == name for n in stack):
-            stack[-1].children.append(Node(name))
-            return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name == name:
-            del stack[i:]
-            return
-        if stack[i].name in SCOPE and name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "html", "body"):
-            return
-
-
 def visible(node: Node) -> bool:
     if node.name in HIDDEN:
         return False
@@ -194,7 +282,7 @@ def svg_labels(svg: Node) -> list[Node | str]:
 
 def shown_options(select: Node) -> list[str]:
     """What a select shows: all options of a list box, else the last that is selected, or the first that isn't disabled."""
-    box = "multiple" in select.attrs or select.attrs.get("size", "").isdigit() and int(select.attrs["size"]) > 1
+    box = "multiple" in select.attrs or integer(select.attrs.get("size", ""), 1, 0, 2) > 1
     options: list[tuple[str, bool, bool]] = []
     work: list = [(c, False) for c in reversed(select.children)]
     while work:
@@ -256,12 +344,16 @@ class Lines:
         if not self.open:
             self.done += [""] * (self.gap if self.done else 0)
             self.gap = 0
-            self.open.append(self.prefix + (self.mark or ""))
+            if self.prefix or self.mark:
+                self.open.append(self.prefix + (self.mark or ""))
             if self.mark is not None:
-                self.prefix += " " * len(self.mark)
+                self.indent(len(self.mark))
                 self.mark = None
         self.open.append(s)
 
+    def indent(self, n: int) -> None:
+        self.prefix = " " * min(INDENT, len(self.prefix) + n)
+
     def line_break(self) -> None:
         if self.open:
             self.done.append("".join(self.open).rstrip())
@@ -282,15 +374,11 @@ class Lines:
         return "\n".join(self.done).strip("\n")
 
 
-#: Tables nested deeper than this are rendered as plain blocks.
-TABLE_DEPTH = 20
-
-
-def render(node: Node, depth: int = 0) -> str:
-    """The visible text of a tree. Works through an explicit stack, so any depth of nesting is rendered."""
+def render(nodes: list[Node | str]) -> str:
+    """The visible text of some trees, whose tables are laid out. Works through an explicit stack, so any depth of nesting is rendered."""
     out = Lines()
     # Steps: a node or text to render, or a function to call at the end of a block.
-    work: list = [(node, False)]
+    work: list = [(n, False) for n in reversed(nodes)]
     lists: list[list] = []
     while work:
         step = work.pop()
@@ -321,9 +409,9 @@ def render(node: Node, depth: int = 0) -> str:
                 if i:
                     out.line_break()
                 out.text(line)
-        elif name == "table" and depth < TABLE_DEPTH:
+        elif name == "table":
             out.block(1)
-            for line in table_lines(item, depth + 1):
+            for line in item.lines:
                 out.exact(line)
                 out.block(0)
             out.block(1)
@@ -334,14 +422,15 @@ def render(node: Node, depth: int = 0) -> str:
                 out.block(blank)
                 before = out.prefix
                 if name in ("ul", "ol", "menu", "dir"):
-                    lists.append([name, int(item.attrs["start"]) if item.attrs.get("start", "").lstrip("-").isdigit() else 1])
+                    lists.append([name, integer(item.attrs.get("start", ""), 1, -(2**31), 2**31)])
                 elif name == "li":
                     if lists and lists[-1][0] == "ol":
+                        lists[-1][1] = integer(item.attrs.get("value", ""), lists[-1][1], -(2**31), 2**31)
                         out.mark, lists[-1][1] = f"{lists[-1][1]}. ", lists[-1][1] + 1
                     else:
                         out.mark = "- "
                 elif name in ("blockquote", "dd"):
-                    out.prefix += "  "
+                    out.indent(2)
                 work.append(_closer(out, before, blank, lists if name in ("ul", "ol", "menu", "dir") else None))
             if name == "mtd":  # cells of a matrix stand apart
                 out.text(" ")
@@ -360,59 +449,111 @@ def _closer(out: Lines, prefix: str, blank: int, lists: list | None):
     return close
 
 
-def table_lines(table: Node, depth: int = 1) -> list[str]:
-    """Rows of cells, each column as wide as its widest cell; cells of several lines are joined by a space, captions come first."""
-    captions, rows = [], []
+def table_lines(table: Node) -> list[str]:
+    """Captions, then rows: a cell stands in the first free columns of its row, cells of several lines are joined by a space, columns are as wide as their widest cell.
+
+    A column is padded to at most COLUMN characters and a row up to ALIGNED; what is wider pushes the rest of its row on.
+    """
+    captions, grid = [], Grid()
     work = list(reversed(table.children))
     while work:
         item = work.pop()
-        if isinstance(item, str):
+        if item is None:
+            grid.spans = []
+        elif isinstance(item, str):
             if item.strip():
                 captions.append(_SPACE.sub(" ", item).strip())
         elif not visible(item):
             continue
         elif item.name == "tr":
-            cells = []
-            for cell in item.children:
-                if isinstance(cell, str) or not visible(cell):
-                    if isinstance(cell, str) and cell.strip():
-                        cells.append(_SPACE.sub(" ", cell).strip())
-                    continue
-                inner = Node("#cell")
-                inner.children = cell.children
-                cells.append(" ".join(x.strip() for x in render(inner, depth).split("\n") if x.strip()))
-                span = cell.attrs.get("colspan", "")
-                cells += [""] * (min(int(span), 1000) - 1 if span.isdigit() and int(span) > 1 else 0)
-            rows.append(cells)
+            grid.row(item)
         elif item.name in ("tbody", "thead", "tfoot"):
+            grid.spans = []  # a cell reaches to the end of its row group
+            work.append(None)
             work.extend(reversed(item.children))
         else:
-            inner = Node("#cell")
-            inner.children = [item]
-            captions.append(render(inner, depth))
-    widths: list[int] = []
-    for cells in rows:
-        widths += [0] * (len(cells) - len(widths))
-        for i, c in enumerate(cells):
-            widths[i] = max(widths[i], len(c))
-    aligned = ["  ".join(c.ljust(widths[i]) for i, c in enumerate(cells) if widths[i]).rstrip() for cells in rows]
-    return [x for x in captions if x] + [x for x in aligned if x]
+            captions.append(render([item]))
+    return [x for x in captions if x] + grid.lines()
 
 
-def html_to_text(html: str | None) -> str | None:
-    return None if html is None else render(build(html))
+class Grid:
+    """The cells of a table by row and column; ``spans`` are the columns that earlier rows' cells hold: first, end, rows left."""
 
+    def __init__(self):
+        self.rows: list[list[tuple[int, int, str]]] = []
+        self.spans: list[tuple[int, int, int]] = []
+
+    def row(self, row: Node) -> None:
+        at, k, cells, spans = 0, 0, [], []
+        for cell in row.children:
+            if isinstance(cell, str):
+                text, wide, high = _SPACE.sub(" ", cell).strip(), 1, 1
+                if not text:
+                    continue
+            elif not visible(cell):
+                continue
+            else:
+                text = " ".join([x.strip() for x in render(cell.children).split("\n") if x.strip()])
+                wide = integer(cell.attrs["colspan"], 1, 1, COLSPAN) if "colspan" in cell.attrs else 1
+                high = integer(cell.attrs["rowspan"], 1, 0, ROWSPAN) if "rowspan" in cell.attrs else 1
+            while k < len(self.spans) and self.spans[k][0] <= at:
+                at = max(at, self.spans[k][1])
+                k += 1
+            cells.append((at, wide, text))
+            if high != 1:  # 0: to the end of the row group
+                spans.append((at, at + wide, (high or ROWSPAN) - 1))
+            at += wide
+        self.rows.append(cells)
+        held: list[tuple[int, int, int]] = []
+        for first, end, left in sorted([(a, b, n - 1) for a, b, n in self.spans if n > 1] + spans):
+            if held and held[-1][1] == first and held[-1][2] == left:
+                held[-1] = (held[-1][0], end, left)
+            else:
+                held.append((first, end, left))
+        self.spans = held
+
+    def lines(self) -> list[str]:
+        widths: dict[int, int] = {}
+        spanning: dict[tuple[int, int], int] = {}
+        for cells in self.rows:
+            for at, wide, text in cells:
+                if text:
+                    widths[at] = max(widths.get(at, 0), min(len(text), COLUMN) if wide == 1 else 1)
+                    if wide > 1:
+                        spanning[at, at + wide] = max(spanning.get((at, at + wide), 0), min(len(text), COLUMN))
+        for (first, end), most in sorted(spanning.items()):  # the last column of a cell that spans takes what the others lack
+            held = [c for c in range(first, end) if c in widths]
+            widths[held[-1]] += max(0, most + 2 - sum(widths[c] + 2 for c in held))
+        starts, place = {}, 0
+        for at in sorted(widths):
+            starts[at] = min(place, ALIGNED)
+            place += widths[at] + 2
+        out = []
+        for cells in self.rows:
+            parts, length = [], 0
+            for at, _, text in cells:
+                if text:
+                    pad = max(starts[at] - length, 2 if parts else 0)
+                    if pad:
+                        parts.append(" " * pad)
+                    parts.append(text)
+                    length += pad + len(text)
+            if parts:
+                out.append("".join(parts))
+        return out
 
-def page_title(html: str | None) -> str | None:
-    found = re.search(r"<title(?=[\s>])[^>]*>(.*?)</title", html, re.I | re.S) if html else None
-    return _SPACE.sub(" ", unescape(found[1])).strip() if found else None
+
+def html_to_text(html: str | None) -> str | None:
+    return None if html is None else Page(html).text()
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """(page_id, title, text) and the columns in ``keep``, prefixed ``kept_``, a row for each row of pages.
 
     A null page has null text and title; a page without visible text the empty text; text outside any tag is text; broken
-    markup is read as a browser would. Tables inside cells are rendered in the cell's line. An empty table gives no rows.
+    markup is read as a browser would, numbers that are none count as missing. Tables inside cells are rendered in the cell's
+    line. Pages of any length are read whole; repeated rows give repeated rows. An empty table gives no rows. The title is the
+    first title element's.
     """
     keep = keep or []
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{html_col}`").alias("html"), *[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep])
@@ -420,7 +561,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = batch.column("html").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(map(page_title, html), pa.string()), pa.array(map(html_to_text, html), pa.string()), *[batch.column(f"kept_{c}") for c in keep]], names=["page_id", "title", "text", *[f"kept_{c}" for c in keep]])
+            titles, texts = [], []
+            for html in batch.column("html").to_pylist():
+                page = None if html is None else Page(html)
+                titles.append(page and page.title())
+                texts.append(page and page.text())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(titles, pa.string()), pa.array(texts, pa.string()), *[batch.column(f"kept_{c}") for c in keep]], names=["page_id", "title", "text", *[f"kept_{c}" for c in keep]])
 
     return rows.mapInArrow(run, ", ".join([f"page_id {kinds['page_id']}", "title string, text string", *[f"`kept_{c}` {kinds[f'kept_{c}']}" for c in keep]]))

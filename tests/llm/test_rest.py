@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -233,6 +235,133 @@ def test_html_formulas_drawings_and_selects(html):
     assert html_to_text(html) == FOREIGN[html]
 
 
+#: Malformed numbers, tags that stay open, comments, and tables whose cells span.
+BROKEN = {
+    "<ol start='--5'><li>a</ol>": "1. a", "<ol start='\u00b2'><li>a</ol>": "1. a", "<ol start=-5x><li>a<li value=9>b<li>c</ol>": "-5. a\n9. b\n10. c", f"<ol start={'9' * 5000}><li>a</ol>": "2147483648. a",
+    "<table><tr><td colspan='\u00b2'>a<td>b</table>": "a  b", f"<table><tr><td colspan={'9' * 5000}>a<td>b</table>": "a  b", "<select size='\u00b2'><option>a<option>b</select>": "a",
+    "<table><tr><td rowspan=2>A<td>B<tr><td>C</table>": "A  B\n   C", "<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>": "a  b  c\nd     e\nf  g",
+    "<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>": "wide head  z\na  b       c", f"<table><tr><td>{'w' * 90}<td>x<tr><td>a<td>b</table>": f"{'w' * 90}  x\na{' ' * 81}b",
+    "a<!-->b<!--->c<!-- - --!>d<!--e": "abcd", "a</>b</3 c>d</": "abd</", "<?php x ?>a<!DOCTYPE html>b": "ab", "a<b x='1' x=\"2>3\" =y z= >c</b / >d": "acd", "a<p title=it's>b<p>c": "a\n\nb\n\nc", "a<b title='b>c<p>d": "a", "a<b": "a",
+    "<a href=x/>y</a>z": "yz", "<p hidden hidden=no>a<p>b": "b", "<svg/>a<svg><g/></svg>b": "ab", "<table><tr><td><table><tr><td>a<td>b</table><td>c</table>": "a  b  c", "<b><p>a</b>b<p>c": "ab\n\nc",
+    "<title>a<title>b</title><p>c": "c", "<p>a<title>b</title>": "a", "<button><p>a</button>b": "a\n\nb", "<p>a<table><tr><td><b>b<p>c</table>d": "a\n\nb c\n\nd",
+}
+
+
+@pytest.mark.parametrize("html", sorted(BROKEN))
+def test_html_of_broken_markup(html):
+    assert html_to_text(html) == BROKEN[html]
+
+
+#: Two megabytes each of what could take a parser long; the whole takes seconds.
+HEAVY = ["<a x ", "<b>", "<b><p>", "<p><table><td><b>", "<table><tr><td>", "<table><tr><td>a<td>", "<title>", "<!--", "<![CDATA[", "</", "</b ", "<a x='", "&#", "<li><ul>", "<blockquote>x", "<td rowspan=9>x<tr>", "<svg><desc>", "<select>", "<option><optgroup>", "<math><mi>", "<p>", "</p>", "<a " + "x " * 50 + ">", "<button><p>", "<ol start=5><li>x", "<pre>\n", "<br>"]
+
+
+@pytest.mark.parametrize("piece", HEAVY)
+def test_html_work_grows_with_the_page(piece):
+    for tail in ("", '"', ">"):
+        began = time.process_time()
+        html_to_text("<p>" + piece * (2_000_000 // len(piece) // 4) + tail)
+        assert time.process_time() - began < 20
+
+
+def _tree(rng, depth=0):
+    """A random page as (html, plain form): implied end tags are left out at random."""
+    kind = rng.choice(["p", "div", "b", "text", "text", "ul", "ol", "hide", "table"][: 9 if depth < 4 else 5])
+    if kind == "text":
+        words = " ".join(rng.choice(["one", "two", "x&amp;y", "&lt;z"]) for _ in range(rng.randrange(1, 4)))
+        return words, ("text", words.replace("&amp;", "&").replace("&lt;", "<"))
+    if kind == "p":
+        inner = [_tree(rng, 9) for _ in range(rng.randrange(1, 3))]
+        inner = [x for x in inner if x[1][0] in ("text", "b")]
+        return "<p>" + " ".join(h for h, _ in inner) + "</p>", ("p", [f for _, f in inner])
+    if kind == "hide":
+        return rng.choice(["<script>{}</script>", "<div hidden>{}</div>", "<!-- {} -->", "<p style='display:none'>{}</p>"]).format("secret"), ("text", "")
+    if kind in ("ul", "ol"):
+        items = [_tree(rng, 9) for _ in range(rng.randrange(1, 4))]
+        items = [x for x in items if x[1][0] in ("text", "b")] or [("k", ("text", "k"))]
+        return f"<{kind}>" + "".join(f"<li>{h}" + rng.choice(["", "</li>"]) for h, _ in items) + f"</{kind}>", (kind, [f for _, f in items])
+    if kind == "table":
+        rows = [[rng.choice(["a", "bb", "ccc dd", ""]) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 4))]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" + rng.choice(["", "</td>"]) for c in r) + rng.choice(["", "</tr>"]) for r in rows) + "</table>", ("table", rows)
+    if kind == "b":
+        h, f = _tree(rng, 9)
+        return (f"<b>{h}</b>", ("b", [f])) if f[0] in ("text", "b") else (h, f)
+    inner = [_tree(rng, depth + 1) for _ in range(rng.randrange(1, 4))]
+    return "<div>" + " ".join(h for h, _ in inner) + "</div>", ("div", [f for _, f in inner])
+
+
+def plain_rendering(form):
+    """Blocks of a plain form as (lines, blank lines around): a slow renderer by recursion."""
+    out, inline = [], []
+
+    def close():
+        text = " ".join(" ".join(inline).split())
+        if text:
+            out.append(([text], 0, 0))
+        inline.clear()
+
+    def walk(f):
+        kind, inner = f
+        if kind == "text":
+            inline.append(inner)
+        elif kind == "b":
+            for x in inner:
+                walk(x)
+        else:
+            close()
+            at = len(out)
+            if kind in ("ul", "ol"):
+                for k, x in enumerate(inner):
+                    walk(x)
+                    text = " ".join(" ".join(inline).split())
+                    inline.clear()
+                    if text:
+                        out.append(([("- " if kind == "ul" else f"{k + 1}. ") + text], 0, 0))
+            elif kind == "table":
+                wide = [max([len(r[c]) for r in inner if c < len(r)], default=0) for c in range(max(map(len, inner)))]
+                lines = ["  ".join(r[c].ljust(wide[c]) for c in range(len(r)) if wide[c]).rstrip() for r in inner]
+                out.extend(([x], 0, 0) for x in lines if x)
+            else:
+                for x in inner:
+                    walk(x)
+                close()
+            gap = int(kind != "div")
+            out.insert(at, ([], gap, 0))
+            out.append(([], gap, 0))
+
+    walk(form)
+    close()
+    text, gap = [], 0
+    for lines, blank, _ in out:
+        gap = max(gap, blank)
+        if lines:
+            text += [""] * (gap if text else 0) + lines
+            gap = 0
+    return "\n".join(text)
+
+
+def test_html_as_in_plain_rendering():
+    rng = random.Random(21)
+    for _ in range(3000):
+        html, form = _tree(rng)
+        assert html_to_text(html) == plain_rendering(form), html
+
+
+def test_html_any_markup():
+    rng = random.Random(22)
+    bits = ["<table>", "<tr>", "<td rowspan=3>", "<td colspan=2>", "</table>", "<p>", "</p>", "<li>", "<ul>", "</ul>", "<svg>", "</svg>", "<math>", "<select>", "<option>", "x", " ", "&amp;", "<b a='", "'", '"', ">", "<", "/", "<!--", "-->", "<title>", "</title>", "<head>", "<body>", "<br/>", "</br>", "<ol start=", "²", "<pre>", "<![CDATA[", "]]>", "\x00", "<script>", "</script>"]
+    for _ in range(4000):
+        html_to_text("".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))))
+
+
+def test_html_repeated_rows_and_titles(spark):
+    page = "<title>T &amp;\n u</title><p>" + "word " * 100_000
+    df = spark.createDataFrame([(1, page, "t"), (1, page, "t"), (2, "<p>x", "t"), (None, "<svg><title>s</title></svg><title>", "t")], "page_id long, html string, title string")
+    got = sorted((str(r["page_id"]), r["title"] or "", len(r["text"]), r["kept_title"]) for r in extract_text(df, keep=["title"]).collect())
+    assert got == [("1", "T & u", 499_999, "t")] * 2 + [("2", "", 1, "t"), ("None", "", 0, "t")]
+    assert extract_text(df.limit(0)).count() == 0
+
+
 def test_html_survives_odd_pages(spark):
     deep = "<div>" * 20_000 + "x" + "<table><tr><td>" * 300 + "y"
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, deep, 0), (4, "<" * 1000, 0)], "page_id long, html string, text int")
@@ -274,6 +403,89 @@ def test_warc_codings_and_other_records(spark):
     assert warc.build_derivatives(df.limit(0)).count() == 0
 
 
+ODD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html"
+#: Records that are damaged or coded in odd ways, and the text that they give; None for none.
+ODD_RECORDS = {
+    "no gzip": (b"\x1f\x8bjunk", []), "short gzip": (b"\x1f\x8b", []), "length": (b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: \xc2\xb2\r\n\r\n" + ODD + b"\r\n\r\n<p>a", ["a"]),
+    **{f"charset {x}": (warc.record_bytes([("WARC-Type", "response")], ODD + f"; charset={x}\r\n\r\n<p>aé".encode()), ["aé"]) for x in "undefined idna punycode rot13 unicode_escape base64 none \u00b2 utf-8 mbcs x\x00y".split()},
+    "latin": (warc.record_bytes([("WARC-Type", "response")], ODD + b"; charset=latin-1\r\n\r\n<p>\x93a\x94"), ["\u201ca\u201d"]),
+    **{x: (warc.record_bytes([("WARC-Type", "response")], ODD + b"\r\nContent-Encoding: " + x.encode() + b"\r\n\r\n\x8b\x02\x80<p>a\x03"), []) for x in ("br", "zstd", "gzip", "gzip, br", "unknown")},
+    "deflate": (warc.record_bytes([("WARC-Type", "response")], ODD + b"\r\nContent-Encoding: deflate\r\n\r\n" + zlib.compress(b"<p>a")[2:-4]), ["a"]),
+    "twice": (warc.record_bytes([("WARC-Type", "response")], ODD + b"\r\nContent-Encoding: deflate, gzip\r\n\r\n" + gzip.compress(zlib.compress(b"<p>a"))), ["a"]),
+    "cut": (warc.record_bytes([("WARC-Type", "response")], ODD + b"\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"<p>a", mtime=0)[:-9]), ["a"]), "empty": (warc.record_bytes([("WARC-Type", "response")], ODD + b"\r\nContent-Encoding: gzip\r\n\r\n"), [""]),
+    "chunk": (warc.record_bytes([("WARC-Type", "response")], ODD + b"\r\nTransfer-Encoding: chunked\r\n\r\n3\r\n<p>\r\nzz\r\n"), [""]), "status": (warc.record_bytes([("WARC-Type", "response")], b"HTTP/1.1 \xc2\xb2\xc2\xb2\xc2\xb2\r\n\r\nx"), ["x"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD_RECORDS))
+def test_warc_odd_records(name):
+    record, texts = ODD_RECORDS[name]
+    assert [x["block"] for x in warc.derive(1, record) if x["record_type"] == "conversion"] == texts
+
+
+def test_warc_any_bytes():
+    rng = random.Random(12)
+    good = warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], ODD + b"; charset=utf-8\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"<p>text <a href=x>y</a>" * 9, mtime=0))
+    for data in (good, gzip.compress(good, mtime=0)):
+        for _ in range(300):
+            bad = bytearray(data)
+            for _ in range(rng.randrange(1, 6)):
+                k = rng.randrange(len(bad))
+                bad[k : k + rng.randrange(3)] = rng.randbytes(rng.randrange(4))
+            warc.derive(1, bytes(bad))
+
+
+def plain_derivatives(page_id, url, html, date):
+    """What a page's response gives, from the page alone."""
+    body = (html or "").encode()
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    return {"page_id": page_id, "target_uri": url or "", "warc_date": date, "source_payload_digest": sha1(body), "source_block_digest": sha1(block), "http_status": 200, "text": html_to_text(html or "")}
+
+
+def test_warc_query_as_in_plain_derivation(spark):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    rows = [r.asDict() for r in queries.QUERIES["op4_warc_derivatives"](spark, SMALL).collect()]
+    assert len(rows) == 2 * len(pages) and len({r["record_id"] for r in rows}) == len(rows)
+    ids = {(r["page_id"], r["record_type"]): r["record_id"] for r in rows}
+    for r in rows:
+        want = plain_derivatives(r["page_id"], pages[r["page_id"]]["url"], pages[r["page_id"]]["html"], "2024-01-01T00:00:00Z")
+        text = want.pop("text")
+        assert {k: r[k] for k in want} == want and json.loads(r["source_headers"])["WARC-Record-ID"] == r["refers_to"]
+        assert r["content_length"] == len(r["block"].encode()) and r["block_digest"] == warc.digest(r["block"].encode())
+        if r["record_type"] == "conversion":
+            assert r["block"] == text and r["concurrent_to"] is None
+        else:
+            assert r["concurrent_to"] == ids[r["page_id"], "conversion"]
+            about = json.loads(r["block"])["Envelope"]
+            assert about["WARC-Header-Metadata"]["WARC-Record-ID"] == r["refers_to"] and about["Block-Digest"] == want["source_block_digest"]
+
+
+def test_warc_repeated_rows_and_long_bodies(spark):
+    pages = [(1, "http://a/", "<p>" + "x" * 300_000), (1, "http://a/", "<p>" + "x" * 300_000), (None, "http://b/", "<p>y")]
+    df = spark.createDataFrame([(*p, "k", "r") for p in pages], "page_id long, url string, html string, block string, record string")
+    rows = warc.build_derivatives(warc.responses_of(df)).collect()
+    assert sorted((str(r["page_id"]), r["record_type"], r["content_length"]) for r in rows if r["record_type"] == "conversion") == [("1", "conversion", 300_000)] * 2 + [("None", "conversion", 1)]
+    assert len(rows) == 6 and len({r["record_id"] for r in rows}) == 4
+
+
+@pytest.mark.parametrize("size", ["64m", "300b"])
+def test_warc_streams(spark, tmp_path, size):
+    """Blocks that hold what looks like records, bytes that are no text, and a length beyond the file."""
+    inner = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=latin-1\r\n\r\n\xff see\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nWARC/ end"
+    records = [warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>")], inner) if i % 3 == 0 else warc.response_record(i, "http://h/", f"<p>{i}</p>" + "y" * i, "2024-01-01T00:00:00Z") for i in range(40)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)) + gzip.compress(re.sub(rb"(?m)^(Content-Length: )(?=\d+\r\n\r\nHTTP)", rb"\g<1>999", records[1])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = warc.build_derivatives(warc.read_responses(spark, str(tmp_path))).where("record_type = 'conversion'").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [inner.split(b"\r\n\r\n", 1)[1].decode("cp1252") if i % 3 == 0 else f"{i}" + ("\n\n" + "y" * i) for i in range(40)] * 2
+    assert sorted(r["block"].rstrip("\r\n") for r in got) == sorted([*want, "1\n\ny"])
+
+
 def test_warc_files(spark, tmp_path):
     records = [warc.response_record(i, f"http://h/{i}", f"<p>{i}</p>", "2024-01-01T00:00:00Z") for i in range(3)]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
