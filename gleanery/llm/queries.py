@@ -134,34 +134,47 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, great
 _CRC_TABLE = "(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) t(i))"
 _CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: CAST('0x' || p AS BIGINT))), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)"
 
-#: With load factor 1 every virtual node serves just its room, so the flow is a sequence of runs of ranks from the cut on.
+
+
+def _round(r: int) -> str:
+    """A round of the ring's flow: every virtual node serves what waits at it, in ring order, while its shard has room; the rest goes on clockwise."""
+    return f""", a{r} AS (
+  SELECT w.seat, w.first, w.n, u.shard, u.used, u.bound - u.used AS room, sum(w.n) OVER (PARTITION BY u.shard ORDER BY w.seat, w.first) - w.n AS ahead FROM w{r} w JOIN n USING (seat) JOIN u{r} u ON n.shard = u.shard
+), f{r} AS (
+  SELECT *, greatest(0, least(n, room - ahead)) AS fits FROM a{r}
+), u{r + 1} AS (
+  SELECT u.shard, u.bound, u.used + coalesce((SELECT sum(fits) FROM f{r} f WHERE f.shard = u.shard), 0) AS used FROM u{r} u
+), o{r} AS (
+  SELECT n.seat FROM n JOIN u{r + 1} u USING (shard) WHERE u.used < u.bound
+), w{r + 1} AS (
+  SELECT coalesce((SELECT min(seat) FROM o{r} o WHERE o.seat > f.seat), (SELECT min(seat) FROM o{r})) AS seat, f.first + f.fits AS first, f.n - f.fits AS n FROM f{r} f WHERE f.n > f.fits
+)"""
+
+
+#: Each round with rows left fills a shard, so SHARDS rounds serve all.
 SHARD_SQL = f"""
 WITH tab AS (SELECT {_CRC_TABLE} AS crc
 ), d AS (
   SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, CAST({_CRC} AS BIGINT) AS text_crc32, {_POINT.format("coalesce(CAST(doc_id AS VARCHAR), '')")} AS point FROM {{docs}}, tab
 ), ring AS (
-  SELECT i // {VNODES} AS shard, i % {VNODES} AS vnode, {_POINT.format(f"'shard-' || (i // {VNODES}) || '/' || (i % {VNODES})")} AS point FROM range({SHARDS * VNODES}) t(i)
+  SELECT i // {VNODES} AS shard, {_POINT.format(f"'shard-' || (i // {VNODES}) || '/' || (i % {VNODES})")} AS point FROM range({SHARDS * VNODES}) t(i)
 ), loads AS (
   SELECT coalesce((SELECT min(point) FROM ring WHERE ring.point >= p.point), (SELECT min(point) FROM ring)) AS point, count(*) AS load FROM (SELECT point FROM d) p GROUP BY 1
 ), n AS (
-  SELECT ring.shard, ring.vnode, ring.point, coalesce(load, 0) AS load, (SELECT count(*) FROM d) AS total FROM ring LEFT JOIN loads USING (point)
-), b AS (
-  SELECT *, total // {SHARDS} + CASE WHEN shard < total % {SHARDS} THEN 1 ELSE 0 END AS bound FROM n
-), m AS (
-  SELECT *, bound // {VNODES} + CASE WHEN vnode < bound % {VNODES} THEN 1 ELSE 0 END AS room, row_number() OVER (ORDER BY point, shard, vnode) AS seat FROM b
-), q AS (
-  SELECT *, sum(load - room) OVER (ORDER BY seat) AS flow, sum(load) OVER (ORDER BY seat) AS arrived FROM m
-), c AS (
-  SELECT seat AS cut_at, arrived AS start FROM q ORDER BY flow, seat LIMIT 1
-), u AS (
-  SELECT q.shard, q.room, (q.seat - c.cut_at - 1 + {SHARDS * VNODES}) % {SHARDS * VNODES} AS turn, c.start, q.total FROM q, c
-), runs AS (
-  SELECT shard, room, start, total, sum(room) OVER (ORDER BY turn) - room AS first, sum(room) OVER (PARTITION BY shard ORDER BY turn) - room AS slot_first FROM u
+  SELECT shard, coalesce(load, 0) AS load, row_number() OVER (ORDER BY point) AS seat FROM ring LEFT JOIN loads USING (point)
+), t AS (
+  SELECT (SELECT count(*) FROM d) AS total, (SELECT count(*) FROM d WHERE point <= (SELECT max(point) FROM ring)) AS start
+), u0 AS (
+  SELECT shard, total // {SHARDS} + CASE WHEN shard < total % {SHARDS} THEN 1 ELSE 0 END AS bound, 0 AS used FROM range({SHARDS}) r(shard), t
+), w0 AS (
+  SELECT seat, sum(load) OVER (ORDER BY seat) - load AS first, load AS n FROM n
+){"".join(map(_round, range(SHARDS)))}, runs AS (
+  {" UNION ALL ".join(f"SELECT first, fits, shard, used + ahead AS slot_first FROM f{r} WHERE fits > 0" for r in range(SHARDS))}
 ), k AS (
-  SELECT *, row_number() OVER (ORDER BY point, doc_id, size, text_crc32) - 1 AS place FROM d
+  SELECT doc_id, size, text_crc32, (row_number() OVER (ORDER BY point, {_POINT.format("concat_ws('/', doc_id, size, text_crc32)")}, doc_id NULLS FIRST, size, text_crc32) - 1 - start + total) % total AS place FROM d, t
 )
-SELECT k.doc_id, k.size, k.text_crc32, 'rows' AS law, CAST(runs.shard AS INTEGER) AS shard, CAST((k.place - runs.start + runs.total) % runs.total - runs.first + runs.slot_first AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM k JOIN runs ON (k.place - runs.start + runs.total) % runs.total >= runs.first AND (k.place - runs.start + runs.total) % runs.total < runs.first + runs.room
+SELECT k.doc_id, k.size, k.text_crc32, 'rows' AS law, CAST(runs.shard AS INTEGER) AS shard, CAST(k.place - runs.first + runs.slot_first AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM k JOIN runs ON k.place >= runs.first AND k.place < runs.first + runs.fits
 """
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)

@@ -1,25 +1,27 @@
 """Consistent-hash ring with virtual nodes and bounded loads, with DataFrame operations only.
 
-Shards sit on a ring as many virtual nodes; a row belongs to the first virtual node clockwise of its hash. Each
-virtual node may hold its part of its shard's bound, and rows over that continue clockwise, first come first served in
-ring order. Served in ring order, each virtual node holds one run of consecutive ring ranks, so that the whole flow is a
-prefix sum over the few virtual nodes plus each row's rank on the ring. Ranks come in two levels (slices of the ring,
-then rows of a slice); no task holds a shard.
-
-With slack, or on request, the bound is the shard's and not its virtual nodes': rows leave the shard that they hash to only
-where that shard is full, so that few rows move when shards are added. These flows are made on the driver, from the
-loads of the virtual nodes.
+Shards sit on a ring as many virtual nodes; a row belongs to the first virtual node clockwise of its hash. A shard takes what
+hashes to it, in ring order, up to its bound; rows over that continue clockwise to the next virtual node of a shard with room.
+So rows leave the shard that they hash to only where it is full, and few rows move when shards are added.
+
+Each virtual node's rows are one run of ring ranks, so the whole flow is made from the loads of the virtual nodes, on the
+driver, and a row finds its shard by its rank. Ranks come in two levels (slices of the ring, then rows of a slice); no
+task holds a shard, and a key with very many rows is sliced further by what else its rows hold.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLICES = 4096
 RING_BITS = 60
+#: Rows in a slice of the ring, about; slices are at most 1 << MOST_BITS.
+SLICE_ROWS, MOST_BITS = 1 << 16, 16
+#: A slice with so many times its rows is cut into 1 << TIE_BITS by its rows' ties.
+HOT, TIE_BITS = 8, 8
 
 
 def ring_point(name: Column) -> Column:
@@ -33,37 +35,6 @@ def virtual_nodes(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
     return ring.withColumn("point", ring_point(F.concat(F.lit("shard-"), F.col("shard"), F.lit("/"), F.col("vnode"))))
 
 
-def ring_plan(ring: DataFrame, loads: DataFrame, shards: int, vnodes: int, load_factor: float = 1.0) -> DataFrame:
-    """What each virtual node serves: (shard, first, served, start, total, slot_first), in ranks counted from ``start``.
-
-    ``loads`` has (point, load): the rows that hash to each virtual node. Bounds are ceil(load_factor * rows / shards) a shard,
-    but for load factor 1 exactly rows in all, at most one apart, dealt over its virtual nodes at most one apart. The excess a
-    node passes on is the running sum of load minus bound, less its running minimum; the ring is cut where that sum is
-    least, because nothing flows over there. One row per virtual node passes through these windows.
-    """
-    nodes = ring.join(loads, "point", "left").select("shard", "vnode", "point", F.coalesce("load", F.lit(0)).alias("load"))
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nodes = nodes.withColumn("total", F.sum("load").over(every))
-    if load_factor <= 1.0:
-        bound = F.floor(F.col("total") / shards) + (F.col("shard") < F.pmod("total", F.lit(shards))).cast("long")
-    else:
-        bound = F.ceil(F.col("total") * load_factor / shards)
-    nodes = nodes.withColumn("bound", bound.cast("long"))
-    nodes = nodes.withColumn("room", (F.floor(F.col("bound") / vnodes) + (F.col("vnode") < F.pmod("bound", F.lit(vnodes))).cast("long")).cast("long"))
-    order = Window.orderBy("point", "shard", "vnode")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nodes = nodes.withColumn("at", F.row_number().over(order)).withColumn("sum", F.sum(F.col("load") - F.col("room")).over(upto)).withColumn("arrived", F.sum("load").over(upto))
-    nodes = nodes.withColumn("cut", F.min(F.struct("sum", "at", "arrived")).over(every))
-    nodes = nodes.withColumn("turn", F.pmod(F.col("at") - F.col("cut.at") - 1, F.count("*").over(every)))
-    around = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nodes = nodes.withColumn("sum", F.sum(F.col("load") - F.col("room")).over(around))
-    nodes = nodes.withColumn("excess", F.col("sum") - F.least(F.lit(0), F.min("sum").over(around)))
-    nodes = nodes.withColumn("served", F.col("load") + F.coalesce(F.lag("excess").over(Window.orderBy("turn")), F.lit(0)) - F.col("excess"))
-    nodes = nodes.withColumn("first", F.sum("served").over(around) - F.col("served"))
-    slots = Window.partitionBy("shard").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return nodes.withColumn("slot_first", F.sum("served").over(slots) - F.col("served")).select("shard", "first", "served", F.col("cut.arrived").alias("start"), "total", "slot_first")
-
-
 def shard_runs(nodes: list[tuple[int, int]], shards: int, load_factor: float = 1.0) -> list[tuple[int, int, int]]:
     """(first, shard, slot_first) of the runs of ring ranks that each shard serves, from (shard, load) of the virtual nodes in ring order.
 
@@ -95,51 +66,49 @@ def shard_runs(nodes: list[tuple[int, int]], shards: int, load_factor: float = 1
     return sorted(runs)
 
 
-def ring_shards(rows: DataFrame, key: Column, ties: list[str], shards: int, vnodes: int = 64, load_factor: float = 1.0, per_shard: bool | None = None) -> DataFrame:
+def ring_shards(rows: DataFrame, key: Column, ties: list[str], shards: int, vnodes: int = 64, load_factor: float = 1.0) -> DataFrame:
     """``rows`` with shard int and slot long (gapless from 0 in each shard).
 
-    ``key`` names a row on the ring, a null key is the empty name; rows with one key are ordered by ``ties``, and rows alike in
-    both are interchangeable. An empty table gives no rows. Rows hold at most ``load_factor`` times the mean (1: counts at most one apart).
-
-    ``per_shard`` bounds shards and not virtual nodes; by default with a load factor over 1. At 1 the default is that of SHARD_SQL,
-    equal cuts of the ring, which gives up limited movement. Bounds a shard take one job for the loads when this is called.
+    ``key`` names a row on the ring, a null key is the empty name; rows with one key are ordered by a hash of ``ties`` and then by them,
+    nulls first, and rows alike in both are interchangeable. Columns shard and slot of ``rows`` are replaced, other columns stay, whatever
+    their names. An empty table gives no rows. Shards hold at most ``load_factor`` times the mean (1: counts at most one apart). The
+    loads of the virtual nodes and of slices that are too full are counted when this is called.
     """
     if shards < 1 or vnodes < 1 or shards * vnodes >= 1 << 16:
         raise ValueError("shards and vnodes must be positive, and the ring under 65536 virtual nodes")
-    spark = rows.sparkSession
-    ring = F.broadcast(virtual_nodes(spark, shards, vnodes))  # shards * vnodes rows, whatever the data
-    rows = rows.withColumn("_point", ring_point(F.coalesce(key.cast("string"), F.lit(""))))
-    rows = rows.withColumn("_slice", F.shiftright("_point", RING_BITS - 12).cast("int"))
-    slices = rows.select("_slice").groupBy("_slice").agg(F.count("*").alias("_n"))  # SLICES rows at most
-    slices = slices.withColumn("_before", F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).drop("_n")
-    # Loads by virtual node, found by bisection in the sorted points of the ring: one array, as a scalar subquery.
-    arcs = virtual_nodes(spark, shards, vnodes).agg(F.array_sort(F.collect_list("point")).alias("_arcs")).scalar()
-    edges = rows.select("_point").withColumn("_arcs", arcs).select("_point", _clockwise(F.col("_point"), F.col("_arcs")).alias("point"))
-    within = Window.partitionBy("_slice").orderBy("_point", *ties)
-    ranked = rows.withColumn("_in", F.row_number().over(within) - 1).join(F.broadcast(slices), "_slice")
-    if load_factor > 1.0 if per_shard is None else per_shard:
-        nodes = virtual_nodes(spark, shards, vnodes).orderBy("point", "shard", "vnode").collect()  # shards * vnodes rows
-        held = edges.groupBy("point", (F.col("_point") > nodes[-1]["point"]).alias("over")).count().collect()
-        loads, total = {}, sum(r["count"] for r in held)
-        for r in held:
-            loads[r["point"]] = loads.get(r["point"], 0) + r["count"]
-        found = shard_runs([(r["shard"], loads.pop(r["point"], 0)) for r in nodes], shards, load_factor)
-        # The rows after the last virtual node are the first one's; ranks start with them.
-        start = total - sum(r["count"] for r in held if r["over"])
-        served = spark.createDataFrame([(found, start, total)], "runs array<struct<first: long, shard: int, slot_first: long>>, start long, total long")
-        return _placed(ranked.withColumn("_served", served.select(F.struct("*")).scalar()))
-    plan = ring_plan(ring, edges.groupBy("point").agg(F.count("*").alias("load")), shards, vnodes, load_factor)
-    runs = F.struct(F.array_sort(F.collect_list(F.struct("first", "shard", "slot_first"))).alias("runs"), F.max("start").alias("start"), F.max("total").alias("total"))
-    runs = plan.where("served > 0").agg(runs.alias("_served")).scalar()
-    return _placed(ranked.withColumn("_served", runs))
-
-
-def _placed(ranked: DataFrame) -> DataFrame:
-    """Rows with shard and slot, from their place on the ring and the runs of ranks."""
-    ranked = ranked.withColumn("_rank", F.pmod(F.col("_before") + F.col("_in") - F.col("_served.start"), F.col("_served.total")))
-    ranked = ranked.withColumn("_run", _run_of(F.col("_rank"), F.col("_served.runs")))
-    ranked = ranked.withColumn("shard", F.col("_run.shard").cast("int")).withColumn("slot", (F.col("_rank") - F.col("_run.first") + F.col("_run.slot_first")).cast("long"))
-    return ranked.drop("_point", "_slice", "_in", "_before", "_served", "_rank", "_run")
+    rows = rows.drop("shard", "slot").withColumn("_point", ring_point(F.coalesce(key.cast("string"), F.lit(""))))
+    nodes = virtual_nodes(rows.sparkSession, shards, vnodes).orderBy("point", "shard", "vnode").collect()  # shards * vnodes rows
+    # The virtual node of a row, found by bisection in the sorted points of the ring: one array.
+    arcs = F.lit([r["point"] for r in nodes])
+    edges = rows.select("_point").withColumn("point", _clockwise(F.col("_point"), arcs))
+    held = edges.groupBy("point", (F.col("_point") > nodes[-1]["point"]).alias("over")).count().collect()  # shards * vnodes rows and one
+    loads, total = {}, sum(r["count"] for r in held)
+    for r in held:
+        loads[r["point"]] = loads.get(r["point"], 0) + r["count"]
+    runs = shard_runs([(r["shard"], loads.pop(r["point"], 0)) for r in nodes], shards, load_factor)
+    # The rows after the last virtual node are the first one's; ranks start with them.
+    start = total - sum(r["count"] for r in held if r["over"])
+
+    bits = min(MOST_BITS, max(4, math.ceil(math.log2(max(1, total / SLICE_ROWS)))))
+    rows = rows.withColumn("_slice", F.shiftright("_point", RING_BITS - bits).cast("int"))
+    hot = rows.groupBy("_slice").count().where(F.col("count") > HOT * max(SLICE_ROWS, total >> bits)).select("_slice").collect()  # 1 << MOST_BITS rows at most
+    tie = ring_point(F.concat_ws("/", *[F.col(f"`{c}`").cast("string") for c in ties]))
+    cut = F.array_contains(F.lit([r["_slice"] for r in hot]), F.col("_slice")) if hot else F.lit(False)
+    rows = rows.withColumn("_tie", tie).withColumn("_cut", F.when(cut, F.shiftright("_tie", RING_BITS - TIE_BITS)).otherwise(F.lit(0)).cast("int"))
+    if hot:  # all rows of a hot slice go by its points first: its cuts are of its fullest point, the rows before and after it are cuts of their own
+        most = rows.where(cut).groupBy("_slice", "_point").count().groupBy("_slice").agg(F.max_by("_point", "count").alias("_full"))
+        rows = rows.join(F.broadcast(most), "_slice", "left")  # a row for each hot slice
+        beside = F.when(F.col("_point") < F.col("_full"), F.lit(-1)).when(F.col("_point") > F.col("_full"), F.lit(1 << TIE_BITS)).otherwise(F.col("_cut"))
+        rows = rows.withColumn("_cut", F.when(cut, beside).otherwise(F.col("_cut")).cast("int")).drop("_full")
+    slices = rows.select("_slice", "_cut").groupBy("_slice", "_cut").agg(F.count("*").alias("_n"))  # slices, and a few hundred for each hot one
+    slices = slices.withColumn("_before", F.sum("_n").over(Window.orderBy("_slice", "_cut")) - F.col("_n")).drop("_n")
+    within = Window.partitionBy("_slice", "_cut").orderBy("_point", "_tie", *[f"`{c}`" for c in ties])
+    ranked = rows.withColumn("_in", F.row_number().over(within) - 1).join(F.broadcast(slices), ["_slice", "_cut"])
+    ranked = ranked.withColumn("_rank", F.pmod(F.col("_before") + F.col("_in") - start, F.lit(max(1, total))))
+    served = F.from_json(F.lit(json.dumps([dict(zip(("first", "shard", "slot_first"), r, strict=True)) for r in runs])), "array<struct<first: long, shard: int, slot_first: long>>")
+    ranked = ranked.withColumn("_run", _run_of(F.col("_rank"), served))
+    ranked = ranked.withColumn("shard", F.col("_run.shard")).withColumn("slot", F.col("_rank") - F.col("_run.first") + F.col("_run.slot_first"))
+    return ranked.drop("_point", "_slice", "_tie", "_cut", "_in", "_before", "_rank", "_run")
 
 
 def _search(arr: Column, below) -> Column:
