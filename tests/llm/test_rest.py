@@ -61,6 +61,19 @@ def test_mix_budgets(spark):
     assert [r["taken"] for r in mix_sources(df.where("text is null"), [5, 2, 1]).collect()] == [0]
 
 
+def test_mix_of_one_hot_id(spark, monkeypatch):
+    """Most rows without an id, in a source of their own or not: slices of a few rows give what one window gives."""
+    from gleanery.llm import mixing
+
+    rows = [(None if i % 3 else i // 9, "w " * (i % 13) + "x" * (i % 4), "s" if i % 5 else None, i) for i in range(900)] + [(4, "long " * 3000, "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slice int")
+    plain = sorted(map(str, mix_sources(df, [5, 2, 1]).collect()))
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 4)
+    assert sorted(map(str, mix_sources(df.repartition(5), [5, 2, 1]).collect())) == plain
+    taken = mix_sources(df, [5, 2, 1], keep=["slice"]).groupBy("source_size").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()
+    assert all(abs(r["t"] - r["target"]) <= 0.5 for r in taken)
+
+
 @pytest.mark.parametrize("n,shards,factor", [(0, 3, 1.0), (1, 8, 1.0), (500, 7, 1.0), (500, 7, 1.25), (64, 8, 1.0)])
 def test_shards_are_bounded_and_gapless(spark, n, shards, factor):
     df = spark.createDataFrame([(i if i % 11 else None, i, "x") for i in range(n)], "doc_id long, point long, load string")
