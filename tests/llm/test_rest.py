@@ -203,6 +203,18 @@ def test_contamination_as_in_brute_force(spark, block_bytes):
     assert find_contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0 and find_contamination(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 0])
+def test_contamination_of_long_and_hot_texts(spark, block_bytes):
+    """A passage in most documents, a very long document, repeated rows, clashing columns: both ways agree with a count by hand."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = [(i, f"a{i} b {passage} c") for i in range(300)] + [(1, f"a1 b {passage} c"), (900, " ".join(f"w{i}" for i in range(200_000)) + " " + passage), (901, "The end"), (None, passage[3:])]
+    df = spark.createDataFrame([(*d, 1, 2, "k") for d in docs], "doc_id long, text string, n int, k0 int, window string")
+    bench = spark.createDataFrame([(i, passage) for i in range(20)] + [(50, "the"), (50, "the"), (51, " ".join(f"p{i}" for i in range(30, 60)))], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"], r["kept_window"]) for r in find_contamination(df, bench, keep=["window"], block_bytes=block_bytes).collect())
+    want = [(str(i), 43, 40, 20, True, "k") for i in [*range(300), 1]] + [("900", 200_040, 40, 20, False, "k"), ("901", 2, 1, 1, True, "k"), ("None", 39, 39, 20, True, "k")]
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_items_without_ids_contaminate(spark, tmp_path, block_bytes):
     lost, named = " ".join(f"n{i}" for i in range(20)), " ".join(f"m{i}" for i in range(20))
