@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,8 +60,10 @@ def plane_signature(vector: Column, table: list[list[int]]) -> Column:
     return out
 
 
-def vector_hash(vector: Column) -> Column:
-    return F.sha2(F.concat(F.lit("float32|"), F.size(vector).cast("string"), F.lit("|"), F.array_join(F.transform(vector, lambda x: F.hex(F.round(x.cast("double") * 1_000_000).cast("long"))), ",")), 256)
+@F.pandas_udf(T.StringType())
+def vector_hash(vectors: pd.Series) -> pd.Series:
+    """SHA-256 of a vector's little-endian single-precision bytes, whatever its width was; null for null."""
+    return vectors.map(lambda v: None if v is None else sha256(np.asarray(v, "<f4").tobytes()).hexdigest())
 
 
 def sign_bits(vector: Column) -> Column:

@@ -7,12 +7,15 @@ the ordered double-precision dot product, whose value doesn't depend on the tile
 
 from __future__ import annotations
 
+from hashlib import sha256
+from heapq import nsmallest
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.hashing import seeded_priority
+from gleanery.functions.hashing import salted_hash, seeded_priority
 from gleanery.functions.vectors import bin_edges, plane_signature, unit_vector
 from gleanery.session import durable
 
@@ -55,6 +58,18 @@ def _dealt(left: DataFrame, right: DataFrame | None, tile_rows: int) -> DataFram
     return _tiles(left, count, False).unionByName(_tiles(right, count, True))
 
 
+def _dealt_within(rows: DataFrame, group: str, tile_rows: int) -> DataFrame:
+    """Rows with tiles of a self join inside each value of ``group``; small groups are one tile, large ones a grid."""
+    sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_buckets"))
+    placed = rows.join(sizes, F.col(group).eqNullSafe(F.col("_of"))).withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("_buckets")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1)))
+    mine = F.array(
+        F.when(F.col("bucket") <= F.col("other"), F.struct(F.col("bucket").alias("ti"), F.col("other").alias("tj"), F.lit(False).alias("right"))),
+        F.when(F.col("other") <= F.col("bucket"), F.struct(F.col("other").alias("ti"), F.col("bucket").alias("tj"), F.lit(True).alias("right"))),
+    )
+    return placed.withColumn("tile", F.explode(F.filter(mine, lambda x: x.isNotNull()))).select("tile.*", F.col(group).alias("grp"), "id", "unit", "p", "z")
+
+
 class _Tile:
     """Both sides of a tile, and the scores between chunks of the left and all of the right."""
 
@@ -84,8 +99,11 @@ class _Tile:
         return score
 
 
-def theta_pairs(left: DataFrame, tau: float, right: DataFrame | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(lid, lunit, rid, runit, score) with score > tau, strictly. Without ``right``: each unordered pair once, the row of higher priority (smaller p, then id) on the right."""
+def theta_pairs(left: DataFrame, tau: float, right: DataFrame | None = None, tile_rows: int = TILE_ROWS, within: str | None = None) -> DataFrame:
+    """(lid, lunit, rid, runit, score) with score > tau, strictly. Without ``right``: each unordered pair once, the row of higher priority (smaller p, then id) on the right.
+
+    ``within`` names a column of ``left`` whose values keep to themselves: other pairs are never looked at.
+    """
     own = right is None
     types = dict(left.dtypes)
     schema = f"lid {types['id']}, lunit {types['unit']}, rid {types['id']}, runit {types['unit']}, score double"
@@ -111,9 +129,89 @@ def theta_pairs(left: DataFrame, tau: float, right: DataFrame | None = None, til
         take = lambda name, at: table[name].combine_chunks().take(pa.array(at))
         return pa.table({"lid": take("id", u), "lunit": take("unit", u), "rid": take("id", v), "runit": take("unit", v), "score": pa.array(score)})
 
+    if within:
+        return _dealt_within(left, within, tile_rows).groupBy("grp", "ti", "tj").applyInArrow(join, schema)
     return _dealt(left, right, tile_rows).groupBy("ti", "tj").applyInArrow(join, schema)
 
 
+def witnesses(left: DataFrame, right: DataFrame, taus: list[float], tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(id, top, w0, s0, w1, s1, …): of each left row with a score over the least threshold, its largest score, and for each threshold the smallest right id over it and its score.
+
+    Tiles send a row for each of their left rows at most, never pairs.
+    """
+    kind, lowest = dict(right.dtypes)["id"], min(taus)
+    columns = [x for i in range(len(taus)) for x in (f"w{i}", f"s{i}")]
+    schema = f"id {dict(left.dtypes)['id']}, top double, " + ", ".join(f"w{i} {kind}, s{i} double" for i in range(len(taus)))
+
+    def find(table: pa.Table) -> pa.Table:
+        tile = _Tile(table, False)
+        tile.right = tile.right[np.argsort(tile.ids[tile.right], kind="stable")]
+        out: dict[str, list] = {n: [] for n in ("id", "top", *columns)}
+        for part, near in tile.chunks():
+            if not near.shape[1]:
+                continue
+            # The few scores that rounding could put on the other side of a threshold are taken exactly.
+            close = np.zeros(near.shape, bool)
+            for tau in taus:
+                close |= np.abs(near - tau) <= 1e-9
+            u, v = np.nonzero(close)
+            near[u, v] = tile.exact(part[u], tile.right[v])
+            rows = np.flatnonzero(near.max(axis=1) > lowest)
+            u, v = np.nonzero(near[rows] >= near[rows].max(axis=1, keepdims=True) - 1e-9)
+            top = np.full(len(rows), -np.inf)
+            np.maximum.at(top, u, tile.exact(part[rows[u]], tile.right[v]))
+            out["id"].append(part[rows])
+            out["top"].append(top)
+            for i, tau in enumerate(taus):
+                over = near[rows] > tau
+                some, first = over.any(axis=1), over.argmax(axis=1)
+                out[f"w{i}"].append(np.where(some, tile.right[first], -1))
+                out[f"s{i}"].append(np.where(some, tile.exact(part[rows], tile.right[first]), np.nan))
+        ids = table["id"].combine_chunks()
+        joined = {n: np.concatenate(x) if x else np.zeros(0, np.int64 if n[0] in "iw" else np.float64) for n, x in out.items()}
+        take = lambda at: ids.take(pa.array(np.where(at < 0, 0, at), mask=at < 0))
+        return pa.table({n: take(x) if n[0] in "iw" else pa.array(x, mask=np.isnan(x)) for n, x in joined.items()})
+
+    found = _dealt(left, right, tile_rows).groupBy("ti", "tj").applyInArrow(find, schema)
+    best = [F.min(F.when(F.col(f"w{i}").isNotNull(), F.struct(f"w{i}", f"s{i}"))).alias(f"m{i}") for i in range(len(taus))]
+    merged = found.groupBy("id").agg(F.max("top").alias("top"), *best)
+    return merged.select("id", "top", *[F.col(f"m{n[1:]}.{n}").alias(n) for n in columns])
+
+
+def binned_pair_sample(rows: DataFrame, n: int, salt: str, bins: int = 20, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(pair_id, bin, num, den): at most ``n`` unordered pairs of each score bin in the order of their salted hashes, with the inclusion probability num / den.
+
+    A tile keeps its first ``n`` pairs of each bin and sends them with its counts; pairs are named by their smaller and larger id.
+    """
+    edges = np.array(bin_edges(bins))
+
+    def draw(table: pa.Table) -> pa.Table:
+        tile = _Tile(table, True)
+        names = tile.ids.tolist()
+        kept: list[list[tuple[bytes, str]]] = [[] for _ in range(bins)]
+        counts = np.zeros(bins, np.int64)
+        for part, near in tile.chunks():
+            u, v = np.nonzero(near > -np.inf)
+            score = near[u, v]
+            close = np.flatnonzero(np.abs(score - edges[np.abs(score[:, None] - edges).argmin(axis=1)]) <= 1e-9) if len(score) else u
+            score[close] = tile.exact(part[u[close]], tile.right[v[close]])
+            place = np.searchsorted(edges, score, side="right")
+            counts += np.bincount(place, minlength=bins)
+            ids = [f"{min(names[a], names[b])}|{max(names[a], names[b])}" for a, b in zip(part[u].tolist(), tile.right[v].tolist(), strict=True)]
+            hashed = [(sha256(f"{salt}\0{x}".encode()).digest(), x, b) for x, b in zip(ids, place.tolist(), strict=True)]
+            for b in np.flatnonzero(np.bincount(place, minlength=bins)).tolist():
+                kept[b] = nsmallest(n, [*kept[b], *[(x, name) for x, name, at in hashed if at == b]])
+        rows = [(b, name, x.hex()) for b, held in enumerate(kept) for x, name in held]
+        rows += [(b, None, None) for b in range(bins) if counts[b]]
+        found = [int(counts[b]) if name is None else 0 for b, name, _ in rows]
+        return pa.table({"bin": pa.array([r[0] for r in rows], pa.int32()), "pair_id": pa.array([r[1] for r in rows], pa.string()), "h": pa.array([r[2] for r in rows], pa.string()), "n": pa.array(found, pa.int64())})
+
+    found = _dealt(rows, None, tile_rows).groupBy("ti", "tj").applyInArrow(draw, "bin int, pair_id string, h string, n long")
+    sizes = found.groupBy("bin").agg(F.sum("n").alias("den"))
+    chosen = found.where("pair_id is not null").withColumn("draw", F.row_number().over(Window.partitionBy("bin").orderBy("h"))).where(F.col("draw") <= n)
+    return chosen.join(F.broadcast(sizes), "bin").select("pair_id", "bin", F.least(F.lit(n).cast("long"), F.col("den")).alias("num"), "den")
+
+
 def pair_counts(rows: DataFrame, cuts: list[float], strict: bool = True, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row with n0, n1, …: unordered pairs with a score over (or, not strict, at least) each cut. Tiles send counts, never pairs."""
 
@@ -158,6 +256,21 @@ def signature_candidates(rows: DataFrame, tables: list[list[list[int]]]) -> Data
     return signed.select(F.col("id").alias("a"), "tab", "sig").join(other, ["tab", "sig"]).where("a < b").select("a", "b").distinct()
 
 
+def retrieval_audit(rows: DataFrame, edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row on the graph that candidates (a, b) leave of the exact one: edges and those found, records with all of their blockers found, of all records and of those that have some, and records that only one of the two selects at first."""
+    pairs = edges.select("rid", F.least("rid", "bid").alias("a"), F.greatest("rid", "bid").alias("b"))
+    found = pairs.join(candidates.select("a", "b", F.lit(1).alias("hit")).distinct(), ["a", "b"], "left").groupBy("rid").agg(F.count("*").alias("n"), F.count("hit").alias("k"))
+    each = rows.select(F.col("id").alias("rid")).join(found, "rid", "left").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
+    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
+    whole = F.col("n") == F.col("k")
+    sums = each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_found"), F.count("*").alias("n_records"), count(whole).alias("complete_records"), count(F.col("n") > 0).alias("nonempty_records"),
+        count(whole & (F.col("n") > 0)).alias("nonempty_complete"), count((F.col("n") > 0) & (F.col("k") == 0)).alias("selection_difference"),
+    )
+    rate = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    return sums.select("n_edges", "n_found", rate("n_found", "n_edges").alias("recall"), "complete_records", rate("complete_records", "n_records").alias("complete_rate"), rate("nonempty_complete", "nonempty_records").alias("nonempty_complete_rate"), "selection_difference")
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(lid, rid, score) of the candidate with the largest score, the smaller id on ties. A tile sends one row for each of its queries."""
     kind = dict(queries.dtypes)["id"]
@@ -198,18 +311,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after
 
 
-def cluster_ranks(rows: DataFrame, cluster: str) -> DataFrame:
-    """(id, rank): the order in a cluster, nearest its centroid first, then id."""
+def cluster_ranks(rows: DataFrame, cluster: str, policy: str = "easy", salt: str = "cluster") -> DataFrame:
+    """(id, rank): the order in a cluster by closeness to its centroid, then id: ``easy`` nearest first, ``hard`` farthest first; ``random`` is hash order."""
+    if policy == "random":
+        return rows.select("id", F.row_number().over(Window.partitionBy(cluster).orderBy(salted_hash(salt, F.col("id")), "id")).alias("rank"))
     spread = rows.select("id", cluster, F.posexplode("z").alias("pos", "x"))
     centre = spread.groupBy(cluster, "pos").agg(F.avg("x").alias("m"))
     near = spread.join(centre, [cluster, "pos"]).groupBy("id", cluster).agg(F.round(F.sum(F.col("x") * F.col("m")), 9).alias("sim"))
-    return near.select("id", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("sim"), "id")).alias("rank"))
+    order = {"easy": F.desc("sim"), "hard": F.asc("sim")}[policy]
+    return near.select("id", F.row_number().over(Window.partitionBy(cluster).orderBy(order, "id")).alias("rank"))
 
 
 def cluster_suppression(rows: DataFrame, cluster: str, tau: float, ranked: DataFrame | None = None) -> DataFrame:
     """(id, top): rows whose largest score with an earlier row of their cluster is over ``tau``, in the order of ``ranked`` or else of these rows."""
     ranked = cluster_ranks(rows, cluster) if ranked is None else ranked
-    pairs = theta_pairs(rows.select("id", F.col(cluster).alias("unit"), "p", "z"), tau).where("lunit = runit")
+    pairs = theta_pairs(rows.select("id", F.col(cluster).alias("unit"), "p", "z"), tau, within="unit")
     side = lambda c: ranked.select(F.col("id").alias(c), F.col("rank").alias(f"{c}_rank"))
     placed = pairs.join(side("lid"), "lid").join(side("rid"), "rid")
     late = F.when(F.col("lid_rank") > F.col("rid_rank"), F.col("lid")).otherwise(F.col("rid"))

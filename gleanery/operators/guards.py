@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.graph import theta_pairs
+from gleanery.operators.graph import witnesses
 
 # Which split keeps a text that several hold.
 PRECEDENCE = {"test": 3, "calibration": 2, "train": 1}
@@ -39,6 +39,11 @@ def exact_text_guard(records: DataFrame, text: Column) -> DataFrame:
     return keyed.join(top, "key").where("prec < top").select("record_id", F.lit("exact_text").alias("reason"))
 
 
+def text_guard(records: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Records whose text none of the held ones has; texts meet by ``key``, and a null key meets none."""
+    return records.join(held.select(key), key, "left_anti")
+
+
 def link_guard(records: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((record_id, reason) of the lower-precedence ends of links over splits, links with an unknown end). links: (a, b)."""
     side = lambda c: records.select(F.col("record_id").alias(c), precedence(F.col("partition")).alias(f"{c}_prec"))
@@ -57,14 +62,12 @@ def parent_guard(records: DataFrame) -> DataFrame:
 
 def semantic_guard(train: DataFrame, heldout: DataFrame, tau: float) -> DataFrame:
     """(id, witness, score): train rows with a held-out row over ``tau``, and the one with the smallest id."""
-    pairs = theta_pairs(train, tau, heldout)
-    return pairs.groupBy(F.col("lid").alias("id")).agg(F.min(F.struct("rid", "score")).alias("w")).select("id", F.col("w.rid").alias("witness"), F.col("w.score").alias("score"))
+    return witnesses(train, heldout, [tau]).select("id", F.col("w0").alias("witness"), F.col("s0").alias("score"))
 
 
 def semantic_guard_grid(train: DataFrame, heldout: DataFrame, taus: list[float]) -> DataFrame:
-    """(id, top, w0, w1, …): the largest score and the smallest witness over each threshold, from one join at the least."""
-    pairs = theta_pairs(train, min(taus), heldout)
-    return pairs.groupBy(F.col("lid").alias("id")).agg(F.max("score").alias("top"), *[F.min(F.when(F.col("score") > t, F.col("rid"))).alias(f"w{i}") for i, t in enumerate(taus)])
+    """(id, top, w0, w1, …): the largest score and the smallest witness over each threshold, in one pass."""
+    return witnesses(train, heldout, taus).select("id", "top", *[f"w{i}" for i in range(len(taus))])
 
 
 def unite_reasons(*reasons: DataFrame) -> DataFrame:
@@ -103,7 +106,3 @@ def benchmark_containment(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
     short = items.where("word = ''").select("item_id", "item")  # of two words at most
     return found.union(docs.join(short, F.contains(docs.text, short.item)).select("doc_id", "item_id"))
-
-
-def rank_in(group: list[str], order: list) -> Column:
-    return F.row_number().over(Window.partitionBy(*group).orderBy(*order))

@@ -16,11 +16,13 @@ from gleanery.session import durable
 RESIDUAL_LIMIT = 1e-10
 
 
-def packed_moments(df: DataFrame, vector: str, target: str, sign: str | None = None, group: str | None = None) -> DataFrame:
+def packed_moments(df: DataFrame, vector: str, target: str, sign: str | None = None, group: str | None = None, single: bool = False) -> DataFrame:
     """(group, pos, value): upper Gram triangle, cross products with the target, and count, in double precision.
 
-    Each task adds its batches up to one row of numbers for each group before the exchange; ``sign`` weighs rows.
+    Each task adds its batches up to one row of numbers for each group before the exchange; ``sign`` weighs rows. ``single`` keeps products,
+    targets and each task's sums in single precision, to see what it costs; the sums of tasks are rounded once.
     """
+    kind = np.float32 if single else np.float64
     rows = df.select((F.col(group) if group else F.lit(0)).cast("string").alias("grp"), F.col(vector).alias("x"), F.col(target).cast("double").alias("y"), (F.col(sign) if sign else F.lit(1)).cast("double").alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,17 +32,18 @@ def packed_moments(df: DataFrame, vector: str, target: str, sign: str | None = N
                 continue
             names = np.array(batch.column("grp").to_pylist(), object)
             vectors = batch.column("x")
-            x = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
-            y, s = np.asarray(batch.column("y")), np.asarray(batch.column("s"))
+            x = np.asarray(vectors.flatten(), kind).reshape(len(vectors), -1)
+            y, s = np.asarray(batch.column("y")).astype(kind), np.asarray(batch.column("s")).astype(kind)
             upper = np.triu_indices(x.shape[1])
             for name in set(names.tolist()):
                 at = names == name
                 weighed = x[at] * s[at][:, None]
                 sums[name] = sums.get(name, 0) + np.concatenate(((weighed.T @ x[at])[upper], weighed.T @ y[at], [s[at].sum()]))
         for name, values in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["grp", "pos", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values.astype(np.float64))], names=["grp", "pos", "value"])
 
-    return rows.mapInArrow(run, "grp string, pos int, value double").groupBy("grp", "pos").agg(F.sum("value").alias("value"))
+    total = F.sum("value")
+    return rows.mapInArrow(run, "grp string, pos int, value double").groupBy("grp", "pos").agg((total.cast("float").cast("double") if single else total).alias("value"))
 
 
 def unpack(moments: DataFrame, dims: int) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:

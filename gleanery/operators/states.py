@@ -152,7 +152,7 @@ def rank_coordinates(polynomial: DataFrame, found: DataFrame, horizon: int) -> t
     A record gives and takes in one component, so coefficients of a component without ground sum to zero and its smallest key is
     told by the others.
     """
-    labels = component_labels(found, horizon)
+    labels = component_labels(found, [horizon]).drop("horizon")
     members = labels.where("node <> 'ground'").select(F.substring("node", 3, 1 << 30).alias("name"), F.col("node"), "label", (F.col("label") != "ground").alias("loose"))
     omitted = members.where("loose and node = label").select("name")
     named = polynomial.withColumn("name", key_text(F.col("key")))

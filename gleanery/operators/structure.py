@@ -43,11 +43,6 @@ def membership_polynomial(found: DataFrame, horizon: int | None = None) -> DataF
     return endpoints(found, horizon).groupBy("key", "id").agg(F.sum("sign").alias("coefficient")).where("coefficient <> 0")
 
 
-def weighted_polynomial(found: DataFrame, stats: DataFrame, horizon: int | None = None) -> DataFrame:
-    """(key, i, value): coefficients of packed statistics, given as (id, i, value)."""
-    return endpoints(found, horizon).join(stats, "id").groupBy("key", "i").agg(F.sum(F.col("sign") * F.col("value")).alias("value")).where("value <> 0")
-
-
 def substitute(polynomial: DataFrame, deleted: list, horizon: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """The polynomial after deleting units: they leave every key, merged coefficients add up, zeros and keys over the rest of the horizon drop."""
     gone = F.array(*[F.lit(x) for x in deleted])
@@ -66,51 +61,56 @@ def key_text(key: Column) -> Column:
     return F.array_join(F.transform(key, lambda x: x.cast("string")), ",")
 
 
-def component_labels(found: DataFrame, horizon: int) -> DataFrame:
-    """(node, label): keys as "k:" and their text, and "ground", with the smallest node of their component; a component with ground has the label "ground".
+def component_labels(found: DataFrame, horizons: list[int]) -> DataFrame:
+    """(horizon, node, label) from one run of components: keys as "k:" and their text, and "ground", with the smallest node of their component at each horizon; a component with ground has the label "ground".
 
     A record within the horizon links its blocker key to the key with its own unit, or to ground where that is over the
     horizon.
     """
-    usable = found.where(~F.array_contains("tail", F.col("own")) & (F.size("tail") <= horizon))
-    head = F.when(F.size("tail") < horizon, key_text(F.array_sort(F.array_append("tail", F.col("own"))))).otherwise("ground")
-    links = usable.select(F.concat(F.lit("k:"), key_text(F.col("tail"))).alias("a"), F.when(head == "ground", head).otherwise(F.concat(F.lit("k:"), head)).alias("b"))
-    return components(links)
+    usable = found.where(~F.array_contains("tail", F.col("own"))).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).where(F.size("tail") <= F.col("horizon"))
+    named = lambda x: F.concat(F.format_string("%09d", F.col("horizon")), F.lit("|"), x)
+    head = F.when(F.size("tail") < F.col("horizon"), F.concat(F.lit("k:"), key_text(F.array_sort(F.array_append("tail", F.col("own")))))).otherwise("ground")
+    labels = components(usable.select(named(F.concat(F.lit("k:"), key_text(F.col("tail")))).alias("a"), named(head).alias("b")))
+    return labels.select(F.substring("node", 1, 9).cast("int").alias("horizon"), *[F.substring(c, 11, 1 << 30).alias(c) for c in ("node", "label")])
 
 
-def incidence_census(found: DataFrame, horizon: int) -> DataFrame:
-    """One row: eligible, interior, boundary and own-blocked records, keys, ungrounded components, and the rank: keys less those components."""
-    labels = component_labels(found, horizon)
-    grounded = labels.where("node = 'ground'").select("label")
-    loose = labels.join(grounded, "label", "left_anti").agg(F.countDistinct("label").alias("ungrounded_components"))
-    keys = labels.where("node <> 'ground'").agg(F.count("*").alias("n_keys"))
-    counts = found.agg(
-        F.sum(F.array_contains("tail", F.col("own")).cast("long")).alias("own_blocked"), F.sum((~F.array_contains("tail", F.col("own")) & (F.size("tail") <= horizon)).cast("long")).alias("eligible"),
-        F.sum((~F.array_contains("tail", F.col("own")) & (F.size("tail") < horizon)).cast("long")).alias("interior"), F.sum((~F.array_contains("tail", F.col("own")) & (F.size("tail") == horizon)).cast("long")).alias("boundary"),
+def incidence_profile(found: DataFrame, horizons: list[int]) -> DataFrame:
+    """A row for each horizon: eligible, interior, boundary and own-blocked records, keys, ungrounded components, and the rank: keys less those components."""
+    found = durable(found)
+    labels = component_labels(found, horizons)
+    grounded = labels.where("node = 'ground'").select("horizon", "label")
+    loose = labels.join(grounded, ["horizon", "label"], "left_anti").groupBy("horizon").agg(F.countDistinct("label").alias("loose"))
+    keys = labels.where("node <> 'ground'").groupBy("horizon").agg(F.count("*").alias("keys"))
+    every = found.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    own, count = F.array_contains("tail", F.col("own")), lambda x: F.sum(x.cast("long"))
+    counts = every.groupBy("horizon").agg(
+        count(own).alias("own_blocked"), count(~own & (F.size("tail") <= F.col("horizon"))).alias("eligible"), count(~own & (F.size("tail") < F.col("horizon"))).alias("interior"), count(~own & (F.size("tail") == F.col("horizon"))).alias("boundary"),
     )
-    return counts.join(keys).join(loose).withColumn("query_rank", F.col("n_keys") - F.col("ungrounded_components"))
+    out = counts.join(keys, "horizon", "left").join(loose, "horizon", "left")
+    out = out.withColumn("n_keys", F.coalesce("keys", F.lit(0))).withColumn("ungrounded_components", F.coalesce("loose", F.lit(0))).drop("keys", "loose")
+    return out.withColumn("query_rank", F.col("n_keys") - F.col("ungrounded_components"))
+
+
+def incidence_census(found: DataFrame, horizon: int) -> DataFrame:
+    """The profile's row of one horizon."""
+    return incidence_profile(found, [horizon]).drop("horizon")
 
 
 def rank_profile(found: DataFrame, horizons: list[int]) -> DataFrame:
-    """(horizon, query_rank) for each horizon, from terms that are computed once."""
-    found = durable(found)
-    out = None
-    for h in horizons:
-        one = incidence_census(found, h).select(F.lit(h).alias("horizon"), "query_rank")
-        out = one if out is None else out.union(one)
-    return out
+    """(horizon, query_rank) for each horizon, in one pass."""
+    return incidence_profile(found, horizons).select("horizon", "query_rank")
 
 
 def expected_admissions(found: DataFrame, frame: int, k: int) -> DataFrame:
     """Mean admissions of a uniform request of k of ``frame`` units, all units in the frame: (n_blockers, n_records, probability) for each size.
 
-    The chance that all b blockers are among the k and the owner isn't: falling products, no factorials.
+    The chance that all b blockers are among the k and the owner isn't: falling products, no factorials; none for more blockers than k.
     """
     usable = found.where((F.size("tail") > 0) & ~F.array_contains("tail", F.col("own")))
     sizes = usable.groupBy(F.size("tail").alias("n_blockers")).agg(F.count("*").alias("n_records"))
     within = F.aggregate(F.sequence(F.lit(0), F.col("n_blockers") - 1), F.lit(1.0), lambda p, i: p * F.greatest(F.lit(0.0), (F.lit(float(k)) - i) / (F.lit(float(frame)) - i)))
     outside = F.lit(float(frame - k)) / (F.lit(float(frame)) - F.col("n_blockers"))
-    return sizes.withColumn("probability", within * outside)
+    return sizes.withColumn("probability", F.when(F.col("n_blockers") > k, 0.0).otherwise(within * outside))
 
 
 def source_singletons(found: DataFrame) -> DataFrame:

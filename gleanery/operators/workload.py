@@ -38,6 +38,39 @@ def trajectories(units: DataFrame, arm: str, count: int, horizon: int, salt: str
     return ranked.where(F.col("pos") <= horizon).select("trajectory_id", F.lit(arm).alias("arm"), "pos", "unit")
 
 
+def mass_trajectories(masses: DataFrame, count: int, horizon: int, salt: str) -> DataFrame:
+    """(trajectory_id, arm, pos, unit) from (unit, mass): each trajectory takes units one by one with probability by mass, the order of -ln(u) / mass for u of its own hash."""
+    grid = masses.withColumn("trajectory_id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    u = (hash_number(salt, F.concat_ws("|", F.lit("S-mass"), F.col("trajectory_id").cast("string"), F.col("unit").cast("string")), 12) + F.lit(0.5)) / F.lit(float(2**48))
+    ranked = grid.withColumn("pos", F.row_number().over(Window.partitionBy("trajectory_id").orderBy(-F.log(u) / F.col("mass"), "unit")))
+    return ranked.where(F.col("pos") <= horizon).select("trajectory_id", F.lit("S-mass").alias("arm"), "pos", "unit")
+
+
+def one_percent_horizon(population: int, feasible: int | None = None, levels: tuple[int, ...] = (1, 8, 32, 128)) -> tuple[int, list[int]]:
+    """A hundredth of the units, rounded up, as far as feasible, and the checkpoints: the levels and the horizon itself, clipped to it."""
+    whole = -(-population // 100)
+    horizon = whole if feasible is None else min(whole, feasible)
+    return horizon, [k for k in clipped_checkpoints([*levels, whole], horizon) if k]
+
+
+def stress_paths(rows: DataFrame, edges: DataFrame, horizon: int, count: int, cap: int, salt: str) -> DataFrame:
+    """(trajectory_id, arm, pos, unit, candidate) over records: a path deletes the blockers of one excluded record first, in their order, then others in hash order, up to ``horizon``.
+
+    Each trajectory scores up to ``cap`` excluded records of at most ``horizon`` blockers by what deleting their blockers admits, and takes the best,
+    the smallest id on ties; without any, it deletes in hash order alone.
+    """
+    sizes = edges.groupBy("rid").agg(F.countDistinct("bid").alias("n"))
+    mine = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("trajectory_id")
+    hashed = lambda kind, c: salted_hash(salt, F.concat_ws("|", F.lit(kind), F.col("trajectory_id").cast("string"), F.col(c).cast("string")))
+    drawn = sizes.where(F.col("n") <= horizon).select("rid", mine).withColumn("k", F.row_number().over(Window.partitionBy("trajectory_id").orderBy(hashed("candidate", "rid")))).where(F.col("k") <= cap)
+    scores = admissions_of_sets(edges, drawn.select(F.col("rid").alias("candidate")).distinct())
+    best = drawn.select("trajectory_id", F.col("rid").alias("candidate")).join(scores, "candidate").groupBy("trajectory_id").agg(F.min(F.struct((-F.col("n_admitted")).alias("s"), "candidate")).alias("m")).select("trajectory_id", "m.candidate")
+    prefix = best.join(edges.select(F.col("rid").alias("candidate"), F.col("bid").alias("id")).distinct(), "candidate").select("trajectory_id", "id", F.lit(0).alias("late"), F.lit("").alias("h"))
+    padding = rows.select("id", mine).join(prefix.select("trajectory_id", "id"), ["trajectory_id", "id"], "left_anti").select("trajectory_id", "id", F.lit(1).alias("late"), hashed("padding", "id").alias("h"))
+    ranked = prefix.union(padding).withColumn("pos", F.row_number().over(Window.partitionBy("trajectory_id").orderBy("late", "h", "id"))).where(F.col("pos") <= horizon)
+    return ranked.join(best, "trajectory_id", "left").select("trajectory_id", F.lit("A").alias("arm"), "pos", F.col("id").alias("unit"), "candidate")
+
+
 def clipped_checkpoints(levels: list[int], horizon: int) -> list[int]:
     return sorted({min(k, horizon) for k in levels})
 
@@ -75,20 +108,19 @@ def arm_frames(rows: DataFrame, edges: DataFrame, genuine: Column) -> DataFrame:
     )
 
 
-def stress_candidates(edges: DataFrame, rows: DataFrame, limit: int, salt: str) -> DataFrame:
-    """(candidate, n_admitted) for the blocker sets of up to ``limit`` excluded records: how many records each set admits."""
-    sets = edges.groupBy("rid").agg(F.array_sort(F.collect_set("bid")).alias("blockers"))
-    chosen = simple_sample(sets, F.col("rid"), limit, salt).select(F.col("rid").alias("candidate"), F.explode("blockers").alias("bid"))
-    needed = edges.groupBy("rid").agg(F.countDistinct("bid").alias("needed"))
-    have = chosen.join(edges.select("rid", "bid").distinct(), "bid").groupBy("candidate", "rid").agg(F.count("*").alias("have"))
-    opened = have.join(needed, "rid").where("have = needed")
-    free = opened.join(chosen.select("candidate", F.col("bid").alias("rid")), ["candidate", "rid"], "left_anti")
+def admissions_of_sets(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(candidate, n_admitted): how many records the deletion of each candidate's blockers admits. candidates: (candidate)."""
+    links = edges.select("rid", "bid").distinct()
+    gone = candidates.join(links.withColumnRenamed("rid", "candidate"), "candidate")
+    needed = links.groupBy("rid").agg(F.count("*").alias("needed"))
+    opened = gone.join(links, "bid").groupBy("candidate", "rid").agg(F.count("*").alias("have")).join(needed, "rid").where("have = needed")
+    free = opened.join(gone.select("candidate", F.col("bid").alias("rid")), ["candidate", "rid"], "left_anti")
     return free.groupBy("candidate").agg(F.count("*").alias("n_admitted"))
 
 
-def best_candidate(scores: DataFrame) -> DataFrame:
-    """Most admissions, the smallest id on ties."""
-    return scores.agg(F.min(F.struct((-F.col("n_admitted")).alias("n"), "candidate")).alias("m")).select("m.candidate", (-F.col("m.n")).alias("n_admitted"))
+def stress_candidates(edges: DataFrame, rows: DataFrame, limit: int, salt: str) -> DataFrame:
+    """(candidate, n_admitted) for the blocker sets of up to ``limit`` excluded records: how many records each set admits."""
+    return admissions_of_sets(edges, simple_sample(edges.select("rid").distinct(), F.col("rid"), limit, salt).select(F.col("rid").alias("candidate")))
 
 
 def volume_matched(rows: DataFrame, volumes: DataFrame, salt: str) -> DataFrame:
@@ -113,9 +145,9 @@ def assignments(pairs: DataFrame, raters: int, salt: str) -> DataFrame:
 
 
 def swapped_share(sample: DataFrame, share: float, salt: str) -> DataFrame:
-    """The rows whose hash falls in ``share``, sides swapped."""
-    chosen = hash_number(salt, F.col("pair_id")) < int(share * 2**32)
-    return sample.where(chosen).select("pair_id", F.col("b").alias("a"), F.col("a").alias("b"))
+    """``share`` of the rows, rounded up, by hash order, sides swapped."""
+    n = -(-sample.count() * int(share * 1000) // 1000)
+    return simple_sample(sample, F.col("pair_id"), n, salt).select("pair_id", F.col("b").alias("a"), F.col("a").alias("b"))
 
 
 def audit_sample(cells: DataFrame, strata: list[str], quota: int, key: str, salt: str) -> DataFrame:

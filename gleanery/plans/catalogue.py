@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import exact, hashing, text, vectors
 from gleanery.operators import evaluation, exact_states, graph, guards, inference, moments, selection, states, structure, windows, workload
+from gleanery.session import checkpoint_folder, durable
 from gleanery.sources.readers import explode_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +43,12 @@ def edge_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, graph.blocker_edges(rows, TAU)
 
 
+def written_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same, for plans that read the edges more than once: the join runs once."""
+    rows, edges = edge_rows(spark, sf_dir)
+    return rows, durable(edges)
+
+
 def units(spark: SparkSession, *values: int) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "unit int")
 
@@ -61,6 +69,7 @@ _T = _E + """,
 tails AS (SELECT rid, list_sort(list(DISTINCT bown)) AS tail FROM edges GROUP BY rid),
 terms AS (SELECT u.id, u.unit AS own, coalesce(tail, []) AS tail FROM u LEFT JOIN tails ON u.id = tails.rid)"""
 _NORM = r"trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))"
+_NFC = r"trim(regexp_replace(nfc_normalize(text), '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
 _PART = f"CASE WHEN {{0}} <= '{hashing.hash_bound(Fraction(7, 10))}' THEN 'train' WHEN {{0}} <= '{hashing.hash_bound(Fraction(17, 20))}' THEN 'calibration' ELSE 'test' END"
 _PREC = "CASE {0} WHEN 'test' THEN 3 WHEN 'calibration' THEN 2 ELSE 1 END"
 
@@ -86,15 +95,15 @@ def source_units(spark, sf_dir):
     return o.select("order_id", hashing.source_unit("account", F.col("order_id"), F.col("prio"), F.col("clerk")).alias("unit"))
 
 
-@query(f"SELECT doc_id, {_NORM} AS norm, sha256({_NORM}) AS text_sha256 FROM documents")
+@query(f"SELECT doc_id, {_NFC} AS norm, sha256({_NFC}) AS text_sha256, sha256({_NORM}) AS space_sha256 FROM documents")
 def normalized_texts(spark, sf_dir):
-    t = text.collapse_space(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("norm"), F.sha2(t, 256).alias("text_sha256"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.normalized_text(F.col("text")).alias("norm"), text.collapse_space(F.col("text")).alias("plain"))
+    return d.select("doc_id", "norm", F.sha2("norm", 256).alias("text_sha256"), F.sha2("plain", 256).alias("space_sha256"))
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_NORM} ORDER BY {h('priority', 'doc_id')}, doc_id) AS k FROM documents) WHERE k = 1")
+@query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_NFC} ORDER BY {h('priority', 'doc_id')}, doc_id) AS k FROM documents) WHERE k = 1")
 def exact_text_dedup(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.collapse_space(F.col("text")), 256).alias("key"), hashing.salted_hash("priority", F.col("doc_id")).alias("p"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalized_text(F.col("text")), 256).alias("key"), hashing.salted_hash("priority", F.col("doc_id")).alias("p"))
     return selection.first_of_class(d, ["key"], ["p", "doc_id"]).select("doc_id")
 
 
@@ -105,9 +114,10 @@ def token_windows(spark, sf_dir):
     return c.select("doc_id", total.alias("n_tokens"), F.size("c").alias("n_chunks"), F.size(F.element_at("c", -1)).cast("long").alias("last_size"))
 
 
-@query(f"WITH t AS (SELECT conv_id, list_filter(string_split(lower({_NORM}), ' '), lambda x: x <> '') AS w FROM conversations WHERE turn = 0), g AS (SELECT conv_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM t), c AS (SELECT conv_id, CAST(CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 64 AS INTEGER) AS slot, count(*) AS n FROM g GROUP BY 1, 2) SELECT conv_id AS id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id)), 6) AS value FROM c")
+@query(f"WITH t AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split(lower({_NORM}), ' '), lambda x: x <> '') AS w FROM conversations), g AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM t), c AS (SELECT id, CAST(CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 64 AS INTEGER) AS slot, count(*) AS n FROM g GROUP BY 1, 2) SELECT id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM c")
 def hashed_ngrams(spark, sf_dir):
-    return text.hashed_ngrams(table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", "text", 64).withColumn("value", F.round("value", 6))
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return text.hashed_ngrams(c, "id", "text", 64).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT page_id, regexp_extract(lower(url), '^[^:]+://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host FROM pages")
@@ -166,9 +176,9 @@ def _partitioned(spark, sf_dir):
     return d.select(F.col("doc_id").alias("record_id"), "text", "source", hashing.digest_partition(hashing.salted_hash("split", F.col("doc_id"))).alias("partition"))
 
 
-@query(f"WITH r AS (SELECT doc_id AS record_id, {_NORM} AS k, {_PREC.format('(' + _PART.format(h('split', 'doc_id')) + ')')} AS prec FROM documents) SELECT record_id, 'exact_text' AS reason FROM (SELECT *, max(prec) OVER (PARTITION BY k) AS top FROM r) WHERE prec < top")
+@query(f"WITH r AS (SELECT doc_id AS record_id, {_NFC} AS k, {_PREC.format('(' + _PART.format(h('split', 'doc_id')) + ')')} AS prec FROM documents) SELECT record_id, 'exact_text' AS reason FROM (SELECT *, max(prec) OVER (PARTITION BY k) AS top FROM r) WHERE prec < top")
 def exact_guard(spark, sf_dir):
-    return guards.exact_text_guard(_partitioned(spark, sf_dir), text.collapse_space(F.col("text")))
+    return guards.exact_text_guard(_partitioned(spark, sf_dir), text.normalized_text(F.col("text")))
 
 
 @query(f"WITH r AS (SELECT conv_id * 1000 + turn AS record_id, conv_id * 1000 + turn - 1 AS parent, turn, {_PART.format(h('split', 'conv_id * 1000 + turn'))} AS part FROM conversations) SELECT c.record_id, 'heldout_parent' AS reason FROM r c WHERE c.part = 'train' AND c.turn > 0 AND c.parent IN (SELECT record_id FROM r WHERE part <> 'train')")
@@ -178,22 +188,24 @@ def parent_guard(spark, sf_dir):
     return guards.parent_guard(c.select("record_id", part.alias("partition"), F.when(F.col("turn") > 0, F.col("record_id") - 1).otherwise(-1).alias("parent_id")))
 
 
-_LINKS = "(SELECT doc_id AS a, doc_id + 7 AS b FROM documents WHERE doc_id % 5 = 0)"
+_LINKS = "(SELECT doc_id AS a, doc_id + 7 AS b FROM documents)"
+
+
+def _links(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 7).alias("b"))
 
 
 @query(f"WITH r AS (SELECT doc_id, {_PREC.format('(' + _PART.format(h('split', 'doc_id')) + ')')} AS prec FROM documents) SELECT DISTINCT CASE WHEN x.prec < y.prec THEN l.a ELSE l.b END AS record_id, 'duplicate_link' AS reason FROM {_LINKS} l JOIN r x ON x.doc_id = l.a JOIN r y ON y.doc_id = l.b WHERE x.prec <> y.prec")
 def link_guard(spark, sf_dir):
-    links = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 7).alias("b"))
-    return guards.link_guard(_partitioned(spark, sf_dir), links)[0]
+    return guards.link_guard(_partitioned(spark, sf_dir), _links(spark, sf_dir))[0]
 
 
 @query(f"SELECT l.a, l.b FROM {_LINKS} l WHERE l.b NOT IN (SELECT doc_id FROM documents)")
 def unresolved_links(spark, sf_dir):
-    links = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 7).alias("b"))
-    return guards.link_guard(_partitioned(spark, sf_dir), links)[1]
+    return guards.link_guard(_partitioned(spark, sf_dir), _links(spark, sf_dir))[1]
 
 
-@query(f"WITH r AS (SELECT doc_id AS record_id, doc_id, text, {_PREC.format('(' + _PART.format(h('split', 'doc_id')) + ')')} AS prec FROM documents), e AS (SELECT record_id FROM (SELECT *, max(prec) OVER (PARTITION BY {_NORM}) AS top FROM r) WHERE prec < top), k AS (SELECT DISTINCT CASE WHEN x.prec < y.prec THEN l.a ELSE l.b END AS record_id FROM {_LINKS} l JOIN r x ON x.doc_id = l.a JOIN r y ON y.doc_id = l.b WHERE x.prec <> y.prec) SELECT record_id, list_sort(list(reason)) AS reasons FROM (SELECT record_id, 'exact_text' AS reason FROM e UNION ALL SELECT record_id, 'duplicate_link' FROM k) GROUP BY record_id")
+@query(f"WITH r AS (SELECT doc_id AS record_id, doc_id, text, {_PREC.format('(' + _PART.format(h('split', 'doc_id')) + ')')} AS prec FROM documents), e AS (SELECT record_id FROM (SELECT *, max(prec) OVER (PARTITION BY {_NFC}) AS top FROM r) WHERE prec < top), k AS (SELECT DISTINCT CASE WHEN x.prec < y.prec THEN l.a ELSE l.b END AS record_id FROM {_LINKS} l JOIN r x ON x.doc_id = l.a JOIN r y ON y.doc_id = l.b WHERE x.prec <> y.prec) SELECT record_id, list_sort(list(reason)) AS reasons FROM (SELECT record_id, 'exact_text' AS reason FROM e UNION ALL SELECT record_id, 'duplicate_link' FROM k) GROUP BY record_id")
 def united_reasons(spark, sf_dir):
     return guards.unite_reasons(exact_guard(spark, sf_dir), link_guard(spark, sf_dir))
 
@@ -233,10 +245,10 @@ def input_contract(spark, sf_dir):
     return guards.contract_violations(e, {"finite": F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), "length": F.size("embedding") == 64, "label": F.col("label").between(0, 8)})
 
 
-@query(f"SELECT doc_id FROM documents WHERE source <> 'src1' AND {_NORM} NOT IN (SELECT {_NORM} FROM documents WHERE source = 'src1')")
+@query(f"WITH d AS (SELECT doc_id, source, {_NFC} AS k FROM documents) SELECT doc_id FROM d WHERE source IS DISTINCT FROM 'src1' AND (k IS NULL OR k NOT IN (SELECT k FROM d WHERE source = 'src1' AND k IS NOT NULL))")
 def text_semi_guard(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(text.collapse_space(F.col("text")), 256).alias("key"))
-    return d.where("source <> 'src1'").join(d.where("source = 'src1'").select("key"), "key", "left_anti").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(text.normalized_text(F.col("text")), 256).alias("key"))
+    return guards.text_guard(d.where(~F.col("source").eqNullSafe(F.lit("src1"))), d.where("source = 'src1'"), "key").select("doc_id")
 
 
 # Blocker graph and selection ----------------------------------------------------------------------------------------
@@ -273,7 +285,7 @@ def selection_after_source_delete(spark, sf_dir):
 
 @query(f"WITH {_E} {_AFTER} AND id IN (SELECT rid FROM edges)")
 def admissions_after_source_delete(spark, sf_dir):
-    return selection.admissions_after(*edge_rows(spark, sf_dir), units(spark, UNIT)).select("id")
+    return selection.admissions_after(*written_edges(spark, sf_dir), units(spark, UNIT)).select("id")
 
 
 @query(f"WITH {_E} SELECT id FROM u WHERE unit <> {UNIT} AND id NOT IN (SELECT rid FROM edges)")
@@ -283,7 +295,7 @@ def frozen_selection(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT id FROM u WHERE id NOT IN (SELECT rid FROM edges GROUP BY rid HAVING count(DISTINCT bown) > {HORIZON} OR max(CASE WHEN bown = rown THEN 1 ELSE 0 END) = 1)")
 def horizon_eligible(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     return selection.eligible(rows, edges, HORIZON).select("id")
 
 
@@ -315,25 +327,24 @@ def lsh_candidates(spark, sf_dir):
     return graph.signature_candidates(vector_rows(spark, sf_dir), _PLANES)
 
 
-@query(f"WITH {_CAND}, e AS (SELECT l.id AS a, r.id AS b FROM u l JOIN u r ON l.id < r.id AND list_dot_product(l.z, r.z) > {TAU}) SELECT count(*) AS n_edges, count(c.a) AS n_found, count(c.a) / count(*) AS recall FROM e LEFT JOIN cand c ON e.a = c.a AND e.b = c.b")
+@query(f"""WITH {_E}, {_CAND.split(_U + ", ")[1]}, f AS (SELECT e.rid, count(*) AS n, count(c.a) AS k FROM edges e LEFT JOIN cand c ON c.a = least(e.rid, e.bid) AND c.b = greatest(e.rid, e.bid) GROUP BY e.rid), x AS (SELECT u.id, coalesce(n, 0) AS n, coalesce(k, 0) AS k FROM u LEFT JOIN f ON f.rid = u.id)
+SELECT CAST(sum(n) AS BIGINT) AS n_edges, CAST(sum(k) AS BIGINT) AS n_found, sum(k) / sum(n) AS recall, count(*) FILTER (n = k) AS complete_records, count(*) FILTER (n = k) / count(*) AS complete_rate, count(*) FILTER (n = k AND n > 0) / count(*) FILTER (n > 0) AS nonempty_complete_rate, count(*) FILTER (n > 0 AND k = 0) AS selection_difference FROM x""")
 def lsh_recall(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
-    pairs = edges.select(F.least("rid", "bid").alias("a"), F.greatest("rid", "bid").alias("b"))
-    found = pairs.join(graph.signature_candidates(rows, _PLANES).withColumn("hit", F.lit(1)), ["a", "b"], "left")
-    return found.agg(F.count("*").alias("n_edges"), F.count("hit").alias("n_found")).withColumn("recall", F.col("n_found") / F.col("n_edges"))
+    rows, edges = written_edges(spark, sf_dir)
+    return graph.retrieval_audit(rows, edges, graph.signature_candidates(rows, _PLANES))
 
 
 @query(f"WITH {_E}, s AS (SELECT * FROM u WHERE id NOT IN (SELECT rid FROM edges)), x AS (SELECT * FROM u WHERE id IN (SELECT rid FROM edges)) SELECT lid, rid, round(score, 6) AS score FROM (SELECT x.id AS lid, s.id AS rid, list_dot_product(x.z, s.z) AS score, row_number() OVER (PARTITION BY x.id ORDER BY list_dot_product(x.z, s.z) DESC, s.id) AS k FROM x, s) WHERE k = 1")
 def nearest_selected(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     chosen = selection.initial_selection(rows, edges)
     return graph.nearest(rows.join(chosen.select("id"), "id", "left_anti"), chosen).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_E}, a AS (SELECT id FROM u WHERE id NOT IN (SELECT rid FROM edges)), b AS ({_AFTER}) SELECT (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS only_a, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS only_b, (SELECT count(*) FROM a JOIN b USING (id)) AS common")
+@query(f"WITH {_E}, a AS (SELECT id FROM u WHERE id NOT IN (SELECT rid FROM edges)), b AS ({_AFTER}) SELECT (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS only_a, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS only_b, (SELECT count(*) FROM a JOIN b USING (id)) AS common, round(1 - (SELECT count(*) FROM a JOIN b USING (id)) / greatest((SELECT count(*) FROM a), (SELECT count(*) FROM b)), 9) AS total_variation")
 def selection_difference(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
-    return evaluation.selection_distance(selection.initial_selection(rows, edges), selection.selection_after(rows, edges, units(spark, UNIT))).select("only_a", "only_b", "common")
+    rows, edges = written_edges(spark, sf_dir)
+    return evaluation.selection_distance(selection.initial_selection(rows, edges), selection.selection_after(rows, edges, units(spark, UNIT))).withColumn("total_variation", F.round("total_variation", 9))
 
 
 @query(f"WITH {_U}, p AS (SELECT list_dot_product(l.z, r.z) AS score FROM u l JOIN u r ON l.id < r.id) SELECT least(19, greatest(0, CAST(floor(round((score + 1) * 10, 9)) AS INTEGER))) AS bin, count(*) AS n_pairs FROM p GROUP BY 1")
@@ -400,14 +411,21 @@ def incidence_census(spark, sf_dir):
     return structure.incidence_census(_terms(spark, sf_dir), HORIZON)
 
 
-@query()
+def _profile_sql(horizon: int) -> str:
+    census = _CENSUS.split(", usable AS")[1].replace(f"len(tail) <= {HORIZON}", f"len(tail) <= {horizon}").replace(f"len(tail) < {HORIZON}", f"len(tail) < {horizon}")
+    for name in ("usable", "links", "both_ways", "reach", "lab"):
+        census = re.sub(rf"\b{name}\b", f"{name}{horizon}", census)
+    return f", usable{horizon} AS{census}"
+
+
+@query(f"WITH RECURSIVE {_T}{''.join(map(_profile_sql, range(4)))} " + " UNION ALL ".join(f"SELECT {h_} AS horizon, (SELECT count(*) FROM lab{h_} WHERE x <> 'ground') - (SELECT count(DISTINCT label) FROM lab{h_} WHERE label NOT IN (SELECT label FROM lab{h_} WHERE x = 'ground')) AS query_rank" for h_ in range(4)))
 def rank_profile(spark, sf_dir):
     return structure.rank_profile(_terms(spark, sf_dir), [0, 1, 2, 3])
 
 
-@query(f"WITH {_T}, g AS (SELECT len(tail) AS b, count(*) AS n FROM terms WHERE len(tail) > 0 AND NOT list_contains(tail, own) GROUP BY 1) SELECT CAST(b AS INTEGER) AS n_blockers, n AS n_records, round(list_product(list_transform(range(0, b), lambda i: greatest(0.0, (4.0 - i) / (10.0 - i)))) * (10.0 - 4.0) / (10.0 - b), 9) AS probability FROM g WHERE b < 10")
+@query(f"WITH {_T}, g AS (SELECT len(tail) AS b, count(*) AS n FROM terms WHERE len(tail) > 0 AND NOT list_contains(tail, own) GROUP BY 1) SELECT CAST(b AS INTEGER) AS n_blockers, n AS n_records, CASE WHEN b > 4 THEN 0.0 ELSE round(list_product(list_transform(range(0, b), lambda i: greatest(0.0, (4.0 - i) / (10.0 - i)))) * (10.0 - 4.0) / (10.0 - b), 9) END AS probability FROM g")
 def expected_admissions(spark, sf_dir):
-    return structure.expected_admissions(_terms(spark, sf_dir), 10, 4).where("n_blockers < 10").withColumn("probability", F.round("probability", 9))
+    return structure.expected_admissions(_terms(spark, sf_dir), 10, 4).withColumn("probability", F.round("probability", 9))
 
 
 @query(f"WITH {_T} SELECT tail[1] AS unit, count(*) AS n_admitted FROM terms WHERE len(tail) = 1 AND NOT list_contains(tail, own) GROUP BY 1")
@@ -478,26 +496,26 @@ def _paths(spark, sf_dir, rows):
 x AS (SELECT trajectory_id, k, count(*) FILTER (list_contains(gone, own)) AS deleted_records, count(*) FILTER (list_contains(gone, own) AND len(tail) = 0) AS lost, count(*) FILTER (len(tail) > 0 AND NOT list_contains(gone, own) AND list_has_all(gone, tail)) AS admitted FROM d, terms GROUP BY 1, 2)
 SELECT CAST(trajectory_id AS INTEGER) AS trajectory_id, k, deleted_records, lost, admitted, deleted_records - lag(deleted_records, 1, 0) OVER (PARTITION BY trajectory_id ORDER BY k) AS new_deletions FROM x""")
 def trajectory_observations(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     return workload.observations(_paths(spark, sf_dir, rows), rows, edges, workload.clipped_checkpoints([1, 2, 4, 8, 32], 8))
 
 
 @query(f"WITH {_E} SELECT 'R' AS arm, CAST(id AS VARCHAR) AS member FROM u UNION ALL (SELECT DISTINCT 'S', CAST(unit AS VARCHAR) FROM u WHERE unit >= 2) UNION ALL SELECT 'U', CAST(id AS VARCHAR) FROM u WHERE id IN (SELECT rid FROM edges)")
 def arm_request_frames(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     return workload.arm_frames(rows, edges, F.col("unit") >= 2)
 
 
 @query(f"""WITH {_U}, {_PATHS}, vol AS (SELECT a.trajectory_id, a.k, count(*) AS deleted_records FROM at_k a JOIN u USING (unit) WHERE a.k <= 2 GROUP BY 1, 2), o AS (SELECT t AS trajectory_id, id, row_number() OVER (PARTITION BY t ORDER BY {h("control", "t || '|' || id")}) AS pos FROM u, range(6) r(t)) SELECT CAST(o.trajectory_id AS INTEGER) AS trajectory_id, vol.k, o.id FROM o JOIN vol USING (trajectory_id) WHERE pos <= deleted_records""")
 def volume_matched_control(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     volumes = workload.observations(_paths(spark, sf_dir, rows), rows, edges, [1, 2]).select("trajectory_id", "k", "deleted_records")
     return workload.volume_matched(rows, volumes, "control")
 
 
 @query(f"WITH {_E}, c AS (SELECT rid FROM (SELECT DISTINCT rid FROM edges) ORDER BY {h('stress', 'rid')} LIMIT 64), s AS (SELECT DISTINCT c.rid AS candidate, bid FROM c JOIN edges USING (rid)), need AS (SELECT rid, count(DISTINCT bid) AS n FROM edges GROUP BY rid), have AS (SELECT candidate, e.rid, count(*) AS m FROM s JOIN (SELECT DISTINCT rid, bid FROM edges) e USING (bid) GROUP BY 1, 2) SELECT candidate, count(*) AS n_admitted FROM have JOIN need USING (rid) WHERE m = n AND NOT EXISTS (SELECT 1 FROM s WHERE s.candidate = have.candidate AND s.bid = have.rid) GROUP BY candidate")
 def stress_candidates(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     return workload.stress_candidates(edges, rows, 64, "stress")
 
 
@@ -510,15 +528,14 @@ _BIN = f"least(19, greatest(0, CAST(floor(round((score + 1) * 10, 9)) AS INTEGER
 _PAIRS = _U + f", p AS (SELECT l.id AS a, r.id AS b, list_dot_product(l.z, r.z) AS score FROM u l JOIN u r ON l.id < r.id), q AS (SELECT a, b, a || '|' || b AS pair_id, {_BIN} AS bin FROM p)"
 
 
-def _pairs(spark, sf_dir, tau=-2.0):
+def _pairs(spark, sf_dir, tau):
     p = graph.theta_pairs(vector_rows(spark, sf_dir), tau)
     return p.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b"), "score").withColumn("pair_id", F.concat_ws("|", "a", "b"))
 
 
 @query(f"WITH {_PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {h('bins', 'pair_id')}) AS draw, count(*) OVER (PARTITION BY bin) AS size FROM q) SELECT pair_id, bin, least(30, size) AS num, size AS den FROM k WHERE draw <= 30")
 def stratified_pair_sample(spark, sf_dir):
-    p = _pairs(spark, sf_dir).withColumn("bin", vectors.score_bin(F.col("score")))
-    return workload.stratified_sample(p.select("pair_id", "bin"), ["bin"], F.col("pair_id"), 30, "bins").select("pair_id", "bin", "num", "den")
+    return graph.binned_pair_sample(vector_rows(spark, sf_dir), 30, "bins")
 
 
 @query(f"WITH {_E}, q AS (SELECT least(rid, bid) || '|' || greatest(rid, bid) AS pair_id FROM edges) SELECT pair_id FROM q ORDER BY {h('validation', 'pair_id')} LIMIT 200")
@@ -536,7 +553,7 @@ def blinded_assignments(spark, sf_dir):
     return workload.assignments(_pairs(spark, sf_dir, TAU).select("pair_id", "a", "b"), 3, "sides")
 
 
-@query(f"WITH {_E}, q AS (SELECT least(rid, bid) AS a, greatest(rid, bid) AS b FROM edges) SELECT a || '|' || b AS pair_id, b AS a, a AS b FROM q WHERE {n('swap', 'a || chr(124) || b')} < {int(0.1 * 2**32)}")
+@query(f"WITH {_E}, q AS (SELECT least(rid, bid) AS a, greatest(rid, bid) AS b FROM edges) SELECT a || '|' || b AS pair_id, b AS a, a AS b FROM q ORDER BY {h('swap', 'a || chr(124) || b')} LIMIT (SELECT CAST(ceil(count(*) / 10) AS BIGINT) FROM q)")
 def swap_diagnostics(spark, sf_dir):
     return workload.swapped_share(_pairs(spark, sf_dir, TAU).select("pair_id", "a", "b"), 0.1, "swap")
 
@@ -550,12 +567,22 @@ def admission_audit_sample(spark, sf_dir):
 def context_budget(spark, sf_dir):
     return workload.context_budget(table(spark, sf_dir, "conversations").withColumn("size", F.length("text")), "conv_id", "turn", "size", 400).select("conv_id", "turn")
 
+#: How often a unit is in a replicate: steps of the Poisson distribution at or below the hash.
+def _draws(salt: str, rep: str, unit: str) -> str:
+    u = n(salt, f"{rep} || '|' || {unit}") + " / 4294967296.0"
+    return "(" + " + ".join(f"CASE WHEN {u} >= CAST({x!r} AS DOUBLE) THEN 1 ELSE 0 END" for x in hashing.POISSON_STEPS) + ")"
 
-@query()
+
+_ENDS = "round(quantile_cont({x}, 0.025), 9) AS low, round(quantile_cont({x}, 0.975), 9) AS high"
+
+
+@query(f"""WITH {_T}, {_PATHS}, d AS (SELECT trajectory_id, list(unit) AS gone FROM paths GROUP BY 1), a AS (SELECT trajectory_id, count(*) FILTER (len(tail) > 0 AND NOT list_contains(gone, own) AND list_has_all(gone, tail)) AS s FROM d, terms GROUP BY 1),
+r AS (SELECT rep, sum(w * s) / nullif(sum(w), 0) AS m FROM (SELECT rep, s, {_draws('bootstrap', 'rep', 'trajectory_id')} AS w FROM a, range(1, 501) r(rep)) GROUP BY rep) SELECT {_ENDS.format(x='m')}, round((SELECT avg(s) FROM a), 9) AS mean FROM r""")
 def path_bootstrap(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     obs = workload.observations(_paths(spark, sf_dir, rows), rows, edges, [8])
-    return workload.bootstrap(obs.withColumn("admitted", F.col("admitted").cast("double")), "trajectory_id", "admitted", 500, "bootstrap")
+    found = workload.bootstrap(obs.withColumn("admitted", F.col("admitted").cast("double")), "trajectory_id", "admitted", 500, "bootstrap")
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
 # Ratings, metrics, registries ---------------------------------------------------------------------------------------
@@ -597,11 +624,11 @@ def threshold_selection(spark, sf_dir):
     return evaluation.select_threshold(evaluation.precision_by_cut(_rated(spark, sf_dir), [0.30, 0.32, 0.35]), 0.25)
 
 
-@query(f"WITH {_RATED}, s AS (SELECT 1.0 / weight AS probability, CASE WHEN label = 1 THEN 1.0 WHEN weight > 4 THEN NULL ELSE 0.0 END AS outcome FROM rated), t AS (SELECT count(*) AS sampled, count(outcome) AS observed, sum(1 / probability) AS w, sum(CASE WHEN outcome IS NOT NULL THEN 1 / probability END) AS kw, sum(outcome / probability) AS yes FROM s) SELECT sampled, observed, round(yes / kw, 6) AS observed_only, round(yes / w, 6) AS hajek_low, round((yes + w - kw) / w, 6) AS hajek_high, round(yes / 10000.0, 6) AS ht_low FROM t")
+@query(f"WITH {_RATED}, s AS (SELECT 1.0 / weight AS probability, CASE WHEN label = 1 THEN 1.0 WHEN weight > 4 THEN NULL ELSE 0.0 END AS outcome FROM rated), t AS (SELECT count(*) AS sampled, count(outcome) AS observed, sum(1 / probability) AS w, sum(CASE WHEN outcome IS NOT NULL THEN 1 / probability END) AS kw, sum(outcome / probability) AS yes FROM s) SELECT sampled, observed, CASE WHEN sampled = observed THEN round(yes / 10000.0, 6) END AS ht, CASE WHEN sampled = observed THEN round(yes / w, 6) END AS hajek, round(yes / kw, 6) AS observed_only, round(yes / 10000.0, 6) AS ht_low, round((yes + w - kw) / 10000.0, 6) AS ht_high, round(yes / w, 6) AS hajek_low, round((yes + w - kw) / w, 6) AS hajek_high FROM t")
 def weighted_prevalence(spark, sf_dir):
     s = _rated(spark, sf_dir).select((1 / F.col("weight")).alias("probability"), F.when(F.col("label") == 1, 1.0).when(F.col("weight") > 4, None).otherwise(0.0).alias("outcome"))
     r = evaluation.weighted_prevalence(s, 10_000)
-    return r.select("sampled", "observed", *[F.round(c, 6).alias(c) for c in ("observed_only", "hajek_low", "hajek_high", "ht_low")])
+    return r.select("sampled", "observed", *[F.round(c, 6).alias(c) for c in r.columns[2:]])
 
 
 @query(f"WITH {_RATINGS}, c AS (SELECT pair_id, label, count(*) AS n, 1.0 + CAST(substr(pair_id, 1, 1) AS INTEGER) AS w FROM ratings GROUP BY pair_id, label), t AS (SELECT pair_id, any_value(w) AS w, sum(n * (n - 1)) AS agree FROM c GROUP BY pair_id), a AS (SELECT count(*) AS units, sum(w) AS sw, sum(w * agree) / 6 / sum(w) AS agreement FROM t), m AS (SELECT label, sum(w * n / 3) AS m FROM c GROUP BY label), x AS (SELECT sum(m * m) AS mm FROM m) SELECT units, round(agreement, 6) AS agreement, round((agreement - mm / (sw * sw)) / (1 - mm / (sw * sw)), 6) AS kappa FROM a, x")
@@ -694,18 +721,19 @@ def holm_adjustment(spark, sf_dir):
 
 @query(f"WITH {_E}, o AS (SELECT id FROM u WHERE id NOT IN (SELECT rid FROM edges)), x AS (SELECT id FROM u ORDER BY {h('utility', 'id')} LIMIT (SELECT count(*) FROM o)) SELECT 'curated' AS method, count(*) AS n, sum(unit) AS units FROM u WHERE id IN (SELECT id FROM o) UNION ALL SELECT 'hash', count(*), sum(unit) FROM u WHERE id IN (SELECT id FROM x) UNION ALL SELECT 'uncurated', count(*), sum(unit) FROM u")
 def selection_variants(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     chosen = selection.initial_selection(rows, edges).select("id", "unit")
     same = workload.simple_sample(rows.select("id", "unit"), F.col("id"), chosen.count(), "utility")
     every = chosen.withColumn("method", F.lit("curated")).unionByName(same.withColumn("method", F.lit("hash"))).unionByName(rows.select("id", "unit").withColumn("method", F.lit("uncurated")))
     return every.groupBy("method").agg(F.count("*").alias("n"), F.sum("unit").alias("units"))
 
 
-@query(f"WITH {_PAIRS.split(', p AS')[0]}, {_PATHS} SELECT 'S' AS arm, count(DISTINCT o) AS n_orders, count(DISTINCT s) AS n_sets FROM (SELECT trajectory_id, string_agg(unit, ',' ORDER BY pos) AS o, string_agg(unit, ',' ORDER BY unit) AS s FROM paths GROUP BY trajectory_id)")
+@query(f"""WITH {_T}, {_PATHS}, d AS (SELECT trajectory_id, list(unit) AS gone FROM paths GROUP BY 1), a AS (SELECT trajectory_id, count(*) FILTER (len(tail) > 0 AND NOT list_contains(gone, own) AND list_has_all(gone, tail)) AS admitted FROM d, terms GROUP BY 1),
+o AS (SELECT trajectory_id, string_agg(unit, ',' ORDER BY pos) AS o, string_agg(unit, ',' ORDER BY unit) AS s FROM paths GROUP BY trajectory_id) SELECT 'S' AS arm, count(DISTINCT o) AS n_orders, count(DISTINCT s) AS n_sets, count(*) FILTER (admitted = 0) AS n_zero FROM o JOIN a USING (trajectory_id)""")
 def arm_summary(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     paths = _paths(spark, sf_dir, rows)
-    return evaluation.arm_summary(paths, workload.observations(paths, rows, edges, [8])).select("arm", "n_orders", "n_sets")
+    return evaluation.arm_summary(paths, workload.observations(paths, rows, edges, [8]))
 
 
 @query(f"WITH {_SCORED}, r AS (SELECT doc_id, 1 AS k, 'base' AS method, score AS value FROM s UNION ALL SELECT doc_id, 1, 'half', score / 2 FROM s) SELECT a.doc_id, a.k, a.method, round(a.value - b.value, 9) AS difference FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.method = 'base' WHERE a.method <> 'base'")
@@ -741,33 +769,47 @@ def logistic_losses(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", F.round(vectors.logistic_loss(F.col("score") * 8 - 4, F.col("target")), 9).alias("loss"))
 
 
-_MOM = "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum({s}z[i] * z[j]), 6) + 0.0 AS value FROM {r}, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY i, j"
+#: All numbers of a packed statistic: the Gram triangle, cross products with the target as column 65, the count at (65, 65).
+_MOM = (
+    "SELECT {g}CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum({s}z[i] * z[j]), 6) + 0.0 AS value FROM {r}, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY {g}i, j "
+    "UNION ALL SELECT {g}CAST(i AS INTEGER), 65, round(sum({s}z[i] * unit), 6) + 0.0 FROM {r}, range(1, 65) a(i) GROUP BY {g}i UNION ALL SELECT {g}65, 65, round(sum({s}1.0), 6) + 0.0 FROM {r} {e}"
+)
 
 
-def _gram(found: DataFrame, dims: int = 64) -> DataFrame:
-    names = found.sparkSession.createDataFrame([(p, i + 1, j + 1) for p, (i, j) in enumerate((i, j) for i in range(dims) for j in range(i, dims))], "pos int, i int, j int")
-    return found.join(F.broadcast(names), "pos").select("i", "j", (F.round("value", 6) + 0.0).alias("value"))
+def _cells(found: DataFrame, dims: int = 64) -> DataFrame:
+    """Packed moments with the places that _MOM gives them: d * d places, whatever the rows."""
+    places = [(i, j) for i in range(dims) for j in range(i, dims)] + [(i, dims) for i in range(dims)] + [(dims, dims)]
+    names = found.sparkSession.createDataFrame([(p, i + 1, j + 1) for p, (i, j) in enumerate(places)], "pos int, i int, j int")
+    return found.join(F.broadcast(names), "pos").select("grp", "i", "j", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query(f"WITH {_E}, s AS (SELECT z FROM u WHERE id NOT IN (SELECT rid FROM edges)) " + _MOM.format(s="", r="s"))
+@query(f"WITH {_E}, s AS (SELECT z, unit FROM u WHERE id NOT IN (SELECT rid FROM edges)) " + _MOM.format(s="", r="s", g="", e=""))
 def ridge_moments(spark, sf_dir):
     chosen = selection.initial_selection(*edge_rows(spark, sf_dir))
-    return _gram(moments.packed_moments(chosen, "z", "unit"))
+    return _cells(moments.packed_moments(chosen, "z", "unit")).drop("grp")
 
 
-@query(f"WITH {_E}, a AS (SELECT id FROM u WHERE unit <> {UNIT} AND id IN (SELECT rid FROM edges) AND id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT})), g AS (SELECT id FROM u WHERE unit = {UNIT} AND id NOT IN (SELECT rid FROM edges)), s AS (SELECT z, 1.0 AS w FROM u JOIN a USING (id) UNION ALL SELECT z, -1.0 FROM u JOIN g USING (id)) " + _MOM.format(s="w * ", r="s"))
+@query(f"WITH {_E}, a AS (SELECT id FROM u WHERE unit <> {UNIT} AND id IN (SELECT rid FROM edges) AND id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT})), g AS (SELECT id FROM u WHERE unit = {UNIT} AND id NOT IN (SELECT rid FROM edges)), s AS (SELECT z, unit, 1.0 AS w FROM u JOIN a USING (id) UNION ALL SELECT z, unit, -1.0 FROM u JOIN g USING (id)) " + _MOM.format(s="w * ", r="s", g="", e=""))
 def signed_moment_delta(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     came = selection.admissions_after(rows, edges, units(spark, UNIT)).select("z", "unit", F.lit(1).alias("w"))
     went = selection.initial_selection(rows, edges).where(F.col("unit") == UNIT).select("z", "unit", F.lit(-1).alias("w"))
-    return _gram(moments.packed_moments(came.union(went), "z", "unit", sign="w"))
+    return _cells(moments.packed_moments(came.union(went), "z", "unit", sign="w")).drop("grp")
 
 
-@query(f"WITH {_U}, f AS (SELECT *, CAST(unit % 5 AS VARCHAR) AS fold FROM u) SELECT fold, CAST(i AS INTEGER) AS i, round(sum(z[i] * unit), 6) + 0.0 AS value FROM f, range(1, 65) a(i) GROUP BY fold, i")
+@query(f"WITH {_U}, f AS (SELECT *, CAST(unit % 5 AS VARCHAR) AS fold FROM u) " + _MOM.format(s="", r="f", g="fold, ", e="GROUP BY fold"))
 def fold_moments(spark, sf_dir):
     rows = vector_rows(spark, sf_dir).withColumn("fold", F.col("unit") % 5)
-    m = moments.packed_moments(rows, "z", "unit", group="fold").where((F.col("pos") >= 64 * 65 // 2) & (F.col("pos") < 64 * 65 // 2 + 64))
-    return m.select(F.col("grp").alias("fold"), (F.col("pos") - 64 * 65 // 2 + 1).alias("i"), (F.round("value", 6) + 0.0).alias("value"))
+    return _cells(moments.packed_moments(rows, "z", "unit", group="fold")).withColumnRenamed("grp", "fold")
+
+
+@query(f"WITH {_U}, m AS (" + _MOM.format(s="", r="u", g="", e="") + ") SELECT i, j, true AS within FROM m")
+def single_precision_moments(spark, sf_dir):
+    """Whether single precision stays within a relative 1e-5 of double precision, for each number of the statistic."""
+    rows = vector_rows(spark, sf_dir)
+    single = _cells(moments.packed_moments(rows, "z", "unit", single=True)).select("i", "j", F.col("value").alias("rough"))
+    both = _cells(moments.packed_moments(rows, "z", "unit")).join(single, ["i", "j"])
+    return both.select("i", "j", (F.abs(F.col("rough") - F.col("value")) <= 1e-5 * F.greatest(F.lit(100.0), F.abs("value"))).alias("within"))
 
 
 @query()
@@ -809,14 +851,12 @@ def population_bounds(spark, sf_dir):
 @query()
 def repeated_deletes(spark, sf_dir):
     """Selected records after deleting units 3, 1 and 7: one batch after the other through the versioned state, and at once."""
-    from tempfile import mkdtemp
     from uuid import uuid4
 
     from gleanery.streaming.deletes import DeletionState
 
-    rows, edges = edge_rows(spark, sf_dir)
-    context = spark.sparkContext
-    folder = f"{context.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or mkdtemp(prefix='gleanery-state-')}/deletes-{uuid4().hex}"
+    rows, edges = written_edges(spark, sf_dir)
+    folder = f"{checkpoint_folder(spark)}/deletes-{uuid4().hex}"
     state = DeletionState(spark, folder, 8)
     state.create(rows, edges)
     for version, unit in enumerate((3, 1, 7)):
@@ -836,21 +876,25 @@ def selection_envelope(spark, sf_dir):
 @query(f"""WITH {_T}, {_PATHS}, d AS (SELECT trajectory_id, k, list(unit) AS gone FROM at_k WHERE k = 4 GROUP BY 1, 2), x AS (SELECT trajectory_id, count(*) FILTER (len(tail) > 0 AND NOT list_contains(gone, own) AND list_has_all(gone, tail)) AS admitted, count(*) FILTER (list_contains(gone, own)) AS del FROM d, terms GROUP BY 1)
 SELECT CAST(trajectory_id AS INTEGER) AS trajectory_id, admitted, admitted > 0 AS any_admitted, round(admitted / nullif(del, 0), 9) AS per_deleted FROM x""")
 def admission_metrics(spark, sf_dir):
-    rows, edges = edge_rows(spark, sf_dir)
+    rows, edges = written_edges(spark, sf_dir)
     obs = workload.observations(_paths(spark, sf_dir, rows), rows, edges, [4])
     return obs.select("trajectory_id", "admitted", (F.col("admitted") > 0).alias("any_admitted"), F.round(F.col("admitted") / F.nullif("deleted_records", F.lit(0)), 9).alias("per_deleted"))
 
 
-@query("WITH t AS (SELECT source, CAST(quality AS DOUBLE) AS q, CAST(toxic AS DOUBLE) AS t FROM labels JOIN documents USING (doc_id)) SELECT round(sum(q) / sum(1), 9) AS ratio FROM t")
+@query(f"""WITH c AS (SELECT lang, source, sum(CAST(quality AS DOUBLE)) AS a, count(quality) AS b FROM labels JOIN documents USING (doc_id) GROUP BY lang, source), g AS (SELECT *, {_draws('crossed/paths', 'rep', 'lang')} * {_draws('crossed/sources', 'rep', 'source')} AS w FROM c, range(1, 201) r(rep) WHERE lang IS NOT NULL AND source IS NOT NULL),
+r AS (SELECT rep, sum(w * a) / nullif(sum(w * b), 0) AS m FROM g GROUP BY rep) SELECT {_ENDS.format(x='m')}, round((SELECT sum(a) / sum(b) FROM c), 9) AS ratio FROM r""")
 def crossed_bootstrap(spark, sf_dir):
-    t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id").select("source", "lang", F.col("quality").cast("double").alias("q"), F.lit(1.0).alias("one"))
-    return inference.crossed_bootstrap(t, "lang", "source", "q", "one", 200, "crossed").select(F.round("ratio", 9).alias("ratio"))
+    t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id").select("source", "lang", F.col("quality").cast("double").alias("q"), F.when(F.col("quality").isNotNull(), 1.0).alias("one"))
+    found = inference.crossed_bootstrap(t, "lang", "source", "q", "one", 200, "crossed")
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
-@query("WITH t AS (SELECT lang, avg(CAST(quality AS DOUBLE)) AS m FROM labels JOIN documents USING (doc_id) GROUP BY lang) SELECT round(avg(m), 9) AS mean FROM t")
+@query(f"""WITH e AS (SELECT lang, source, sum(CAST(quality AS DOUBLE)) AS s, count(quality) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang, source), g AS (SELECT *, {_draws('arms', 'rep', "concat_ws('/', lang, source)")} AS w FROM e, range(1, 201) r(rep)),
+a AS (SELECT rep, lang, sum(w * s) / nullif(sum(w * n), 0) AS m FROM g GROUP BY rep, lang), r AS (SELECT rep, avg(m) AS m FROM a GROUP BY rep) SELECT {_ENDS.format(x='m')}, round((SELECT avg(m) FROM (SELECT sum(s) / sum(n) AS m FROM e GROUP BY lang)), 9) AS mean FROM r""")
 def equal_arm_mean(spark, sf_dir):
     t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id").withColumn("q", F.col("quality").cast("double"))
-    return inference.equal_arm_bootstrap(t, "lang", "source", "q", 200, "arms").select(F.round("mean", 9).alias("mean"))
+    found = inference.equal_arm_bootstrap(t, "lang", "source", "q", 200, "arms")
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
 @query()
@@ -877,10 +921,11 @@ def _factors(spark, sf_dir):
     return states.factor_polynomial(structure.terms(rows, edges), stats, 65)
 
 
-@query(f"WITH {_E}, s AS (SELECT z FROM u WHERE unit <> {UNIT} AND id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT})) " + _MOM.format(s="", r="s"))
+@query(f"WITH {_E}, s AS (SELECT z, unit FROM u WHERE unit <> {UNIT} AND id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT})) " + _MOM.format(s="", r="s", g="", e="").split(" UNION ALL SELECT 65")[0] + " UNION ALL SELECT 65, 65, round(sum(unit * unit), 6) + 0.0 FROM s")
 def factored_moments_after_delete(spark, sf_dir):
+    """The weights are the vector and, last, the unit; so the last cell is the sum of its squares."""
     gone = states.evaluate_factors(_factors(spark, sf_dir), [UNIT], 65)
-    return states.dense_rows(gone, 65).where("j < 65").select("i", "j", (F.round("value", 6) + 0.0).alias("value"))
+    return states.dense_rows(gone, 65).select("i", "j", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query()

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -35,9 +35,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def durable(df):
-    """Cuts the lineage of a loop's state in the folder named by spark.checkpoint.dir, or a local one where none is named."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session: the one that is set, else the one that spark.checkpoint.dir names, else on one machine a folder of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanery-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a loop's state, or of a table that several branches read, in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
