@@ -840,7 +840,14 @@ def spherical_clusters(spark, sf_dir):
     return rows.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+def _lower_sql(asked: str) -> str:
+    """(name, lower) of (name, pop, n, x, alpha): the least number of successes in ``pop`` under which x or more of n have a chance over alpha, by the sum of all their chances."""
+    choose = lambda a, b: f"lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1)"
+    chance = f"list_sum(list_transform(range(x, n + 1), lambda j: CASE WHEN j <= k AND n - j <= pop - k THEN exp({choose('k', 'j')} + {choose('(pop - k)', '(n - j)')} - ({choose('pop', 'n')})) ELSE 0.0 END))"
+    return f"(SELECT name, min(k) AS lower FROM (SELECT *, unnest(range(x, pop + 1)) AS k FROM {asked}) WHERE {chance} > alpha GROUP BY name)"
+
+
+@query(f"WITH {_E}, t AS (SELECT count(*) AS pop FROM edges), a AS (SELECT n AS name, pop, CAST(n AS BIGINT) AS n, CAST(n - n // 20 AS BIGINT) AS x, 0.05 AS alpha FROM t, (SELECT unnest([50, 100, 200]) AS n) WHERE n <= pop) SELECT pop AS population, CAST(n AS INTEGER) AS sample, CAST(x AS INTEGER) AS successes, lower, 10 * lower >= 9 * pop AS passes FROM a JOIN {_lower_sql('a')} USING (name)")
 def population_bounds(spark, sf_dir):
     """Lower bounds on the share of confirmed pairs in a census of edges, from samples of several sizes."""
     total = edge_rows(spark, sf_dir)[1].count()
@@ -903,7 +910,9 @@ def logistic_thresholds(spark, sf_dir):
     return inference.logistic_thresholds(rows, "z", "y", "fold", 64, 1e-2)
 
 
-@query()
+@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {h('strata', 'doc_id')}) AS k, count(*) OVER (PARTITION BY quality) AS pop FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+s AS (SELECT quality, any_value(pop) AS pop, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS x FROM l WHERE k <= 20 GROUP BY quality), a AS (SELECT quality AS name, pop, n, x, 0.05 / (2 * (SELECT count(*) FROM s)) AS alpha FROM s), b AS (SELECT name, pop, n, n - x AS x, alpha FROM a)
+SELECT CAST(sum(y.lower) AS BIGINT) AS lower, CAST(sum(a.pop - z.lower) AS BIGINT) AS upper FROM a JOIN {_lower_sql('a')} y USING (name) JOIN {_lower_sql('b')} z USING (name)""")
 def stratified_bounds(spark, sf_dir):
     """Bounds on toxic documents by quality stratum, from a hash sample of the labels."""
     rows = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
@@ -985,3 +994,126 @@ def utility_panel(spark, sf_dir):
 @query()
 def refit_arms(spark, sf_dir):
     return moments.refit_arms(vector_rows(spark, sf_dir), units(spark, UNIT), 8, 0.25).groupBy("arm").agg(F.count("*").alias("n"))
+
+
+# Further workloads, audits and states -------------------------------------------------------------------------------
+
+_MASS = f"""m AS (SELECT unit, CAST(count(*) AS BIGINT) AS mass FROM u GROUP BY unit),
+paths AS (SELECT trajectory_id, pos, unit FROM (SELECT t AS trajectory_id, unit, row_number() OVER (PARTITION BY t ORDER BY -ln(({n('mass', "'S-mass|' || t || '|' || unit", 12)} + 0.5) / CAST(281474976710656 AS DOUBLE)) / mass, unit) AS pos FROM m, range(6) r(t)) WHERE pos <= 8),
+at_k AS (SELECT trajectory_id, k, unit FROM paths, (SELECT unnest([1, 2, 4, 8]) AS k) WHERE pos <= k)"""
+
+
+@query(f"""WITH {_T}, {_MASS}, d AS (SELECT trajectory_id, k, list(unit) AS gone FROM at_k GROUP BY 1, 2),
+x AS (SELECT trajectory_id, k, count(*) FILTER (list_contains(gone, own)) AS deleted_records, count(*) FILTER (list_contains(gone, own) AND len(tail) = 0) AS lost, count(*) FILTER (len(tail) > 0 AND NOT list_contains(gone, own) AND list_has_all(gone, tail)) AS admitted FROM d, terms GROUP BY 1, 2)
+SELECT CAST(trajectory_id AS INTEGER) AS trajectory_id, k, deleted_records, lost, admitted, deleted_records - lag(deleted_records, 1, 0) OVER (PARTITION BY trajectory_id ORDER BY k) AS new_deletions FROM x""")
+def mass_source_observations(spark, sf_dir):
+    """Deletion paths that take sources by their number of records."""
+    rows, edges = written_edges(spark, sf_dir)
+    paths = workload.mass_trajectories(rows.groupBy("unit").agg(F.count("*").alias("mass")), 6, 8, "mass")
+    return workload.observations(paths, rows, edges, [1, 2, 4, 8])
+
+
+_PERCENT = f"""hz AS (SELECT CAST(ceil(count(*) / 100) AS INTEGER) AS h FROM u),
+paths AS (SELECT trajectory_id, pos, unit FROM (SELECT t AS trajectory_id, id AS unit, row_number() OVER (PARTITION BY t ORDER BY {h("percent", "'R|' || t || '|' || id")}, id) AS pos FROM u, range(6) r(t)) WHERE pos <= (SELECT h FROM hz)),
+ks AS (SELECT DISTINCT CAST(least(k, h) AS INTEGER) AS k FROM hz, (SELECT unnest([1, 8, 32, 128, 2147483647]) AS k)), at_k AS (SELECT trajectory_id, k, unit FROM paths, ks WHERE pos <= k)"""
+
+
+@query(f"""WITH {_E}, {_PERCENT}, need AS (SELECT rid, count(*) AS n FROM edges GROUP BY rid), have AS (SELECT trajectory_id, k, rid, count(*) AS m FROM at_k JOIN edges ON bid = unit GROUP BY 1, 2, 3),
+adm AS (SELECT trajectory_id, k, count(*) AS admitted FROM have JOIN need USING (rid) WHERE m = n AND NOT EXISTS (SELECT 1 FROM at_k z WHERE z.trajectory_id = have.trajectory_id AND z.k = have.k AND z.unit = have.rid) GROUP BY 1, 2),
+gone AS (SELECT trajectory_id, k, count(*) AS deleted_records, count(*) FILTER (unit NOT IN (SELECT rid FROM edges)) AS lost FROM at_k GROUP BY 1, 2)
+SELECT CAST(trajectory_id AS INTEGER) AS trajectory_id, k, deleted_records, lost, coalesce(admitted, 0) AS admitted FROM gone LEFT JOIN adm USING (trajectory_id, k)""")
+def one_percent_record_observations(spark, sf_dir):
+    """Deletion paths over a hundredth of the records, each record its own unit."""
+    rows, edges = written_edges(spark, sf_dir)
+    horizon, checkpoints = workload.one_percent_horizon(rows.count())
+    alone = rows.select("id", F.col("id").alias("unit"))
+    links = edges.select("rid", F.col("rid").alias("rown"), "bid", F.col("bid").alias("bown"))
+    paths = workload.trajectories(alone.select("unit"), "R", 6, horizon, "percent")
+    return workload.observations(paths, alone, links, checkpoints).drop("new_deletions")
+
+
+@query(f"""WITH {_E}, l AS (SELECT DISTINCT rid, bid FROM edges), need AS (SELECT rid, count(*) AS n FROM l GROUP BY rid), pool AS (SELECT rid FROM need WHERE n <= 16),
+drawn AS (SELECT t, rid FROM (SELECT t, rid, row_number() OVER (PARTITION BY t ORDER BY {h("stress", "'candidate|' || t || '|' || rid")}) AS k FROM pool, range(4) r(t)) WHERE k <= 32),
+have AS (SELECT c.rid AS candidate, e.rid, count(*) AS m FROM (SELECT DISTINCT rid FROM drawn) c JOIN l s ON s.rid = c.rid JOIN l e ON e.bid = s.bid GROUP BY 1, 2),
+score AS (SELECT candidate, count(*) AS s FROM have JOIN need USING (rid) WHERE m = n AND NOT EXISTS (SELECT 1 FROM l WHERE l.rid = candidate AND l.bid = have.rid) GROUP BY 1),
+best AS (SELECT t, candidate FROM (SELECT t, candidate, row_number() OVER (PARTITION BY t ORDER BY s DESC, candidate) AS k FROM drawn JOIN score ON candidate = rid) WHERE k = 1),
+o AS (SELECT b.t, b.candidate, u.id, CASE WHEN l.bid IS NOT NULL THEN 0 ELSE 1 END AS late FROM best b CROSS JOIN u LEFT JOIN l ON l.rid = b.candidate AND l.bid = u.id)
+SELECT CAST(t AS INTEGER) AS trajectory_id, 'A' AS arm, CAST(pos AS INTEGER) AS pos, id AS unit, candidate FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY late, CASE WHEN late = 1 THEN {h("stress", "'padding|' || t || '|' || id")} ELSE '' END, id) AS pos FROM o) WHERE pos <= 16""")
+def stress_request_paths(spark, sf_dir):
+    """Paths that delete the blockers of a record that its deletion admits with most others, then records at random."""
+    rows, edges = written_edges(spark, sf_dir)
+    return workload.stress_paths(rows, edges, 16, 4, 32, "stress")
+
+
+_RANKS = f"""m AS (SELECT unit, i, avg(z[i]) AS c FROM u, range(1, 65) t(i) GROUP BY unit, i), s AS (SELECT id, u.unit, z, round(sum(z[i] * c), 9) AS sim FROM u JOIN m ON u.unit = m.unit GROUP BY id, u.unit, z),
+o AS (SELECT 'hard' AS policy, *, row_number() OVER (PARTITION BY unit ORDER BY sim, id) AS k FROM s UNION ALL SELECT 'random', *, row_number() OVER (PARTITION BY unit ORDER BY {h('cluster', 'id')}, id) FROM s)"""
+
+
+@query(f"WITH {_U}, {_RANKS} SELECT policy, a.id, round(max(list_dot_product(a.z, b.z)), 6) AS top FROM o a JOIN o b USING (policy) WHERE a.unit = b.unit AND b.k < a.k AND list_dot_product(a.z, b.z) > 0.25 GROUP BY policy, a.id")
+def cluster_policies(spark, sf_dir):
+    """What suppression inside clusters drops if the rows farthest from the centre, or random rows, go first."""
+    rows = vector_rows(spark, sf_dir).withColumn("cluster", F.col("unit"))
+    found = [graph.cluster_suppression(rows, "cluster", 0.25, graph.cluster_ranks(rows, "cluster", p)).select(F.lit(p).alias("policy"), "id", F.round("top", 6).alias("top")) for p in ("hard", "random")]
+    return found[0].union(found[1])
+
+
+@query(f"WITH {_POLY} SELECT count(*) AS n_keys, CAST(8 * count(*) * (64 * 65 / 2 + 64 + 1) AS BIGINT) AS state_bytes FROM poly")
+def state_forecast(spark, sf_dir):
+    """Bytes that packed statistics of every key would take."""
+    return structure.count_polynomial(_terms(spark, sf_dir)).agg(F.count("*").alias("n_keys")).withColumn("state_bytes", exact.state_bytes(F.col("n_keys"), 64, 1))
+
+
+@query()
+def vector_digests(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", vectors.vector_hash(F.col("embedding")).alias("sha256"))
+
+
+@query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"quality\":' || quality || ',\"toxic\":' || toxic || '}') AS digest FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL UNION ALL SELECT doc_id, sha256('{\"doc_id\":' || doc_id || coalesce(',\"quality\":' || quality, '') || coalesce(',\"toxic\":' || toxic, '') || '}') FROM labels WHERE quality IS NULL OR toxic IS NULL")
+def json_digests(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", hashing.canonical_digest("toxic", "doc_id", "quality").alias("digest"))
+
+
+@query(f"WITH {_SCORED}, g AS (SELECT CAST(p AS DOUBLE) AS p, avg((least(score, p) - target) * (least(score, p) - target)) AS l FROM s, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS p) GROUP BY p) SELECT p AS parameter, round(l, 9) AS loss FROM g ORDER BY l, p DESC LIMIT 1")
+def best_parameter(spark, sf_dir):
+    """The cap on scores with the least squared error."""
+    grid = _scored(spark, sf_dir).withColumn("parameter", F.explode(F.array(*[F.lit(p) for p in (0.1, 0.3, 0.5, 0.7, 0.9)])))
+    error = F.least("score", "parameter") - F.col("target")
+    return evaluation.best_by_loss(grid.groupBy("parameter").agg(F.avg(error * error).alias("loss"))).select("parameter", F.round("loss", 9).alias("loss"))
+
+
+@query(f"WITH {_U} SELECT id, unit FROM u WHERE unit IN ({UNIT}, 1)")
+def owned_records(spark, sf_dir):
+    return selection.owned_records(vector_rows(spark, sf_dir), units(spark, UNIT, 1)).select("id", "unit")
+
+
+_THREE = "(3, 1, 7)"
+
+
+@query(f"WITH {_T}, ends AS (SELECT tail AS key, 1 AS s FROM terms WHERE NOT list_contains(tail, own) AND len(tail) <= 5 UNION ALL SELECT list_sort(list_append(tail, own)), -1 FROM terms WHERE NOT list_contains(tail, own) AND len(tail) < 5), k AS (SELECT list_filter(key, lambda x: x NOT IN {_THREE}) AS key, s FROM ends) SELECT array_to_string(key, ',') AS key, CAST(sum(s) AS BIGINT) AS coefficient FROM k WHERE len(key) <= 2 GROUP BY key HAVING sum(s) <> 0")
+def indexed_deletes(spark, sf_dir):
+    """The polynomial within the rest of a horizon of 5 after units 3, 1 and 7 went, one batch after the other, through the indexed state."""
+    from uuid import uuid4
+
+    from gleanery.streaming.deletes import IndexedState
+
+    rows, edges = written_edges(spark, sf_dir)
+    state = IndexedState(spark, f"{checkpoint_folder(spark)}/indexed-{uuid4().hex}", 5)
+    state.create(rows, structure.terms(rows, edges))
+    for version, unit in enumerate((3, 1, 7)):
+        state.apply(version, units(spark, unit))
+    return _named(state.polynomial(3))
+
+
+@query()
+def certified_release(spark, sf_dir):
+    """Ridge weights of the first four coordinates after a deletion, released with their version."""
+    from uuid import uuid4
+
+    from gleanery.streaming.deletes import CertifiedState
+
+    rows, edges = written_edges(spark, sf_dir)
+    stats = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), exact_states.to_grid(F.concat(F.slice("embedding", 1, 4).cast("array<double>"), F.array(F.col("label").cast("double"))), _GRID).alias("w"))
+    state = CertifiedState(spark, f"{checkpoint_folder(spark)}/certified-{uuid4().hex}", HORIZON, _GRID, 4, Fraction(1, 100), Fraction(1, 10**10))
+    state.create(rows, structure.terms(rows, edges), stats)
+    state.apply(0, units(spark, UNIT))
+    return spark.createDataFrame(list(enumerate(state.weights(1))), "pos int, weight double")

@@ -509,3 +509,71 @@ def test_refit_arms(spark):
     assert arm("frozen_selection") == plain(z, z) & set(alive) and arm("frozen_selection") <= arm("frozen_fit")
     assert arm("frozen_fit") == plain(z, alive) and arm("full_refit") == plain(alive, alive)
     assert moments.refit_arms(rows.limit(0), units(spark, [2]), 2, 0.99).count() == 0
+
+
+def test_indexed_state_as_in_substitution(spark, tmp_path):
+    """Random graphs: every version equals the polynomial of all deletions so far, with and without compaction; bad batches leave nothing."""
+    import random
+
+    from gleanery.streaming.deletes import IndexedState
+
+    rng = random.Random(5)
+    found = [(i, rng.randrange(6), sorted(rng.sample(range(6), rng.randrange(4)))) for i in range(60)]
+    terms = spark.createDataFrame(found, "id long, own int, tail array<int>")
+    rows = spark.createDataFrame([(u,) for u in range(6)], "unit int")
+    units = lambda *u: spark.createDataFrame([(x,) for x in u], "unit int")
+    for compact in (0.0, 10.0):
+        state = IndexedState(spark, str(tmp_path / f"c{compact}"), 4, "strict", compact)
+        state.create(rows, terms)
+        with pytest.raises(ValueError):
+            state.apply(0, units(1, 99))
+        for version, batch in enumerate(((2,), (4, 0))):
+            state.apply(version, units(*batch))
+            state.apply(version, units(5))  # a batch that comes again does nothing
+        for version, gone in ((0, []), (1, [2]), (2, [2, 4, 0])):
+            want = structure.substitute(structure.count_polynomial(terms, 4), gone, 4)
+            assert {tuple(r["key"]): r["coefficient"] for r in state.polynomial(version).collect()} == {tuple(r["key"]): r["coefficient"] for r in want.collect()}
+            assert state.n_selected(version) == sum(set(t) <= set(gone) and o not in gone for _, o, t in found if o not in t)
+        with pytest.raises(ValueError):
+            state.apply(2, units(1, 3))
+
+
+def test_certified_state_releases_whole_or_nothing(spark, tmp_path):
+    from fractions import Fraction
+
+    from gleanery.functions import exact
+    from gleanery.streaming.deletes import CertifiedState
+
+    found = [(1, 0, []), (2, 1, [0]), (3, 2, [0]), (4, 2, [])]
+    weights = {1: [0.5, 0.25, 1.0], 2: [0.25, -0.5, 2.0], 3: [1.0, 0.75, -1.0], 4: [-0.5, 0.5, 3.0]}
+    terms = spark.createDataFrame(found, "id long, own int, tail array<int>")
+    rows = spark.createDataFrame([(u,) for u in range(3)], "unit int")
+    stats = spark.createDataFrame(list(weights.items()), "id long, w array<double>")
+    ridge = Fraction(1, 10)
+    state = CertifiedState(spark, str(tmp_path / "s"), 2, 4, 2, ridge, Fraction(1, 10**12))
+    state.create(rows, terms, stats)
+    state.apply(0, spark.createDataFrame([(0,)], "unit int"))
+    for version, chosen in ((0, (1, 4)), (1, (2, 3, 4))):
+        x = [[Fraction(v) for v in weights[i]] for i in chosen]
+        gram = [[sum(r[a] * r[b] for r in x) for b in range(2)] for a in range(2)]
+        cross = [[sum(r[a] * r[2] for r in x)] for a in range(2)]
+        want = exact.solve_exact(gram, cross, ridge)
+        assert all(abs(Fraction(w) - v[0]) < Fraction(1, 10**12) for w, v in zip(state.weights(version), want, strict=True))
+    strict = CertifiedState(spark, str(tmp_path / "t"), 2, 4, 2, ridge, Fraction(1, 10**60))
+    with pytest.raises(ArithmeticError):
+        strict.create(rows, terms, stats)
+    assert not strict._exists(0)
+
+
+def test_digests_and_outputs(spark):
+    from hashlib import sha256
+
+    import numpy as np
+
+    row = spark.createDataFrame([([1.5, -0.0, 3.25],), (None,)], "v array<float>")
+    assert [r[0] for r in row.select(vectors.vector_hash(F.col("v"))).collect()] == [sha256(np.array([1.5, -0.0, 3.25], "<f4").tobytes()).hexdigest(), None]
+    df = spark.createDataFrame([([1.0, float(i % 3)], float(i % 2), float(i % 3 == 0)) for i in range(60)], "v array<double>, a double, b double")
+    both = inference.fit_outputs(df, "v", ["a", "b"], 2, 0.1)
+    assert np.allclose(both["b"], moments.fit_logistic(df, "v", "b", 2, 0.1)) and both["b"][1] < 0
+    assert workload.one_percent_horizon(0) == (0, []) and workload.one_percent_horizon(1050) == (11, [1, 8, 11]) and workload.one_percent_horizon(1050, 3) == (3, [1, 3])
+    assert inference.envelope_radius(1, 2, 3, 4) == 5 / 4 and sum(p for _, p in inference.precision_plan([0.1, 0.2, 0.3], [5, 50], 0.2)) > 1
