@@ -111,7 +111,7 @@ def ring_shards(rows: DataFrame, key: Column, ties: list[str], shards: int, vnod
     return ranked.drop("_point", "_slice", "_tie", "_cut", "_in", "_before", "_rank", "_run")
 
 
-def _search(arr: Column, below) -> Column:
+def search(arr: Column, below) -> Column:
     """Number of leading elements for which ``below`` holds, by bisection in the sorted array; 17 halvings hold any ring's runs."""
     start = F.struct(F.lit(0).alias("lo"), F.size(arr).alias("hi"))
 
@@ -126,8 +126,8 @@ def _search(arr: Column, below) -> Column:
 
 def _clockwise(point: Column, arcs: Column) -> Column:
     """The first of the ring's points at or after a point, or the first of all."""
-    return F.coalesce(F.get(arcs, _search(arcs, lambda x: x < point)), F.get(arcs, F.lit(0)))
+    return F.coalesce(F.get(arcs, search(arcs, lambda x: x < point)), F.get(arcs, F.lit(0)))
 
 
 def _run_of(rank: Column, runs: Column) -> Column:
-    return F.get(runs, _search(runs, lambda x: x["first"] <= rank) - 1)
+    return F.get(runs, search(runs, lambda x: x["first"] <= rank) - 1)

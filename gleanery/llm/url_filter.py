@@ -9,13 +9,17 @@ collapse before the sort, and a range boundary may fall within a host, between t
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 4096
+from gleanery.llm.sharding import search
+
+#: Distinct keys in a range, about; ranges are at most MAX_RANGES.
+RANGE_KEYS, MAX_RANGES = 1 << 18, 1 << 16
 
 
 def url_host(url: Column) -> Column:
@@ -45,12 +49,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rule's; among fitting rules the one of the longest host and path together wins, of equal ones the one with the
     longer host, then the smaller verdict. No fitting rule: rule null and the verdict ``default``. A null url, or one
     without ``://``, has an empty host and path, which no rule with a host fits. Rules that are null in any column are
-    left out, repeated rows stay, and empty tables give what holds without their rows.
+    left out, repeated rows stay, urls of any length are judged whole, other columns are left out, and empty tables give what holds
+    without their rows. Ranges are as many as distinct urls need, unless ``ranges`` says.
     """
     urls = pages.select(F.col(f"`{id_col}`").alias("page_id"), url_host(F.col(f"`{url_col}`")).alias("host"), url_path(F.col(f"`{url_col}`")).alias("path"))
     keys = urls.groupBy("host", "path").agg(F.lit(1).alias("one")).select(host_key(F.col("host")).alias("key"), "host", "path")
-    count = ranges or pages.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    bounds = _boundaries(keys, min(MAX_RANGES, max(2, int(count))))
+    if ranges is None:
+        distinct = urls.agg(F.approx_count_distinct(F.xxhash64("host", "path")).alias("n")).first()["n"]
+        ranges = max(2, min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct // 1024), -(-distinct // RANGE_KEYS))
+    bounds = _boundaries(keys, min(MAX_RANGES, ranges))
     clean = rules.select(F.lower("host").alias("host"), "path", "verdict").dropna().distinct()
     clean = clean.withColumn("low", host_key(F.col("host"))).withColumn("high", F.concat(F.substring("low", F.lit(1), F.length("low") - 1), F.lit("/")))
     clean = clean.withColumn("range", F.explode(F.sequence(_range_of(F.col("low"), F.lit(""), bounds), F.greatest(_range_of(F.col("low"), F.lit(""), bounds), _range_of(F.col("high"), F.lit(""), bounds)))))
@@ -62,25 +69,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
 
 def _boundaries(keys: DataFrame, ranges: int) -> list[tuple[str, str]]:
-    """At most ranges - 1 boundaries, from a hash sample of the distinct keys. They deal the work and decide no verdict."""
-    slot = F.pmod(F.xxhash64("key", "path"), F.lit(1 << 16))
-    sample = keys.withColumn("slot", slot).groupBy("slot").agg(F.min(F.struct("key", "path")).alias("k")).orderBy("slot").limit(20 * ranges)
-    found = sorted({(r["k"]["key"], r["k"]["path"]) for r in sample.collect()})
-    step = max(1, len(found) // ranges)
-    return found[step::step][: ranges - 1]
+    """At most ranges - 1 boundaries, from a hash sample of the distinct keys, some four for each range. They deal the work and decide no verdict."""
+    slot = F.pmod(F.xxhash64("key", "path"), F.lit(max(1 << 12, 4 * ranges)))
+    sample = keys.withColumn("slot", slot).groupBy("slot").agg(F.min_by(F.struct("key", "path"), F.xxhash64(F.lit(1), "key", "path")).alias("k"))
+    found = sorted({(r["k"]["key"], r["k"]["path"]) for r in sample.collect()})  # a row for each slot at most
+    return [found[i * len(found) // ranges] for i in range(1, ranges)] if len(found) > ranges else found[1:]
 
 
 def _range_of(key: Column, path: Column, bounds: list[tuple[str, str]]) -> Column:
-    """Number of boundaries at or below (key, path), by a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        k, p = bounds[mid]
-        return F.when((key > k) | ((key == k) & (path >= p)), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds))
+    """Number of boundaries at or below (key, path), by bisection."""
+    if not bounds:
+        return F.lit(0)
+    edges = F.from_json(F.lit(json.dumps([{"k": k, "p": p} for k, p in bounds])), "array<struct<k: string, p: string>>")
+    return search(edges, lambda x: x <= F.struct(key.alias("k"), path.alias("p")))
 
 
 def _sweep(keys: pa.Table, rules: pa.Table) -> pa.Table:
