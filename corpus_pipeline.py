@@ -12,13 +12,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import ensure_checkpoint_dir
 from gleanery.llm.decontaminate import find_contamination
 from gleanery.llm.language_id import fit_languages, predict_languages
 from gleanery.llm.mixing import mix_sources
 from gleanery.llm.queries import SHARDS, VNODES, WEIGHTS
 from gleanery.llm.sharding import ring_shards
 from gleanery.llm.simhash import simhash_groups
+from gleanery.session import checkpoint_folder
 
 
 def _kept(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,8 +74,7 @@ STAGES = [("language_id", identify_language), ("simhash_dedup", drop_near_duplic
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; the stages' results go to a folder of their own in the checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -6,26 +6,18 @@ Word buffers hold the words of many documents, one space between neighbours, as
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from gleanery.session import durable
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster names in spark.checkpoint.dir; a local one only where none is named."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanery-checkpoints-"))
+    """Cuts the lineage in the folder that the cluster names in spark.checkpoint.dir; a local one only where none is named, on one machine."""
+    return durable(df)
 
 
 # Word buffers -----------------------------------------------------------------------------------------------------

@@ -56,3 +56,19 @@ def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+#: Parts that the members of a component are dealt into where its minimum comes back to them.
+PARTS = 16
+
+
+def with_least(nodes: DataFrame, label: str, node: str, value: str) -> DataFrame:
+    """``nodes`` with ``least``: the smallest value of the component, nulls not counted.
+
+    Minima are partial aggregates; each comes back in a row for each part of its component, so one with very many nodes is read by many
+    tasks.
+    """
+    mixed = nodes.withColumn("part", F.pmod(F.xxhash64(node), F.lit(PARTS)))
+    tops = nodes.groupBy(label).agg(F.min(value).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    spread = tops.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    return mixed.join(spread, [label, "part"], "left").withColumn("least", F.coalesce("least", value)).drop("part")

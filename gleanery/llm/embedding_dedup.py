@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import checkpoint, spanning_links
-from gleanery.llm.components import connected_components
+from gleanery.llm.components import connected_components, with_least
 
 BLOCK_DIMS = 16
 #: Rows that one side of a tile holds, about.
@@ -210,8 +210,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
     counts = counts.groupBy("node").agg(F.sum("n").alias("n"))
     labels = connected_components(links)
     nodes = classes.select("node", "h1", "h2", "weight", "first_id").join(counts, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tops = nodes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    nodes = nodes.join(tops, "label").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "component_id")
+    nodes = with_least(nodes, "label", "node", "first_id").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.col("least").alias("component_id"))
     out = good.select("vec_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import checkpoint, mix, pieces, spanning_links
-from gleanery.llm.components import connected_components
+from gleanery.llm.components import connected_components, with_least
 
 SHINGLE = 4
 PARTS = ((0, 21), (21, 21), (42, 22))
@@ -211,13 +211,13 @@ def simhash_groups(docs: DataFrame, bits: int = 4, keep: list[str] | None = None
 
     Texts without words have fingerprint zero, linked like any other. component_id is the smallest doc_id reachable over
     links of at most ``bits`` differing bits; null ids don't count for it, and a group with null ids alone has null. label
-    names the group whatever its ids: its smallest fingerprint. Rows with one fingerprint collapse before any comparison. An empty table gives no rows.
+    names the group whatever its ids: its smallest fingerprint. Rows with one fingerprint collapse before any comparison, and repeated rows
+    stay. Texts of any length are hashed whole. An empty table gives no rows.
     """
     # Written, because three later steps use it; the texts are read once and don't travel.
     rows = checkpoint(fingerprint_rows(docs, keep, id_col, text_col))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     labels = connected_components(near_links(checkpoint(classes.select("fp")), bits))
     classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    components = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    members = classes.select("fp", "label").join(components, "label").select("fp", "label", "component_id")
+    members = with_least(classes, "label", "fp", "first_id").select("fp", "label", F.col("least").alias("component_id"))
     return rows.join(members, "fp").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
