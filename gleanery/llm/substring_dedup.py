@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import TOP, Grams, Words, sliding
+from gleanery.llm.common import TOP, Grams, Words, mix, sliding
 
 #: UTF-8 bytes of text in a batch, about.
 BATCH_BYTES = 2 << 20
@@ -74,7 +74,7 @@ class Batch:
             inside = np.where(self.fits, self.least, np.uint64(0))
             highest = sliding(inside[::-1], width, np.maximum, np.uint64(0))[::-1]
             self.at = np.flatnonzero((highest == self.values) & (highest > 0))
-            hashes = self.values[self.at]
+            hashes = mix(self.values[self.at])  # chosen hashes are small ones; spread again over the range
         else:
             mark = np.zeros(len(self.words.start), bool)
             mark[self.left] = True
