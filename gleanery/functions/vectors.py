@@ -103,11 +103,30 @@ def project(vector: Column, matrix: np.ndarray) -> Column:
     return F.array(*[dot(vector, F.array(*[F.lit(float(x)) for x in column])) for column in matrix.T])
 
 
-@F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
+_INTERVAL = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
+
+
+def _outward(rounded: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"lower": np.nextafter(rounded, -np.inf), "upper": np.nextafter(rounded, np.inf)})
+
+
+@F.pandas_udf(_INTERVAL)
 def outward_product(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """An interval that holds the exact product: one step outward of the rounded one."""
-    x = a.to_numpy(float) * b.to_numpy(float)
-    return pd.DataFrame({"lower": np.nextafter(x, -np.inf), "upper": np.nextafter(x, np.inf)})
+    return _outward(a.to_numpy(float) * b.to_numpy(float))
+
+
+@F.pandas_udf(_INTERVAL)
+def outward_sum(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """An interval that holds the exact sum."""
+    return _outward(a.to_numpy(float) + b.to_numpy(float))
+
+
+@F.pandas_udf(_INTERVAL)
+def outward_quotient(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """An interval that holds the exact quotient; NaN ends for a divisor of zero."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _outward(np.where(b.to_numpy(float) == 0, np.nan, a.to_numpy(float) / b.to_numpy(float)))
 
 
 def logistic_loss(score: Column, target: Column) -> Column:

@@ -271,16 +271,18 @@ def retrieval_audit(rows: DataFrame, edges: DataFrame, candidates: DataFrame) ->
     return sums.select("n_edges", "n_found", rate("n_found", "n_edges").alias("recall"), "complete_records", rate("complete_records", "n_records").alias("complete_rate"), rate("nonempty_complete", "nonempty_records").alias("nonempty_complete_rate"), "selection_difference")
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(lid, rid, score) of the candidate with the largest score, the smaller id on ties. A tile sends one row for each of its queries."""
+def nearest(queries: DataFrame, candidates: DataFrame, tile_rows: int = TILE_ROWS, keep_self: bool = True) -> DataFrame:
+    """(lid, rid, score) of the candidate with the largest score, the smaller id on ties; without ``keep_self`` of another id. A tile sends one row for each of its queries."""
     kind = dict(queries.dtypes)["id"]
 
     def best(table: pa.Table) -> pa.Table:
         tile = _Tile(table, False)
         lid, rid, top = [], [], []
         for part, near in tile.chunks():
+            if not keep_self:
+                near[tile.ids[part][:, None] == tile.ids[tile.right][None, :]] = -np.inf
             if near.shape[1]:
-                u, v = np.nonzero(near >= near.max(axis=1, keepdims=True) - 1e-9)
+                u, v = np.nonzero((near >= near.max(axis=1, keepdims=True) - 1e-9) & (near > -np.inf))
                 score = tile.exact(part[u], tile.right[v])
                 order = np.lexsort((tile.ids[tile.right[v]], -score, u))
                 first = order[np.unique(u[order], return_index=True)[1]]
@@ -330,3 +332,12 @@ def cluster_suppression(rows: DataFrame, cluster: str, tau: float, ranked: DataF
     placed = pairs.join(side("lid"), "lid").join(side("rid"), "rid")
     late = F.when(F.col("lid_rank") > F.col("rid_rank"), F.col("lid")).otherwise(F.col("rid"))
     return placed.groupBy(late.alias("id")).agg(F.max("score").alias("top"))
+
+
+def admission_contexts(rows: DataFrame, edges: DataFrame, deleted: DataFrame, chosen: DataFrame, came: DataFrame) -> DataFrame:
+    """(id, former, former_score, survivor, survivor_score) of each record that a deletion admits: its closest deleted blocker, and the closest other record selected after it, the smaller id on ties."""
+    gone = edges.join(deleted.select(F.col("unit").alias("bown")), "bown", "left_semi").join(came.select(F.col("id").alias("rid")), "rid", "left_semi")
+    former = gone.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), "bid")).alias("m")).select(F.col("rid").alias("id"), F.col("m.bid").alias("former"), (-F.col("m.s")).alias("former_score"))
+    full = rows.select("id", "unit", "p", "z")
+    near = nearest(full.join(came.select("id"), "id", "left_semi"), full.join(chosen.select("id"), "id", "left_semi"), keep_self=False)
+    return former.join(near.select(F.col("lid").alias("id"), F.col("rid").alias("survivor"), F.col("score").alias("survivor_score")), "id", "left")

@@ -91,6 +91,11 @@ def solve_dual(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return x.T @ np.linalg.solve(x @ x.T + ridge * len(x) * np.eye(len(x)), y) if len(x) else np.zeros(x.shape[1])
 
 
+def solve_rows(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights by the smaller of both systems: the kernel of the rows where they are fewer than dimensions, the Gram matrix else."""
+    return solve_dual(x, y, ridge) if len(x) < x.shape[1] else solve_ridge(x.T @ x, x.T @ y, len(x), ridge)
+
+
 def solve_gated(gram: np.ndarray, cross: np.ndarray, n: float, ridge: float, method: str = "cholesky") -> np.ndarray:
     """Weights only where the relative residual is within the limit; conjugate gradients start at zero, with at most ten rounds a dimension."""
     a = gram + ridge * n * np.eye(len(gram))

@@ -558,9 +558,14 @@ def swap_diagnostics(spark, sf_dir):
     return workload.swapped_share(_pairs(spark, sf_dir, TAU).select("pair_id", "a", "b"), 0.1, "swap")
 
 
-@query("WITH c AS (SELECT doc_id, source, lang FROM documents), z AS (SELECT *, count(*) OVER (PARTITION BY source, lang) AS m, row_number() OVER (PARTITION BY source, lang ORDER BY " + h("audit", "doc_id") + ") AS k FROM c) SELECT doc_id, round(least(1.0, 2.0 / m), 9) AS probability FROM z WHERE k <= 2")
+@query("WITH c AS (SELECT doc_id, 'source|' || source AS stratum FROM documents UNION ALL SELECT doc_id, 'lang|' || lang FROM documents UNION ALL SELECT doc_id, 'both|' || source || '|' || lang FROM documents), k AS (SELECT * FROM c WHERE stratum IS NOT NULL), z AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS m, row_number() OVER (PARTITION BY stratum ORDER BY " + h("audit", "doc_id") + ") AS k FROM k) SELECT doc_id, round(CASE WHEN max(CASE WHEN m <= 2 THEN 1 ELSE 0 END) = 1 THEN 1.0 ELSE 1 - exp(sum(ln(1 - least(2.0 / m, 1 - 1e-12)))) END, 9) AS probability FROM z GROUP BY doc_id HAVING min(k) <= 2")
 def admission_audit_sample(spark, sf_dir):
-    return workload.audit_sample(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], 2, "doc_id", "audit").withColumn("probability", F.round("probability", 9))
+    """Two documents of each source, of each language and of each pair of both, and the chance that any of them takes a document."""
+    d = table(spark, sf_dir, "documents")
+    kinds = F.array(*[F.concat_ws("|", F.lit(name), *cols) for name, cols in (("source", ["source"]), ("lang", ["lang"]), ("both", ["source", "lang"]))])
+    known = F.array(F.col("source").isNotNull(), F.col("lang").isNotNull(), F.col("source").isNotNull() & F.col("lang").isNotNull())
+    cells = d.select("doc_id", F.explode(F.arrays_zip(kinds.alias("stratum"), known.alias("known"))).alias("x")).where("x.known").select("doc_id", "x.stratum")
+    return workload.audit_sample(cells, ["stratum"], 2, "doc_id", "audit").withColumn("probability", F.round("probability", 9))
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations) WHERE upto <= 400")
@@ -1117,3 +1122,16 @@ def certified_release(spark, sf_dir):
     state.create(rows, structure.terms(rows, edges), stats)
     state.apply(0, units(spark, UNIT))
     return spark.createDataFrame(list(enumerate(state.weights(1))), "pos int, weight double")
+
+
+@query(f"""WITH {_E}, b AS ({_AFTER}), a AS (SELECT id FROM b WHERE id IN (SELECT rid FROM edges)),
+f AS (SELECT rid AS id, bid AS former, score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, bid) AS k FROM edges WHERE bown = {UNIT} AND rid IN (SELECT id FROM a)),
+n AS (SELECT x.id, y.id AS survivor, list_dot_product(x.z, y.z) AS score, row_number() OVER (PARTITION BY x.id ORDER BY list_dot_product(x.z, y.z) DESC, y.id) AS k FROM u x JOIN a USING (id), u y WHERE y.id IN (SELECT id FROM b) AND y.id <> x.id)
+SELECT f.id, former, round(f.score, 6) AS former_score, survivor, round(n.score, 6) AS survivor_score FROM f LEFT JOIN n ON n.id = f.id AND n.k = 1 WHERE f.k = 1""")
+def admission_contexts(spark, sf_dir):
+    """What stood in the way of each record that the deletion of a unit admits, and what is closest to it now."""
+    rows, edges = written_edges(spark, sf_dir)
+    gone = units(spark, UNIT)
+    chosen, came = selection.selection_after(rows, edges, gone), selection.admissions_after(rows, edges, gone)
+    found = graph.admission_contexts(rows, edges, gone, chosen, came)
+    return found.select("id", "former", F.round("former_score", 6).alias("former_score"), "survivor", F.round("survivor_score", 6).alias("survivor_score"))

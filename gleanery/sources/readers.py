@@ -7,6 +7,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,16 @@ def blank(text: Column) -> Column:
 
 def read_natural_jsonl(spark: SparkSession, path: str, labels: bool = False, sources: bool = False) -> DataFrame:
     """Natural records; a repeated id, missing field or blank text is a ValueError. Blank lines are passed over."""
-    df = spark.read.schema(NATURAL + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return _natural(spark.read.schema(NATURAL + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path), labels, sources)
+
+
+def read_natural_csv(spark: SparkSession, path: str, labels: bool = False, sources: bool = True) -> DataFrame:
+    """The same from CSV with a header of the same names; sources are supplied, never guessed."""
+    reader = spark.read.schema(NATURAL + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"')
+    return _natural(reader.csv(path), labels, sources)
+
+
+def _natural(df: DataFrame, labels: bool, sources: bool) -> DataFrame:
     bad = F.col("_corrupt").isNotNull() | F.col("record_id").isNull() | blank(F.col("text"))
     bad = bad | F.col("label").isNull() if labels else bad
     bad = bad | F.col("source_id").isNull() if sources else bad
@@ -60,6 +70,9 @@ def adapt_comments(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_xml_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The row elements of XML files; document types and entities are a ValueError, before anything is parsed."""
+    if not spark.read.text(path).where(F.col("value").rlike("(?i)<!(doctype|entity)")).isEmpty():
+        raise ValueError("document types and entities are refused")
     return spark.read.format("xml").schema(schema).option("rowTag", "row").option("mode", "FAILFAST").load(path)
 
 
@@ -79,10 +92,10 @@ def adapt_posts(posts: DataFrame, links: DataFrame, first_day: str, last_day: st
 
 def adapt_news(raw: DataFrame, domains: DataFrame, calibration_year: int, analysis_years: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(records, exclusions) of news; domains: (host, domain). The role goes by the year of the recorded date."""
-    from gleanery.functions.text import canonical_host, news_text
+    from gleanery.functions.text import international_host, news_text
 
     day = recorded_date(F.col("date"))
-    host = canonical_host(F.col("domain"))
+    host = international_host(F.col("domain"))
     reason = first_reason((day.isNull(), "unusable_date"), (~(F.year(day) == calibration_year) & ~F.year(day).between(*analysis_years), "outside_years"), (host.isNull(), "unusable_host"), (blank(F.col("text")), "blank_text"))
     kept, out = split_ledger(raw, reason)
     records = kept.select(F.sha2(F.to_json(F.struct("url", "date", "title")), 256).alias("record_id"), news_text(F.col("title"), F.col("text")).alias("text"), host.alias("host"), day.alias("day"), F.when(F.year(day) == calibration_year, "calibration").otherwise("analysis").alias("role"))
@@ -127,6 +140,14 @@ def archive_records(members: DataFrame, schema: str = "title string, maintext st
     return split_ledger(rows.select("archive", "member", "member_sha256", "j.*"), first_reason((blank(F.col("maintext")), "blank_text")))
 
 
+def complete_labels(rows: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with labels in single precision, omitted rows with the names of the labels that they lack or that are no numbers)."""
+    lacking = F.filter(F.array(*[F.when(F.col(c).cast("double").isNull() | F.isnan(F.col(c).cast("double")), F.lit(c)) for c in labels]), lambda x: x.isNotNull())
+    marked = rows.withColumn("lacking", lacking)
+    rounded = {c: F.col(c).cast("float").cast("double") for c in labels}
+    return marked.where(F.size("lacking") == 0).drop("lacking").withColumns(rounded), marked.where(F.size("lacking") > 0)
+
+
 def read_public_suffixes(spark: SparkSession, path: str, private: bool = True) -> DataFrame:
     """(suffix, kind) of a public-suffix list; only lines within its section markers are rules."""
     whole = spark.read.text(path, wholetext=True).select("value")
@@ -146,6 +167,28 @@ def read_preview_tables(spark: SparkSession, path: str, columns: list[str]) -> D
     return rows.where(F.col(columns[0]) != columns[0])
 
 
+def read_npy_features(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """(id, vector) of a single-precision matrix in the .npy format; the manifest (id, row) names every row of it, else a ValueError. A file is one task's."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content"):
+                matrix = np.load(io.BytesIO(data.as_py()), allow_pickle=False)
+                if matrix.ndim != 2 or matrix.dtype != np.float32 or not np.isfinite(matrix).all():
+                    raise ValueError("features must be a finite matrix of single precision")
+                for i in range(0, len(matrix), 4096):
+                    part = matrix[i : i + 4096]
+                    vectors = pa.ListArray.from_arrays(np.arange(0, part.size + 1, matrix.shape[1], dtype=np.int32), np.ascontiguousarray(part).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), vectors], names=["row", "vector"])
+
+    rows = files.mapInArrow(run, "row long, vector array<float>")
+    tally = rows.select("row", F.lit(1).alias("here")).join(manifest.select(F.col("row").cast("long").alias("row"), F.lit(1).alias("named")), "row", "full").groupBy("row").agg(F.count("here").alias("a"), F.count("named").alias("b"))
+    if not tally.where("a <> 1 or b <> 1").isEmpty():
+        raise ValueError("the manifest and the rows don't agree")
+    return manifest.select("id", F.col("row").cast("long").alias("row")).join(rows, "row").select("id", "vector")
+
+
 def read_features(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """Feature rows joined by id, never by position; ids without features, or features without an id, are a ValueError."""
     features = spark.read.parquet(path)

@@ -38,3 +38,10 @@ def canonical_state(rows: DataFrame, key: Column, value: Column) -> DataFrame:
     """(state, sha256): the rows sorted by key as one JSON text. For states of bounded size, such as the keys of a small horizon."""
     out = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v"))))).alias("state"))
     return out.withColumn("sha256", F.sha2("state", 256))
+
+
+def state_digest(rows: DataFrame, key: Column, value: Column, buckets: int = 256) -> DataFrame:
+    """(sha256) of a state of any size: its rows as JSON text sorted by key in each hash bucket, and the digests of the buckets in their order."""
+    cells = rows.select(F.struct(key.alias("k"), value.alias("v")).alias("c")).withColumn("bucket", F.pmod(F.xxhash64("c.k"), F.lit(buckets)))
+    parts = cells.groupBy("bucket").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("c"))), 256).alias("h"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "|"), 256).alias("sha256"))

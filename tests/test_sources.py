@@ -100,3 +100,52 @@ def test_sinks(spark, tmp_path):
     assert readers.read_features(spark, str(tmp_path / "f"), spark.createDataFrame([("a",), ("b",)], "id string")).count() == 2
     with pytest.raises(ValueError):
         readers.read_features(spark, str(tmp_path / "f"), spark.createDataFrame([("a",)], "id string"))
+
+
+def test_refusals_and_further_forms(spark, tmp_path):
+    import numpy as np
+
+    from gleanery.sources import writers
+
+    (tmp_path / "bad.xml").write_text('<?xml version="1.0"?>\n<!DOCTYPE r [<!ENTITY x "y">]>\n<r><row Id="1"/></r>')
+    with pytest.raises(ValueError):
+        readers.read_xml_rows(spark, str(tmp_path / "bad.xml"), "_Id long")
+    (tmp_path / "a.csv").write_text('record_id,text,provenance,label,source_id\nr1,"a ""b""\nc",p,0.5,s1\n')
+    assert [tuple(r) for r in readers.read_natural_csv(spark, str(tmp_path / "a.csv"), labels=True).collect()] == [("r1", 'a "b"\nc', "p", 0.5, "s1")]
+    (tmp_path / "b.csv").write_text("record_id,text,provenance,label,source_id\nr1,a,p,0.5,\n")
+    with pytest.raises(ValueError):
+        readers.read_natural_csv(spark, str(tmp_path / "b.csv"))
+    matrix = np.arange(12, dtype=np.float32).reshape(4, 3)
+    np.save(tmp_path / "x.npy", matrix)
+    manifest = spark.createDataFrame([(f"i{k}", 3 - k) for k in range(4)], "id string, row long")
+    got = {r["id"]: r["vector"] for r in readers.read_npy_features(spark, str(tmp_path / "x.npy"), manifest).collect()}
+    assert got == {f"i{k}": matrix[3 - k].tolist() for k in range(4)}
+    for wrong in (manifest.where("row > 0"), manifest.union(spark.createDataFrame([("z", 9)], manifest.schema)), manifest.union(manifest.limit(1))):
+        with pytest.raises(ValueError):
+            readers.read_npy_features(spark, str(tmp_path / "x.npy"), wrong)
+    rows = spark.createDataFrame([("a", 0.1, "1"), ("b", None, "2"), ("c", 0.5, "x")], "id string, p double, q string")
+    kept, out = readers.complete_labels(rows.withColumn("q", F.col("q").try_cast("double")), ["p", "q"])
+    assert [(r["id"], r["p"]) for r in kept.collect()] == [("a", float(np.float32(0.1)))] and {r["id"]: r["lacking"] for r in out.collect()} == {"b": ["p"], "c": ["q"]}
+    cells = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    digests = {writers.state_digest(x, F.col("k"), F.col("v")).first()[0] for x in (cells, cells.repartition(7), cells.orderBy(F.desc("k")))}
+    assert len(digests) == 1 and writers.state_digest(cells.limit(999), F.col("k"), F.col("v")).first()[0] not in digests
+
+
+def test_outward_intervals_and_both_systems(spark):
+    from fractions import Fraction
+
+    import numpy as np
+
+    from gleanery.functions import vectors
+    from gleanery.operators import moments
+
+    df = spark.createDataFrame([(0.1, 0.2), (1e16, 1.0), (1.0, 3.0), (5.0, 0.0)], "a double, b double")
+    got = df.select("a", "b", vectors.outward_sum("a", "b").alias("s"), vectors.outward_product("a", "b").alias("p"), vectors.outward_quotient("a", "b").alias("q")).collect()
+    for r in got:
+        a, b = Fraction(r["a"]), Fraction(r["b"])
+        assert Fraction(r["s"]["lower"]) <= a + b <= Fraction(r["s"]["upper"]) and Fraction(r["p"]["lower"]) <= a * b <= Fraction(r["p"]["upper"])
+        assert b == 0 or Fraction(r["q"]["lower"]) <= a / b <= Fraction(r["q"]["upper"])
+    rng = np.random.default_rng(1)
+    for shape in ((4, 9), (30, 3)):
+        x, y = rng.standard_normal(shape), rng.standard_normal(shape[0])
+        assert np.allclose(moments.solve_rows(x, y, 0.1), np.linalg.solve(x.T @ x + 0.1 * len(x) * np.eye(shape[1]), x.T @ y))
