@@ -64,6 +64,26 @@ def test_embeddings_link_as_in_brute_force(spark, dims, tile):
     assert embedding_groups(df.limit(0)).count() == 0
 
 
+def test_embeddings_at_the_threshold(spark):
+    """Very many pairs within rounding of the threshold, more than a tile leaves to others; and pairs on both sides of it."""
+    rng = np.random.default_rng(4)
+    base = np.zeros((1200, 64))
+    base[:, 0] = np.sqrt(0.9)
+    base[np.arange(1200), 1 + np.arange(1200) % 63] = np.sqrt(0.1)
+    base += rng.standard_normal(base.shape) * rng.choice([1e-6, 1e-5, 1e-4], (1200, 1))
+    other = rng.standard_normal((60, 64))
+    vectors = np.concatenate([base, other]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    x = vectors.astype(np.float64)
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    linked = np.einsum("ik,jk->ij", x, x) >= 0.9
+    np.fill_diagonal(linked, False)
+    near = np.abs(np.einsum("ik,jk->ij", x, x) - 0.9) < 1e-13
+    got = {r["vec_id"]: r["n_links"] for r in embedding_groups(df).collect()}
+    assert linked.sum() > 100_000
+    assert all(abs(got[i] - linked[i].sum()) <= near[i].sum() for i in got)
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
