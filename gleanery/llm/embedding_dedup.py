@@ -27,7 +27,7 @@ from gleanery.llm.components import connected_components, with_least
 
 BLOCK_DIMS = 16
 #: Rows that one side of a tile holds, about.
-TILE_ROWS = 32768
+TILE_ROWS = 65536
 #: Rows in a box of a tile, about.
 BOX_ROWS = 1024
 #: Coordinates travel as whole numbers of this part of the unit.
