@@ -101,6 +101,91 @@ SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, lea
 FROM v
 """
 
+# XXH64 over the bytes of a text, in whole numbers of 128 bits taken modulo 2**64. Its five primes.
+_P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _whole(x: int) -> str:
+    return f"{x % 2**64}::UHUGEINT"
+
+
+def _mod(x: str) -> str:
+    return f"(({x}) % {2**64}::UHUGEINT)"
+
+
+def _times(x: str, p: int) -> str:
+    return _mod(f"{x} * {_whole(_P[p - 1])}")
+
+
+def _let(x: str, name: str, body: str) -> str:
+    return f"list_transform([{x}], lambda {name}: {body})[1]"
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"({_mod(f'{x} * {_whole(1 << bits)}')} + ({x} >> {64 - bits}))"
+
+
+def _lane(at: str, size: int) -> str:
+    """Little-endian number of ``size`` bytes from a byte on, of text in hex."""
+    return "CAST('0x' || " + " || ".join(f"substr(hx, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size))) + " AS UBIGINT)::UHUGEINT"
+
+
+def _mixed(acc: str, lane: str) -> str:
+    return _let(_mod(f"{acc} + {_times(lane, 2)}"), "t", _times(_turned("t", 31), 1))
+
+
+def _xxh64_sql(texts: str, seed: int) -> str:
+    """CTEs up to ``hashed`` (s, h) from a relation of distinct texts s."""
+    first = (seed + _P[0] + _P[1], seed + _P[1], seed, seed - _P[0])
+    stripes = ", ".join(f"list_reduce(list_concat([{_whole(x)}], list_transform(range(0, n // 32), lambda i: {_lane(f'32 * i + {8 * k}', 8)})), lambda acc, l: {_mixed('acc', 'l')}) AS v{k}" for k, x in enumerate(first))
+    joined = _mod(" + ".join(_turned(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))))
+    merged = _mod(f"{_times('xor(acc, ' + _mixed('0::UHUGEINT', 'v') + ')', 1)} + {_whole(_P[3])}")
+    eights = _let(f"xor(acc, {_mixed('0::UHUGEINT', 'l')})", "u", _mod(f"{_times(_turned('u', 27), 1)} + {_whole(_P[3])}"))
+    four = _let(f"xor(h, {_times(_lane('8 * (n // 8)', 4), 1)})", "u", _mod(f"{_times(_turned('u', 23), 2)} + {_whole(_P[2])}"))
+    ones = _let(f"xor(acc, {_times('l', 5)})", "u", _times(_turned("u", 11), 1))
+    return f"""x0 AS (
+  SELECT s, hx, n, {stripes} FROM (SELECT s, hex(encode(s)) AS hx, strlen(s) AS n FROM {texts})
+), x1 AS (
+  SELECT s, hx, n, CASE WHEN n >= 32 THEN list_reduce([{joined}, v0, v1, v2, v3], lambda acc, v: {merged}) ELSE {_whole(seed + _P[4])} END AS h FROM x0
+), x2 AS (
+  SELECT s, hx, n, list_reduce(list_concat([{_mod('h + n::UHUGEINT')}], list_transform(range(4 * (n // 32), n // 8), lambda i: {_lane('8 * i', 8)})), lambda acc, l: {eights}) AS h FROM x1
+), x3 AS (
+  SELECT s, hx, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM x2
+), x4 AS (
+  SELECT s, list_reduce(list_concat([h], list_transform(range(4 * (n // 4), n), lambda i: {_lane('i', 1)})), lambda acc, l: {ones}) AS h FROM x3
+), x5 AS (
+  SELECT s, {_times('xor(h, h >> 33)', 2)} AS h FROM x4
+), x6 AS (
+  SELECT s, {_times('xor(h, h >> 29)', 3)} AS h FROM x5
+), hashed AS (
+  SELECT s, xor(h, h >> 32) AS h FROM x6
+)"""
+
+
+_BITS = " + ".join(f"CASE WHEN 2 * sum(CAST((h >> {k}) & 1::UHUGEINT AS BIGINT)) > count(*) THEN {1 << k}::UHUGEINT ELSE 0::UHUGEINT END" for k in range(64))
+_OP3 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+), p AS (
+  SELECT r, unnest(list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM d WHERE len(w) > 0
+), texts AS (
+  SELECT DISTINCT s FROM p
+), {_xxh64_sql('texts', 42)}, f AS (
+  SELECT r, {_BITS} AS fp FROM p JOIN hashed USING (s) GROUP BY r
+), e AS (
+  SELECT d.doc_id, coalesce(fp, 0::UHUGEINT) AS fp FROM d LEFT JOIN f USING (r)
+), u AS (
+  SELECT fp, CAST(fp >> 32 AS BIGINT) AS hi, CAST(fp & 4294967295::UHUGEINT AS BIGINT) AS lo, min(doc_id) AS least_id FROM e GROUP BY fp
+), links AS (
+  SELECT a.fp AS a, b.fp AS b FROM u a JOIN u b ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 4
+), reach AS (
+  SELECT a AS x, b AS y FROM links UNION SELECT reach.x, links.b FROM reach JOIN links ON reach.y = links.a
+), c AS (
+  SELECT x AS fp, min(least_id) AS component_id FROM reach JOIN u ON u.fp = reach.y GROUP BY x
+)
+SELECT doc_id, lower(lpad(to_hex(CAST(fp AS UBIGINT)), 16, '0')) AS fingerprint, component_id FROM e JOIN c USING (fp)
+"""
+
 _SIZES = r"""len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"""
 _POINT = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
@@ -240,6 +325,6 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_embedding_dedup": _OP1, "op2_source_mix": MIX_SQL.format(docs="documents"), "op5_ring_shards": SHARD_SQL.format(docs="documents"),
+    "op1_embedding_dedup": _OP1, "op2_source_mix": MIX_SQL.format(docs="documents"), "op3_simhash_dedup": _OP3, "op5_ring_shards": SHARD_SQL.format(docs="documents"),
     "op6_url_filter": _OP6, "op8_substring_dedup": _OP8, "op10_decontamination": DECONTAMINATE_SQL.format(docs="documents"),
 }
