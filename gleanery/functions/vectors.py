@@ -22,8 +22,9 @@ def norm(a: Column) -> Column:
 
 def unit_vector(a: Column) -> Column:
     """Null for zero, null or non-finite vectors."""
-    n = norm(a)
-    return F.when((n > 0) & (n < float("inf")) & ~F.isnan(n), F.transform(a, lambda x: x.cast("double") / n))
+    # The length is a field of one struct, so that it is taken once and not for every coordinate.
+    one = F.array(F.struct(a.alias("a"), norm(a).alias("n")))
+    return F.get(F.transform(one, lambda s: F.when((s["n"] > 0) & (s["n"] < float("inf")) & ~F.isnan(s["n"]), F.transform(s["a"], lambda x: x.cast("double") / s["n"]))), F.lit(0))
 
 
 def bin_edges(bins: int = 20) -> list[float]:
