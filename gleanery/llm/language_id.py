@@ -97,10 +97,11 @@ def fit(packed: np.ndarray, labels: list[str], ridge: float = RIDGE, landmarks:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from at most ``rows`` labelled rows, ``per_language`` of each language, the first in the order of a hash of their id.
 
-    Of more than ``rows`` languages the most frequent count. Only rows with a language and a letter, outside the held-out fold. None where there are none.
+    Of more than ``rows`` languages the most frequent count. Only rows with a language and a letter, outside the held-out fold: others take no place in
+    the sample. Ids with one hash go by id, repeated rows count once. None where there are none. Other columns aren't read.
     """
     labelled = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    labelled = labelled.where("lang is not null and text is not null").where(fold_of(F.col("doc_id"), folds) != held_fold)
+    labelled = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).where(fold_of(F.col("doc_id"), folds) != held_fold)
     keys = labelled.where("doc_id is not null").select("doc_id", "lang", F.xxhash64(F.lit("language"), "doc_id").alias("key"))
     # Only the low end of the hash range of a language is ranked: some MARGIN times what it may give, whatever its size.
     share = keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(rows)  # a sample holds no more languages
@@ -136,7 +137,8 @@ def predict_languages(docs: DataFrame, model: Model | None, keep: list[str] | No
     """(doc_id, lang_pred, score) and the columns in ``keep``, prefixed ``kept_``, a row for each row of docs.
 
     Whole texts, of any length. ``und`` with score 0 for null texts, texts without a letter, and without a model. score: how far
-    the best one-versus-rest output is from -1 to 1, on 0 to 1. Copies get the same; an empty table gives no rows.
+    the best one-versus-rest output is from -1 to 1, on 0 to 1; of equal outputs the language that sorts first wins. Copies get the same;
+    an empty table gives no rows.
     """
     keep = keep or []
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"kept_{c}") for c in keep])
