@@ -32,12 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: of the smallest id, or without any id; of rows with that id, the one with the smallest fingerprint."""
-    keys = [F.xxhash64(F.lit(i), "doc_id", "text").alias(f"_k{i}") for i in (0, 1)]
+    """One row of each group: of the smallest id, or without any id; of rows with that id, the one with the smallest fingerprint, then hash of all columns."""
+    keys = [F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in docs.columns]).alias(f"_k{i}") for i in (0, 1)]
     groups = simhash_groups(docs.select("doc_id", "text", *keys), keep=["_k0", "_k1"])
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "kept__k0", "kept__k1")).alias("least")
     kept = groups.groupBy("label").agg(least).select(F.col("least.kept__k0").alias("_k0"), F.col("least.kept__k1").alias("_k1"))
-    # The wide rows meet only the kept keys, which name an id and text; rows alike in both count once.
+    # The wide rows meet only the kept keys, which name a row; rows alike in all columns count once.
     return docs.select("*", *keys).join(kept, ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"]).select(*docs.columns)
 
 
@@ -73,12 +73,17 @@ STAGES = [("language_id", identify_language), ("simhash_dedup", drop_near_duplic
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the stages' results go to a folder of their own in the checkpoint folder."""
+    """All stages over the documents of sf_dir; the stages' results go to a folder of their own in the checkpoint folder, and go once the next is written."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs
 
 

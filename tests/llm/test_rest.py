@@ -643,6 +643,41 @@ def test_mix_stage_keeps_rows_without_ids_and_repeats(spark):
     assert got == want and None in got
 
 
+def test_very_long_texts_and_urls(spark, tmp_path):
+    """A text of 300,000 words and a url of 200,000 characters go through every operator and stage whole."""
+    from gleanery.llm import simhash
+    from test_pairs import plain_fingerprint
+
+    long = " ".join(f"word{i % 4000}" for i in range(300_000))
+    rows = [(1, long, "en", "s", 0), (2, "the cat and the dog", "en", "s", 0), (3, "la casa es muy bonita", "es", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = {r["doc_id"]: r for r in mix_sources(docs, [5, 2, 1]).collect()}
+    assert mixed[1]["size"] == 300_000 and mixed[3]["taken"] == 15 and mixed[1]["taken"] + mixed[2]["taken"] == round(mixed[1]["target"])
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.simhash_groups(docs).collect()}
+    assert prints[1] == f"{plain_fingerprint(long):016x}"
+    bench = spark.createDataFrame([(7, " ".join(f"word{i}" for i in range(3990, 4000)) + " word0 word1 word2")], "item_id long, text string")
+    assert [(r["n_words"], r["n_hit"]) for r in find_contamination(docs, bench).where("doc_id = 1").collect()] == [(300_000, 74 * 13)]
+    placed = ring_shards(docs.select("doc_id", F.length("text").alias("size")), F.col("doc_id"), ["size"], 2).collect()
+    assert sorted(r["size"] for r in placed) == sorted(len(t) for _, t, *_ in rows)
+    url = "http://www.example.com/en/" + "a" * 200_000
+    judged = filter_urls(spark.createDataFrame([(1, url), (2, "http://" + "a." * 20_000 + "net/es/")], "page_id long, url string"), spark.createDataFrame(queries.RULES, "host string, path string, verdict string"))
+    assert {r["page_id"]: (r["rule"], len(r["path"])) for r in judged.collect()} == {1: ("www.example.com/en/", 200_004), 2: ("net/es/", 4)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = docs
+    for name, stage in corpus_pipeline.STAGES:
+        table = stage(spark, table, str(tmp_path))
+        ids = {r["doc_id"] for r in table.select("doc_id").collect()}
+        assert 1 in ids, name
+
+
+def test_near_duplicates_that_differ_in_other_columns(spark):
+    """Rows of one id and text, and different sources: the same one stays in every run."""
+    rows = [(1, "one and the same text", s) for s in ("c", "a", "b", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = [[tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, d, SMALL).collect()] for d in (docs, docs.repartition(3), docs.orderBy("source"))]
+    assert len(left[0]) == 1 and left[0] == left[1] == left[2]
+
+
 def test_items_digest_of_nothing(spark):
     got = spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ",").cast("binary"), 256)).first()[0]
     assert got == hashlib.sha256(b"").hexdigest()
