@@ -256,11 +256,18 @@ def signature_candidates(rows: DataFrame, tables: list[list[list[int]]]) -> Data
     return signed.select(F.col("id").alias("a"), "tab", "sig").join(other, ["tab", "sig"]).where("a < b").select("a", "b").distinct()
 
 
-def retrieval_audit(rows: DataFrame, edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row on the graph that candidates (a, b) leave of the exact one: edges and those found, records with all of their blockers found, of all records and of those that have some, and records that only one of the two selects at first."""
-    pairs = edges.select("rid", F.least("rid", "bid").alias("a"), F.greatest("rid", "bid").alias("b"))
-    found = pairs.join(candidates.select("a", "b", F.lit(1).alias("hit")).distinct(), ["a", "b"], "left").groupBy("rid").agg(F.count("*").alias("n"), F.count("hit").alias("k"))
-    each = rows.select(F.col("id").alias("rid")).join(found, "rid", "left").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
+def signature_hits(pairs: DataFrame, rows: DataFrame, tables: list[list[list[int]]], a: str = "a", b: str = "b") -> DataFrame:
+    """``pairs`` with ``hit``: whether both ends share a signature in any table. Each end's signatures come by its id, so candidates aren't made."""
+    signs = rows.select("id", F.array(*[plane_signature(F.col("z"), t) for t in tables]).alias("signs"))
+    side = lambda c: signs.select(F.col("id").alias(c), F.col("signs").alias(f"_{c}"))
+    same = F.exists(F.zip_with(f"_{a}", f"_{b}", lambda x, y: x == y), lambda x: x)
+    return pairs.join(side(a), a).join(side(b), b).withColumn("hit", same).drop(f"_{a}", f"_{b}")
+
+
+def retrieval_audit(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """One row on the graph that is left of the exact one, edges (rid, bid, hit): edges and those found, records with all of their blockers found, of all records and of those that have some, and records that only one of the two selects at first."""
+    each = found.groupBy("rid").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("k"))
+    each = rows.select(F.col("id").alias("rid")).join(each, "rid", "left").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
     count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
     whole = F.col("n") == F.col("k")
     sums = each.agg(

@@ -25,9 +25,9 @@ def simple_sample(frame: DataFrame, key: Column, n: int, salt: str) -> DataFrame
     return frame.withColumn("h", salted_hash(salt, key)).orderBy("h").limit(n).drop("h")
 
 
-def missed_pairs(pairs: DataFrame, retrieved: DataFrame, n: int, salt: str) -> DataFrame:
-    """A sample of the pairs (a, b) that weren't retrieved."""
-    return simple_sample(pairs.join(retrieved, ["a", "b"], "left_anti"), F.concat_ws("|", "a", "b"), n, salt)
+def missed_pairs(pairs: DataFrame, n: int, salt: str) -> DataFrame:
+    """(a, b) of a sample of the pairs (a, b, hit) that weren't retrieved."""
+    return simple_sample(pairs.where(~F.col("hit")).select("a", "b"), F.concat_ws("|", "a", "b"), n, salt)
 
 
 def trajectories(units: DataFrame, arm: str, count: int, horizon: int, salt: str) -> DataFrame:

@@ -330,8 +330,8 @@ def lsh_candidates(spark, sf_dir):
 @query(f"""WITH {_E}, {_CAND.split(_U + ", ")[1]}, f AS (SELECT e.rid, count(*) AS n, count(c.a) AS k FROM edges e LEFT JOIN cand c ON c.a = least(e.rid, e.bid) AND c.b = greatest(e.rid, e.bid) GROUP BY e.rid), x AS (SELECT u.id, coalesce(n, 0) AS n, coalesce(k, 0) AS k FROM u LEFT JOIN f ON f.rid = u.id)
 SELECT CAST(sum(n) AS BIGINT) AS n_edges, CAST(sum(k) AS BIGINT) AS n_found, sum(k) / sum(n) AS recall, count(*) FILTER (n = k) AS complete_records, count(*) FILTER (n = k) / count(*) AS complete_rate, count(*) FILTER (n = k AND n > 0) / count(*) FILTER (n > 0) AS nonempty_complete_rate, count(*) FILTER (n > 0 AND k = 0) AS selection_difference FROM x""")
 def lsh_recall(spark, sf_dir):
-    rows, edges = written_edges(spark, sf_dir)
-    return graph.retrieval_audit(rows, edges, graph.signature_candidates(rows, _PLANES))
+    rows, edges = edge_rows(spark, sf_dir)
+    return graph.retrieval_audit(rows, graph.signature_hits(edges, rows, _PLANES, "rid", "bid"))
 
 
 @query(f"WITH {_E}, s AS (SELECT * FROM u WHERE id NOT IN (SELECT rid FROM edges)), x AS (SELECT * FROM u WHERE id IN (SELECT rid FROM edges)) SELECT lid, rid, round(score, 6) AS score FROM (SELECT x.id AS lid, s.id AS rid, list_dot_product(x.z, s.z) AS score, row_number() OVER (PARTITION BY x.id ORDER BY list_dot_product(x.z, s.z) DESC, s.id) AS k FROM x, s) WHERE k = 1")
@@ -545,7 +545,8 @@ def threshold_pair_sample(spark, sf_dir):
 
 @query(f"WITH {_CAND}, e AS (SELECT l.id AS a, r.id AS b FROM u l JOIN u r ON l.id < r.id AND list_dot_product(l.z, r.z) > {TAU}) SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.a = e.a AND c.b = e.b) ORDER BY {h('missed', 'a || chr(124) || b')} LIMIT 50")
 def missed_pair_sample(spark, sf_dir):
-    return workload.missed_pairs(_pairs(spark, sf_dir, TAU).select("a", "b"), graph.signature_candidates(vector_rows(spark, sf_dir), _PLANES), 50, "missed")
+    hits = graph.signature_hits(_pairs(spark, sf_dir, TAU).select("a", "b"), vector_rows(spark, sf_dir), _PLANES)
+    return workload.missed_pairs(hits, 50, "missed")
 
 
 @query(f"WITH {_E}, q AS (SELECT least(rid, bid) AS a, greatest(rid, bid) AS b FROM edges), g AS (SELECT a || '|' || b AS pair_id, a, b, CAST(r AS INTEGER) AS rater FROM q, range(3) t(r)) SELECT pair_id, rater, CASE WHEN {n('sides', chr(39).join(['pair_id || ', '|', ' || rater']))} % 2 = 1 THEN b ELSE a END AS first, CASE WHEN {n('sides', chr(39).join(['pair_id || ', '|', ' || rater']))} % 2 = 1 THEN a ELSE b END AS second FROM g")
