@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from string import ascii_letters
@@ -90,11 +91,13 @@ class Node:
 
 
 class Page:
-    """The tree of a page, and its tables, its links and its title in document order."""
+    """The tree of a page, and its tables, its links, its style sheets and its title in document order."""
 
     def __init__(self, html: str):
-        self.root, self.tables, self.linked, self.named = Node("#root"), [], [], None
+        self.root, self.tables, self.linked, self.sheets, self.named = Node("#root"), [], [], [], None
         build(html, self)
+        if rules := visibility_rules("\n".join(self.sheets)):
+            hide(self.root, rules)
 
     def text(self) -> str:
         for table in reversed(self.tables):  # tables in cells come after the table around them
@@ -225,6 +228,8 @@ def build(html: str, page: Page) -> None:
                 node.children.append(unescape(html[at : end[0]]))
             elif name == "xmp":
                 node.children.append(html[at : end[0]])
+            elif name == "style" and _PROPERTY.search(html, at, end[0]):
+                page.sheets.append(html[at : end[0]])
             at = end[1]
         else:
             stack.push(node)
@@ -259,6 +264,97 @@ def visible(node: Node) -> bool:
     return not a or not ("hidden" in a or a.get("type", "").lower() == "hidden" and node.name == "input" or a.get("aria-hidden") == "true" and node.name == "i" or "style" in a and _NOT_SHOWN.search(a["style"]))
 
 
+# A compound selector of a name, classes and ids; selectors of other kinds aren't weighed.
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_PIECES = re.compile(r"[^{};]*[{};]?")
+_PROPERTY = re.compile(r"(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+_PART = re.compile(r"[.#][\w-]+")
+
+
+#: By an id, class or name: the selectors that ask for it, as name and parts, with what they say of each property: its rank in the cascade, and whether it hides.
+Rules = dict[str, list[tuple[str, frozenset[str], dict[str, tuple[tuple, bool]]]]]
+
+
+def visibility_rules(sheet: str) -> Rules:
+    """The rules of a style sheet that show or hide, by an id, a class or a name that their elements have; empty where none hides.
+
+    Conditional blocks and states that a pointer or a script brings about don't count. What a selector with combinators or attributes shows
+    isn't known here to be hidden, so the parts that it names hide nothing.
+    """
+    if "{" not in sheet:
+        return {}
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+    found: list[tuple[str, str]] = []
+    depth, skipped, prelude, body = 0, None, "", []
+    for piece in _PIECES.findall(sheet):
+        end = piece[-1:]
+        if end == "{":
+            if skipped is None and piece.lstrip().startswith("@"):
+                skipped = depth
+            depth, prelude, body = depth + 1, piece[:-1], []
+        else:
+            body.append(piece.rstrip(";}"))
+            if end == "}":
+                depth = max(0, depth - 1)
+                if skipped is None and depth == 0:
+                    found.append((prelude, ";".join(body)))
+                elif skipped is not None and depth <= skipped:
+                    skipped = None
+                body = []
+    if skipped is None and depth == 1:  # the sheet's end closes a block
+        found.append((prelude, ";".join(body)))
+    said: dict[tuple[str, frozenset[str]], dict[str, tuple[tuple, bool]]] = {}
+    doubtful: set[str] = set()
+    for order, (selectors, block) in enumerate(found):
+        declared = {p.lower(): (v.lower() in ("none", "hidden", "collapse"), bool(i)) for p, v, i in _PROPERTY.findall(block)}
+        if not declared:
+            continue
+        for selector in selectors.split(","):
+            selector = selector.strip()
+            match = _COMPOUND.fullmatch(selector)
+            parts = frozenset(_PART.findall(selector))
+            if not selector or not match:
+                if ":" not in selector and not all(hidden for hidden, _ in declared.values()):
+                    doubtful |= parts
+                continue
+            ids = sum(p[0] == "#" for p in parts)
+            tag = (match[1] or "*").lower()
+            says = said.setdefault((tag, parts), {})
+            for name, (hidden, important) in declared.items():
+                rank = (important, ids, len(parts) - ids, tag != "*", order)
+                says[name] = max(says.get(name, (rank, hidden)), (rank, hidden))
+    if not any(hidden for says in said.values() for _, hidden in says.values()):
+        return {}
+    asked = Counter(p for _, parts in said for p in parts)
+    rules: Rules = {}
+    for (tag, parts), says in said.items():
+        if not parts & doubtful:  # kept by the part that fewest selectors ask for
+            rules.setdefault(min(parts, key=lambda p: (asked[p], p), default=tag), []).append((tag, parts, says))
+    return rules
+
+
+def hide(root: Node, rules: Rules) -> None:
+    """Marks the elements that the rules hide; an element's own style goes before all but important ones."""
+    work = [root]
+    while work:
+        node = work.pop()
+        work += [c for c in node.children if not isinstance(c, str)]
+        own = {f".{c}" for c in node.attrs["class"].split()} if "class" in node.attrs else set()
+        if "id" in node.attrs:
+            own.add(f"#{node.attrs['id'].strip()}")
+        best: dict[str, tuple[tuple, bool]] = {}
+        for key in (*own, node.name, "*"):
+            for tag, parts, says in rules.get(key, ()):
+                if parts <= own and tag in ("*", node.name):
+                    for name, said in says.items():
+                        best[name] = max(best.get(name, said), said)
+        if best and "style" in node.attrs:
+            own_style = {p.lower() for p, _, _ in _PROPERTY.findall(node.attrs["style"])}
+            best = {p: said for p, said in best.items() if said[0][0] or p not in own_style}
+        if any(hidden for _, hidden in best.values()):
+            node.attrs = {**node.attrs, "hidden": ""}
+
+
 def svg_labels(svg: Node) -> list[Node | str]:
     """The text elements of a drawing, parted by spaces, and the HTML that it holds."""
     out: list[Node | str] = []
@@ -552,7 +648,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     A null page has null text and title; a page without visible text the empty text; text outside any tag is text; broken
     markup is read as a browser would, numbers that are none count as missing. Tables inside cells are rendered in the cell's
-    line. Pages of any length are read whole; repeated rows give repeated rows. An empty table gives no rows. The title is the
+    line. What inline styles, attributes or the simple selectors of the page's own style sheets hide is left out. Pages of any length are read whole; repeated rows give repeated rows. An empty table gives no rows. The title is the
     first title element's.
     """
     keep = keep or []

@@ -306,13 +306,28 @@ BROKEN = {
 }
 
 
+#: Style sheets, and what they leave of "<p class='a b' id=i>x</p><p class=b>y</p><div>z</div>".
+SHEETS = {
+    ".a{display:none}": "y\n\nz", ".a.b { color:red; Display : NONE }": "y\n\nz", "#i{visibility:hidden}.b{x:y}": "y\n\nz", "p{display:none}": "z", "p,div{display:none}.b{display:block}": "x\n\ny", ".c,.a .b{display:none}": "x\n\ny\n\nz",
+    ".a{display:none}.a{display:block}": "x\n\ny\n\nz", "#i{display:block}.a{display:none}": "x\n\ny\n\nz", ".a{display:none!important}#i{display:block}": "y\n\nz", "@media print{.a{display:none}.b{display:none}}": "x\n\ny\n\nz",
+    "@media print{.a{display:none}} .b{display:none}": "z", "/* .a{display:none} */ div{display:none": "x\n\ny", "div.a{display:none}": "x\n\ny\n\nz", ".a{display:none} main .a{display:block}": "x\n\ny\n\nz", ".a{display:none} .a:hover{display:block}": "y\n\nz",
+    "}}{{.a{display:none}": "x\n\ny\n\nz", "*{display:none}": "", "@import 'x';.a{display:none}": "y\n\nz",
+}
+
+
+@pytest.mark.parametrize("sheet", sorted(SHEETS))
+def test_html_style_sheets(sheet):
+    assert html_to_text(f"<style>{sheet}</style><p class='a b' id=i>x</p><p class=b>y</p><div>z</div>") == SHEETS[sheet]
+    assert html_to_text("<style>.a{display:none}</style><p class=a style='display:block'>x<p class=a style='color:red'>y") == "x"
+
+
 @pytest.mark.parametrize("html", sorted(BROKEN))
 def test_html_of_broken_markup(html):
     assert html_to_text(html) == BROKEN[html]
 
 
 #: Two megabytes each of what could take a parser long; the whole takes seconds.
-HEAVY = ["<a x ", "<b>", "<b><p>", "<p><table><td><b>", "<table><tr><td>", "<table><tr><td>a<td>", "<title>", "<!--", "<![CDATA[", "</", "</b ", "<a x='", "&#", "<li><ul>", "<blockquote>x", "<td rowspan=9>x<tr>", "<svg><desc>", "<select>", "<option><optgroup>", "<math><mi>", "<p>", "</p>", "<a " + "x " * 50 + ">", "<button><p>", "<ol start=5><li>x", "<pre>\n", "<br>"]
+HEAVY = ["<a x ", "<b>", "<b><p>", "<p><table><td><b>", "<table><tr><td>", "<table><tr><td>a<td>", "<title>", "<!--", "<![CDATA[", "</", "</b ", "<a x='", "&#", "<li><ul>", "<blockquote>x", "<td rowspan=9>x<tr>", "<svg><desc>", "<select>", "<option><optgroup>", "<math><mi>", "<p>", "</p>", "<a " + "x " * 50 + ">", "<button><p>", "<ol start=5><li>x", "<pre>\n", "<br>", "<style>p{display:none}</style><p class=a>", "<style>" + "".join(f".a.b{i}{{display:none}}" for i in range(10_000)) + "</style>" + "<p class=a>" * 10_000]
 
 
 @pytest.mark.parametrize("piece", HEAVY)
@@ -408,7 +423,7 @@ def test_html_as_in_plain_rendering():
 
 def test_html_any_markup():
     rng = random.Random(22)
-    bits = ["<table>", "<tr>", "<td rowspan=3>", "<td colspan=2>", "</table>", "<p>", "</p>", "<li>", "<ul>", "</ul>", "<svg>", "</svg>", "<math>", "<select>", "<option>", "x", " ", "&amp;", "<b a='", "'", '"', ">", "<", "/", "<!--", "-->", "<title>", "</title>", "<head>", "<body>", "<br/>", "</br>", "<ol start=", "²", "<pre>", "<![CDATA[", "]]>", "\x00", "<script>", "</script>"]
+    bits = ["<table>", "<tr>", "<td rowspan=3>", "<td colspan=2>", "</table>", "<p>", "</p>", "<li>", "<ul>", "</ul>", "<svg>", "</svg>", "<math>", "<select>", "<option>", "x", " ", "&amp;", "<b a='", "'", '"', ">", "<", "/", "<!--", "-->", "<title>", "</title>", "<head>", "<body>", "<br/>", "</br>", "<ol start=", "²", "<pre>", "<![CDATA[", "]]>", "\x00", "<script>", "</script>", "<style>", "</style>", ".a{display:none}", "{", "}", "<i class=a>"]
     for _ in range(4000):
         html_to_text("".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))))
 
