@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.vectors import logistic_loss
 from gleanery.operators.graph import cluster_ranks, cluster_suppression
 from gleanery.session import durable
 
@@ -145,41 +146,60 @@ def ridge_grid(df: DataFrame, vector: str, target: str, fold: str, dims: int, ri
 
 def fit_logistic(df: DataFrame, vector: str, target: str, dims: int, ridge: float, rounds: int = 50, tolerance: float = 1e-9, start: np.ndarray | None = None) -> np.ndarray:
     """Weights of fractional logistic regression by damped Newton steps: each round is one pass for loss, gradient and curvature."""
+    return fit_with_gradient(df, vector, target, dims, ridge, rounds, tolerance, start)[0]
+
+
+def fit_with_gradient(df: DataFrame, vector: str, target: str, dims: int, ridge: float, rounds: int = 50, tolerance: float = 1e-9, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """The same, with the length of the gradient there."""
     rows = df.select(F.col(vector).alias("x"), F.col(target).cast("double").alias("y")).persist()
 
-    def totals(w: np.ndarray, curved: bool) -> tuple[float, np.ndarray, np.ndarray, float]:
+    def totals(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 + dims + dims * dims * curved)
+            total = np.zeros(2 + dims + dims * dims)
             for batch in batches:
                 vectors = batch.column("x")
                 x, y = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1), np.asarray(batch.column("y"))
                 s = x @ w
                 p = 1 / (1 + np.exp(-np.clip(s, -700, 700)))
                 loss = np.where(s >= 0, np.log1p(np.exp(-np.abs(s))) + (1 - y) * s, np.log1p(np.exp(-np.abs(s))) - y * s)
-                parts = [[loss.sum(), len(y)], x.T @ (p - y)] + [((x * (p * (1 - p))[:, None]).T @ x).ravel()] * curved
-                total += np.concatenate(parts)
+                total += np.concatenate([[loss.sum(), len(y)], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["pos", "value"])
 
-        got = np.zeros(2 + dims + dims * dims * curved)
+        got = np.zeros(2 + dims + dims * dims)
         for r in rows.mapInArrow(run, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("v")).collect():
             got[r["pos"]] = r["v"]
         n = max(1.0, got[1])
-        hessian = got[2 + dims :].reshape(dims, dims) / n + ridge * np.eye(dims) if curved else np.zeros(0)
-        return got[0] / n + ridge / 2 * float(w @ w), got[2 : 2 + dims] / n + ridge * w, hessian, n
+        return got[0] / n + ridge / 2 * float(w @ w), got[2 : 2 + dims] / n + ridge * w, got[2 + dims :].reshape(dims, dims) / n + ridge * np.eye(dims)
 
     w = np.zeros(dims) if start is None else start.copy()
     try:
+        loss, gradient, hessian = totals(w)
         for _ in range(rounds):
-            loss, gradient, hessian, _ = totals(w, True)
             if np.linalg.norm(gradient) <= tolerance:
                 break
             step, damp = np.linalg.solve(hessian, gradient), 1.0
-            while damp > 1e-8 and totals(w - damp * step, False)[0] > loss - 1e-4 * damp * float(gradient @ step):
+            tried = totals(w - step)
+            while damp > 1e-8 and tried[0] > loss - 1e-4 * damp * float(gradient @ step) + 1e-14 * max(1.0, abs(loss)):  # near the end, less than rounding is left to gain
                 damp /= 2
-            w = w - damp * step
+                tried = totals(w - damp * step)
+            w, (loss, gradient, hessian) = w - damp * step, tried
     finally:
         rows.unpersist()
-    return w
+    return w, float(np.linalg.norm(gradient))
+
+
+def _score(vector: str, weights: np.ndarray):
+    return F.aggregate(F.zip_with(vector, F.lit([float(x) for x in weights]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def logistic_errors(df: DataFrame, vector: str, fits: dict[str, np.ndarray]) -> tuple[float, float]:
+    """Mean cross-entropy and mean squared error of probabilities over rows and outputs, in one pass."""
+    each = []
+    for target, w in fits.items():
+        z, y = _score(vector, w), F.col(target).cast("double")
+        each.append(F.struct(logistic_loss(z, y).alias("bce"), F.pow(1 / (1 + F.exp(-z)) - y, F.lit(2.0)).alias("mse")))
+    found = df.select(F.explode(F.array(*each)).alias("e")).agg(F.avg("e.bce").alias("bce"), F.avg("e.mse").alias("mse")).first()
+    return found["bce"], found["mse"]
 
 
 def warm_gradient(gradient: np.ndarray, n: int, changed: np.ndarray, m: int, ridge: float, w: np.ndarray) -> np.ndarray:

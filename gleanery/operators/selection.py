@@ -19,6 +19,14 @@ def selection_after(rows: DataFrame, edges: DataFrame, deleted: DataFrame) -> Da
     return rows.join(deleted, "unit", "left_anti").join(live.select(F.col("rid").alias("id")), "id", "left_anti")
 
 
+def rebuilt_selection(rows: DataFrame, deleted: DataFrame, tau: float) -> DataFrame:
+    """The same from the rows that stay alone: their graph is made anew. The oracle of every repair."""
+    from gleanery.operators.graph import blocker_edges
+
+    left = rows.join(deleted, "unit", "left_anti")
+    return initial_selection(left, blocker_edges(left, tau))
+
+
 def admissions_after(rows: DataFrame, edges: DataFrame, deleted: DataFrame) -> DataFrame:
     """Rows selected after the deletion that weren't before. Only rows with a blocker in a deleted unit are looked at."""
     touched = edges.join(deleted.select(F.col("unit").alias("bown")), "bown", "left_semi").select(F.col("rid").alias("id")).distinct()

@@ -32,7 +32,7 @@ def missed_pairs(pairs: DataFrame, n: int, salt: str) -> DataFrame:
 
 def trajectories(units: DataFrame, arm: str, count: int, horizon: int, salt: str) -> DataFrame:
     """(trajectory_id, arm, pos, unit): the first ``horizon`` units in each trajectory's own hash order."""
-    grid = units.select("unit").join(units.sparkSession.range(count).select(F.col("id").cast("int").alias("trajectory_id")))
+    grid = units.select("unit", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("trajectory_id"))
     name = F.concat_ws("|", F.lit(arm), F.col("trajectory_id").cast("string"), F.col("unit").cast("string"))
     ranked = grid.withColumn("pos", F.row_number().over(Window.partitionBy("trajectory_id").orderBy(salted_hash(salt, name), "unit")))
     return ranked.where(F.col("pos") <= horizon).select("trajectory_id", F.lit(arm).alias("arm"), "pos", "unit")
@@ -125,9 +125,9 @@ def stress_candidates(edges: DataFrame, rows: DataFrame, limit: int, salt: str)
 
 def volume_matched(rows: DataFrame, volumes: DataFrame, salt: str) -> DataFrame:
     """(trajectory_id, k, id): for each (trajectory_id, k, deleted_records), so many records in the trajectory's hash order."""
-    paths = volumes.select("trajectory_id").distinct()
+    paths = volumes.agg(F.collect_set("trajectory_id")).scalar()  # trajectories are few
     named = F.concat_ws("|", F.col("trajectory_id").cast("string"), F.col("id").cast("string"))
-    ranked = rows.select("id").join(paths).withColumn("pos", F.row_number().over(Window.partitionBy("trajectory_id").orderBy(salted_hash(salt, named))))
+    ranked = rows.select("id", paths.alias("all")).select("id", F.explode("all").alias("trajectory_id")).withColumn("pos", F.row_number().over(Window.partitionBy("trajectory_id").orderBy(salted_hash(salt, named))))
     return ranked.join(volumes, "trajectory_id").where(F.col("pos") <= F.col("deleted_records")).select("trajectory_id", "k", "id")
 
 

@@ -1136,3 +1136,36 @@ def admission_contexts(spark, sf_dir):
     chosen, came = selection.selection_after(rows, edges, gone), selection.admissions_after(rows, edges, gone)
     found = graph.admission_contexts(rows, edges, gone, chosen, came)
     return found.select("id", "former", F.round("former_score", 6).alias("former_score"), "survivor", F.round("survivor_score", 6).alias("survivor_score"))
+
+
+@query(f"WITH {_E} SELECT id, true AS rebuilt, true AS repaired FROM u WHERE unit <> {UNIT} AND id NOT IN (SELECT rid FROM edges WHERE bown <> {UNIT})")
+def oracle_selection(spark, sf_dir):
+    """The selection after a deletion from the graph of the rows that stay, and from the graph that is there."""
+    rows, edges = written_edges(spark, sf_dir)
+    gone = units(spark, UNIT)
+    rebuilt = selection.rebuilt_selection(rows, gone, TAU).select("id", F.lit(True).alias("rebuilt"))
+    both = rebuilt.join(selection.selection_after(rows, edges, gone).select("id", F.lit(True).alias("repaired")), "id", "full")
+    return both.select("id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("rebuilt", "repaired")])
+
+
+@query(f"WITH {_E}, s AS (SELECT z, unit FROM u WHERE unit NOT IN (3, 1) AND id NOT IN (SELECT rid FROM edges WHERE bown NOT IN (3, 1))) " + _MOM.format(s="", r="s", g="", e=""))
+def moments_on_release(spark, sf_dir):
+    """Moments of the selection after units 3 and 1 went through the versioned state, which holds no moments."""
+    from uuid import uuid4
+
+    from gleanery.streaming.deletes import DeletionState
+
+    rows, edges = written_edges(spark, sf_dir)
+    state = DeletionState(spark, f"{checkpoint_folder(spark)}/payload-{uuid4().hex}", 8)
+    state.create(rows, edges)
+    state.apply(0, units(spark, 3, 1))
+    return _cells(state.moments(1, rows, "z", "unit")).drop("grp")
+
+
+@query()
+def three_arms(spark, sf_dir):
+    """Fresh, warm and frozen logistic models along a deletion path, scored on the rows of even ids."""
+    rows, edges = written_edges(spark, sf_dir)
+    rows = rows.withColumn("y", (F.col("unit") < 5).cast("double"))
+    found = inference.convex_program(rows, edges, [UNIT, 1, 7], [1, 3], rows.where("id % 2 = 0"), "z", ["y"], 64, 1e-2)
+    return spark.createDataFrame([(r["checkpoint"], r["arm"], r["bce"], r["mse"], r["released"]) for r in found], "checkpoint int, arm string, bce double, mse double, released boolean")

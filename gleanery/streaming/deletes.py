@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.exact import ridge_certificate
 from gleanery.operators.exact_states import evaluate_exact, exact_matrix, exact_polynomial, substitute_exact
+from gleanery.operators.moments import packed_moments
 from gleanery.operators.selection import eligible, initial_selection, validate_request
 from gleanery.operators.structure import count_polynomial
 from gleanery.session import durable
@@ -74,6 +75,10 @@ class DeletionState(VersionedState):
     def selection(self, version: int) -> DataFrame:
         return self._read(version, "selected")
 
+    def moments(self, version: int, payload: DataFrame, vector: str, target: str) -> DataFrame:
+        """Packed moments of a version's selection, made on release from (id, vector, target): the state itself holds none."""
+        return packed_moments(payload.join(self.selection(version).select("id"), "id", "left_semi"), vector, target)
+
     def follow(self, requests: DataFrame, checkpoint: str):
         """A streaming query that applies each micro-batch of (unit) as the next version."""
         return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, at: self.apply(at, batch.select("unit"))).trigger(availableNow=True).start()

@@ -577,3 +577,36 @@ def test_digests_and_outputs(spark):
     assert np.allclose(both["b"], moments.fit_logistic(df, "v", "b", 2, 0.1)) and both["b"][1] < 0
     assert workload.one_percent_horizon(0) == (0, []) and workload.one_percent_horizon(1050) == (11, [1, 8, 11]) and workload.one_percent_horizon(1050, 3) == (3, [1, 3])
     assert inference.envelope_radius(1, 2, 3, 4) == 5 / 4 and sum(p for _, p in inference.precision_plan([0.1, 0.2, 0.3], [5, 50], 0.2)) > 1
+
+
+def test_convex_program_of_three_arms(spark):
+    """A graph by hand: fresh and warm agree with a plain fit of the repaired selection, frozen with one of what is left."""
+    rng = np.random.default_rng(3)
+    owners, blockers = [0, 1, 1, 2, 2, 3, 3, 1], [[], [0], [0], [], [3], [], [], [5]]
+    rows, edges = graph_of(spark, owners, blockers)
+    x, y = rng.standard_normal((8, 2)), rng.integers(0, 2, (8, 2)).astype(float)
+    data = spark.createDataFrame([(i, x[i].tolist(), *y[i].tolist()) for i in range(8)], "id long, v array<double>, a double, b double")
+    full = rows.join(data, "id")
+    found = {(r["checkpoint"], r["arm"]): r for r in inference.convex_program(full, edges, [0, 2], [1, 2], full, "v", ["a", "b"], 2, 0.1)}
+    assert len(found) == 9 and all(r["released"] for r in found.values())
+
+    def plain(chosen):
+        bce = mse = 0.0
+        for c in range(2):
+            w = np.zeros(2)
+            for _ in range(60):
+                p = 1 / (1 + np.exp(-x[chosen] @ w))
+                g = x[chosen].T @ (p - y[chosen, c]) / len(chosen) + 0.1 * w
+                h = (x[chosen] * (p * (1 - p))[:, None]).T @ x[chosen] / len(chosen) + 0.1 * np.eye(2)
+                w = w - np.linalg.solve(h, g)
+            p = 1 / (1 + np.exp(-x @ w))
+            bce += -np.mean(y[:, c] * np.log(p) + (1 - y[:, c]) * np.log(1 - p)) / 2
+            mse += np.mean((p - y[:, c]) ** 2) / 2
+        return bce, mse
+
+    for k in (0, 1, 2):
+        gone = {0, 2} if k == 2 else {0} if k else set()
+        repaired = sorted(plain_selection(owners, blockers, gone))
+        frozen = [i for i in plain_selection(owners, blockers, set()) if owners[i] not in gone]
+        for arm, chosen in (("fresh", repaired), ("warm", repaired), ("frozen", sorted(frozen))):
+            assert np.allclose([found[k, arm]["bce"], found[k, arm]["mse"]], plain(chosen), atol=1e-7)
